@@ -22,7 +22,7 @@ ARTERIAL = [*GAS, "spo2", "fio2_chartevents", "specimen_prob", "aado2_calc", "pa
 def tidy(df: DataFrame, names, keep=(), times=()) -> DataFrame:
     """Measured and nullable columns as doubles rounded to eight places, dates and times as text."""
     return df.select(
-        *keep, *[F.round(F.col(n).cast("double"), 8).alias(n) for n in names], *[F.col(t).cast("string").alias(t) for t in times]
+        *keep, *[F.expr(f"round(CAST({n} AS DOUBLE), 8) AS {n}") for n in names], *[F.col(t).cast("string").alias(t) for t in times]
     )
 
 

@@ -52,18 +52,16 @@ def to_concepts(events: DataFrame, mapping: DataFrame) -> DataFrame:
     )
 
 
-_AGGREGATE = {"min": F.min, "max": F.max, "mean": F.avg}
+_AGGREGATE = {"min": "min", "max": "max", "mean": "avg"}
 
 
-def concept_columns(
-    concepts: Sequence[str], stats: Sequence[str], concept: str | Column = "concept", value: str | Column = "num",
-) -> list[Column]:
+def concept_columns(concepts: Sequence[str], stats: Sequence[str], concept: str = "concept", value: str = "num") -> list[Column]:
     """Aggregates ``<concept>_<stat>`` of a conditional pivot, all in one pass over the rows."""
-    where = F.col(concept) if isinstance(concept, str) else concept
-    val = F.col(value) if isinstance(value, str) else value
-    return [_AGGREGATE[s](F.when(where == c, val)).alias(f"{c}_{s}") for c in concepts for s in stats]
+    return [
+        F.expr(f"{_AGGREGATE[s]}(CASE WHEN {concept} = '{c}' THEN {value} END) AS {c}_{s}") for c in concepts for s in stats
+    ]
 
 
 def max_columns(names: Sequence[str], value: str = "num") -> list[Column]:
     """Aggregates named like the concepts themselves."""
-    return [F.max(F.when(F.col("concept") == n, F.col(value))).alias(n) for n in names]
+    return [F.expr(f"max(CASE WHEN concept = '{n}' THEN {value} END) AS {n}") for n in names]

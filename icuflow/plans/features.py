@@ -95,7 +95,7 @@ def bloodgas_first_day(v: Inputs) -> DataFrame:
     rows = _lab_window(v, items.GAS_CODES).withColumn("num", F.when(plausible, value))
     found = rows.groupBy("icustay_id", "charttime").agg(
         F.max(F.when(code == items.GAS["specimen"], F.col("value"))).alias("specimen"),
-        *[F.max(F.when(code == c, F.col("num"))).alias(n) for n, c in items.GAS.items() if n != "specimen"],
+        *[F.expr(f"max(CASE WHEN itemid = {c} THEN num END) AS {n}") for n, c in items.GAS.items() if n != "specimen"],
     )
     return v["icustays"].select(*STAY).join(found, "icustay_id", "left")
 

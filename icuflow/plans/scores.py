@@ -6,6 +6,8 @@ that several scores can share one staged copy of each feature.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,14 +22,33 @@ from icuflow.rules import diagnoses as dx
 from icuflow.rules import items, scores
 
 
-def score_features(v: Inputs) -> Inputs:
-    """The feature tables the scores read."""
-    durations = features.vent_durations(v)
-    return dict(
-        vitals=features.vitals_first_day(v), labs=features.labs_first_day(v), gcs=features.gcs_first_day(v),
-        urine=features.urine_output_first_day(v), arterial=features.bloodgas_arterial(v), vent=durations,
-        vent_day=features.vent_first_day(v, durations),
-    )
+NEEDS = {
+    "oasis": ("vitals", "gcs", "urine", "vent_day"),
+    "saps": ("vitals", "labs", "gcs", "urine", "vent_day"),
+    "saps2": ("vitals", "labs", "gcs", "urine", "arterial", "vent"),
+    "sofa": ("vitals", "labs", "gcs", "urine", "arterial", "vent"),
+    "all_scores": ("vitals", "labs", "gcs", "urine", "arterial", "vent", "vent_day"),
+}
+
+
+def score_features(
+    v: Inputs, score: str = "all_scores", hold: Callable[[DataFrame, str], DataFrame] = lambda df, name: df
+) -> Inputs:
+    """The feature tables a score reads.
+
+    ``hold`` is applied to each; pass :func:`icuflow.sources.tables.stage` to write every feature
+    table once to the shared folder, so that several scores read it instead of computing it again
+    and a lost executor costs one table at most.
+    """
+    build = {
+        "vitals": features.vitals_first_day, "labs": features.labs_first_day, "gcs": features.gcs_first_day,
+        "urine": features.urine_output_first_day, "arterial": features.bloodgas_arterial, "vent": features.vent_durations,
+    }
+    needed = NEEDS[score]
+    f = {n: hold(make(v), n) for n, make in build.items() if n in needed or (n == "vent" and "vent_day" in needed)}
+    if "vent_day" in needed:
+        f["vent_day"] = features.vent_first_day(v, f["vent"])
+    return f
 
 
 def _persons(v: Inputs) -> DataFrame:
@@ -72,7 +93,7 @@ def surgical_by_stay(v: Inputs) -> DataFrame:
 
 def oasis(v: Inputs, f: Inputs | None = None) -> DataFrame:
     """OASIS with its ten parts, the values behind them and the death probability."""
-    f = score_features(v) if f is None else f
+    f = score_features(v, "oasis") if f is None else f
     age = years_fractional(F.col("intime"), F.col("dob"))
     cohort = _attach(_persons(v), surgical_by_stay(v), "surgical")
     cohort = _attach(cohort, f["gcs"], "mingcs")
@@ -119,7 +140,7 @@ def cpap_spells(v: Inputs) -> DataFrame:
 
 def saps(v: Inputs, f: Inputs | None = None) -> DataFrame:
     """SAPS and its 15 parts (glucose and urea cut points are in mmol/L, as defined)."""
-    f = score_features(v) if f is None else f
+    f = score_features(v, "saps") if f is None else f
     cohort = _persons(v).select(*STAY, F.round(years_fractional(F.col("intime"), F.col("dob")), 2).alias("age"))
     vitals = f["vitals"].withColumnsRenamed({"glucose_max": "v_glucose_max", "glucose_min": "v_glucose_min"})
     labs = f["labs"].withColumnsRenamed({"glucose_max": "l_glucose_max", "glucose_min": "l_glucose_min"})
@@ -173,7 +194,7 @@ def gas_on_vent(v: Inputs, f: Inputs, cpap: DataFrame | None = None) -> DataFram
 
 def saps2(v: Inputs, f: Inputs | None = None) -> DataFrame:
     """SAPS II, its 15 parts and the death probability."""
-    f = score_features(v) if f is None else f
+    f = score_features(v, "saps2") if f is None else f
     ratio = gas_on_vent(v, f, cpap_spells(v)).filter("aided").groupBy("icustay_id").agg(
         F.min("pao2fio2").alias("pao2fio2_vent_min")
     )
@@ -260,7 +281,7 @@ def vasopressors_mv(v: Inputs) -> DataFrame:
 
 def sofa(v: Inputs, f: Inputs | None = None) -> DataFrame:
     """SOFA and its six parts."""
-    f = score_features(v) if f is None else f
+    f = score_features(v, "sofa") if f is None else f
     ratio = gas_on_vent(v, f).groupBy("icustay_id").agg(
         F.min(F.when(~F.col("aided"), F.col("pao2fio2"))).alias("pao2fio2_novent_min"),
         F.min(F.when(F.col("aided"), F.col("pao2fio2"))).alias("pao2fio2_vent_min"),
@@ -281,7 +302,7 @@ def sofa(v: Inputs, f: Inputs | None = None) -> DataFrame:
 
 def all_scores(v: Inputs, f: Inputs | None = None) -> DataFrame:
     """The four scores side by side, joined in full on the stay; shared part names come from OASIS."""
-    f = score_features(v) if f is None else f
+    f = score_features(v, "all_scores") if f is None else f
     ids = ["subject_id", "hadm_id"]
     out = oasis(v, f)
     for table in (saps(v, f).drop(*ids, *scores.ALL_SCORES_SHARED), saps2(v, f).drop(*ids, *scores.ALL_SCORES_SHARED),
