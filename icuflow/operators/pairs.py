@@ -20,7 +20,7 @@ def ranked_codes(rates: DataFrame, code: str, k: int) -> DataFrame:
     """The k codes of highest rate (name breaks ties) with their place 0..k-1."""
     best = rates.orderBy(F.desc("rate"), code).limit(k)
     place = F.row_number().over(W.orderBy(F.desc("rate"), code)) - 1  # at most k rows
-    return best.select(code, place.alias("place"))
+    return best.select(code, "rate", place.alias("place"))
 
 
 def has_bit(word: int, place: int, prefix: str = "mask") -> str:
@@ -30,7 +30,7 @@ def has_bit(word: int, place: int, prefix: str = "mask") -> str:
 def stay_masks(rows: DataFrame, ranked: DataFrame, stay: str, code: str, k: int, carry: Sequence[Column] = ()) -> DataFrame:
     """One row per stay with a bit mask (``mask0``, ``mask1``, ...) of its ranked codes."""
     words = range((k + WORD - 1) // WORD)
-    placed = rows.join(F.broadcast(ranked), code)  # k rows
+    placed = rows.join(F.broadcast(ranked.select(code, "place")), code)  # k rows
     return placed.groupBy(stay).agg(*carry, *[
         F.expr(f"bit_or(CASE WHEN place DIV {WORD} = {w} THEN shiftleft(1L, place % {WORD}) ELSE 0L END) AS mask{w}")
         for w in words
