@@ -74,7 +74,7 @@ EXTRACTS: dict[str, tuple[tuple[str, ...], str]] = {
                      sum(count_nurses / count_patients::DOUBLE) OVER w AS cum_caretime_nurses
               FROM (SELECT *, d0 + CAST(day_of_stay AS INTEGER) AS date,
                            CASE WHEN d0 + CAST(day_of_stay AS INTEGER) < d1 THEN 0 WHEN hospital_expire_flag = 1 THEN 1 ELSE -1 END AS out_flag
-                    FROM (SELECT *, unnest(range(0, d1 - d0 + 1)) AS day_of_stay FROM stay_rows)) JOIN caregiver_counts USING (date)
+                    FROM (SELECT *, CAST(unnest(range(0, d1 - d0 + 1)) AS INTEGER) AS day_of_stay FROM stay_rows)) JOIN caregiver_counts USING (date)
               WINDOW w AS (PARTITION BY icustay_id ORDER BY date)) r
         LEFT JOIN (SELECT icustay_id, day_of_stay, CAST(max((ordercategoryname = 'Significant Events')::INTEGER) AS BIGINT) AS pe,
                           CAST(max((ordercategoryname = 'Ventilation')::INTEGER) AS BIGINT) AS pv

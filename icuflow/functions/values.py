@@ -168,8 +168,12 @@ def reweight(prob: Column, population: float, training: float) -> Column:
     return up / (up + down)
 
 
+def _column(x):
+    return x if isinstance(x, Column) else F.lit(x)
+
+
 def reweight_classes(probs: list[Column], population: list, training: list) -> list[Column]:
-    scaled = [p * (F.lit(q) / F.lit(r)) for p, q, r in zip(probs, population, training)]
+    scaled = [p * (_column(q) / _column(r)) for p, q, r in zip(probs, population, training)]
     norm = reduce(lambda a, b: a + b, scaled)
     return [s / norm for s in scaled]
 

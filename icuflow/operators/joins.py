@@ -19,9 +19,9 @@ SALTS = 16
 
 def join_stays(
     events: DataFrame, stays: DataFrame, on: Sequence[str], spread_by: Sequence[str],
-    within: Column | None = None, salts: int = SALTS,
+    within: Column | None = None, salts: int = SALTS, how: str = "inner",
 ) -> DataFrame:
-    """Inner join of events with their stay, then a time-window test on both.
+    """Join of events with the one row of their stay, then a time-window test on both.
 
     Spark broadcasts the stays when their size is under its threshold. Beyond it both sides are
     shuffled on (key, salt): the rows of one hot stay are spread over ``salts`` tasks by a hash of
@@ -29,7 +29,7 @@ def join_stays(
     """
     salted = events.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     repeated = stays.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    joined = salted.join(repeated, [*on, "_salt"]).drop("_salt")
+    joined = salted.join(repeated, [*on, "_salt"], how).drop("_salt")
     return joined if within is None else joined.filter(within)
 
 
