@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
@@ -13,31 +15,51 @@ from pyspark.sql import functions as F
 from icuflow.sources.tables import stage
 
 
+class Step(NamedTuple):
+    """Guess for one column from all others: intercept plus weights in column order (own weight 0)."""
+
+    column: int
+    intercept: float
+    weights: list[float]
+
+
+def _fill(steps: Sequence[Step], columns: Sequence[str]):
+    """Batch function that applies the steps one after the other to the rows with a gap.
+
+    A chain of projections would inline every step into the next and grow without bound; on an
+    Arrow batch each step is one matrix product.
+    """
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x = batch[list(columns)].to_numpy(dtype=float, copy=True)
+            for step in steps:
+                gap = batch[f"_gap_{columns[step.column]}"].to_numpy(dtype=bool)
+                x[gap, step.column] = step.intercept + x[gap] @ np.array(step.weights)
+            batch[list(columns)] = x
+            yield batch
+    return fill
+
+
 class Imputer(NamedTuple):
     """Start means and the fitted regressions in the order they were applied."""
 
     columns: list[str]
     means: dict[str, float]
-    steps: list[tuple[str, float, dict[str, float]]]
+    steps: list[Step]
 
     def start(self, df: DataFrame) -> DataFrame:
         gaps = {f"_gap_{c}": F.col(c).isNull() for c in self.columns}
         return df.withColumns(gaps).withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(self.means[c])) for c in self.columns})
 
-    def step(self, df: DataFrame, number: int) -> DataFrame:
-        column, intercept, weights = self.steps[number]
-        guess = sum((F.col(c) * w for c, w in weights.items()), F.lit(intercept))
-        return df.withColumn(column, F.when(F.col(f"_gap_{column}"), guess).otherwise(F.col(column)))
+    def fill(self, df: DataFrame, steps: Sequence[Step]) -> DataFrame:
+        return df.mapInPandas(_fill(steps, self.columns), df.schema) if steps else df
 
     def finish(self, df: DataFrame) -> DataFrame:
         return df.drop(*[f"_gap_{c}" for c in self.columns])
 
     def apply(self, df: DataFrame) -> DataFrame:
-        """The fitted steps on any table, one projection per step."""
-        out = self.start(df)
-        for i in range(len(self.steps)):
-            out = self.step(out, i)
-        return self.finish(out)
+        """The fitted steps on any table, in one pass."""
+        return self.finish(self.fill(self.start(df), self.steps))
 
 
 def fit_imputer(train: DataFrame, columns: Sequence[str], rounds: int = 3) -> tuple[Imputer, DataFrame]:
@@ -57,11 +79,15 @@ def fit_imputer(train: DataFrame, columns: Sequence[str], rounds: int = 3) -> tu
     imputer = Imputer(columns, means, [])
     rows = stage(imputer.start(train), "impute")
     for _ in range(rounds if incomplete else 0):
+        done: list[Step] = []
         for column in incomplete:
             others = [c for c in columns if c != column]
-            fit_rows = VectorAssembler(inputCols=others, outputCol="_others").transform(rows.filter(~F.col(f"_gap_{column}")))
-            line = LinearRegression(featuresCol="_others", labelCol=column, solver="normal", regParam=1e-6).fit(fit_rows)
-            imputer.steps.append((column, float(line.intercept), dict(zip(others, (float(w) for w in line.coefficients)))))
-            rows = imputer.step(rows, len(imputer.steps) - 1)
-        rows = stage(rows, "impute")
+            known = imputer.fill(rows, done).filter(~F.col(f"_gap_{column}"))
+            line = LinearRegression(featuresCol="_others", labelCol=column, solver="normal", regParam=1e-6).fit(
+                VectorAssembler(inputCols=others, outputCol="_others").transform(known)
+            )
+            weights = dict(zip(others, (float(w) for w in line.coefficients)))
+            done.append(Step(columns.index(column), float(line.intercept), [weights.get(c, 0.0) for c in columns]))
+        imputer.steps.extend(done)
+        rows = stage(imputer.fill(rows, done), "impute")
     return imputer, imputer.finish(rows)

@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.classification import (
     GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
 )
@@ -19,6 +20,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from icuflow.sources.tables import stage
+
 SEED = 42
 
 
@@ -89,7 +92,7 @@ def logistic_regression(train: DataFrame, classes: int = 2, c: float = 100.0, **
 
 def linear_svm(train: DataFrame, classes: int = 2, c: float = 10.0, **_) -> Fitted:
     """Linear SVM; a logistic curve over the margin gives the probability."""
-    svm = LinearSVC(regParam=1.0 / (c * train.count()), maxIter=100).fit(train)
+    svm = LinearSVC(regParam=1.0 / (c * train.count()), maxIter=100, tol=1e-4).fit(train)
 
     def margin(df):
         rows = svm.transform(df).withColumn("_svm", array_to_vector(F.array(vector_to_array("rawPrediction")[1])))
@@ -104,16 +107,14 @@ def rbf_svm(train: DataFrame, classes: int = 3, c: float = 1.0, gamma: float = 0
     rng = np.random.default_rng(SEED)
     frequency = rng.normal(0.0, np.sqrt(2 * gamma), (width, size))
     phase = rng.uniform(0.0, 2 * np.pi, width)
-    rows = ", ".join(
-        f"struct(array({', '.join(f'{w!r}D' for w in row.tolist())}) AS w, {b!r}D AS b)" for row, b in zip(frequency, phase.tolist())
-    )
+
+    @F.pandas_udf("array<double>")
+    def waves(x: pd.Series) -> pd.Series:
+        return pd.Series(list(np.sqrt(2.0 / width) * np.cos(np.stack(x) @ frequency.T + phase))) if len(x) else x
 
     def lift(df):
-        wave = F.expr(
-            f"transform(array({rows}), f -> {float(np.sqrt(2.0 / width))!r}D * cos(f.b + aggregate(zip_with(f.w, _x, (a, b) -> a * b), 0D, (s, t) -> s + t)))"
-        )
-        return df.withColumn("_x", vector_to_array("features")).withColumn("features", array_to_vector(wave)).drop("_x")
-    fitted = one_vs_rest(lift(train), classes, lambda part: linear_svm(part, c=c))
+        return df.withColumn("features", array_to_vector(waves(vector_to_array("features"))))
+    fitted = one_vs_rest(stage(lift(train), "waves"), classes, lambda part: linear_svm(part, c=c))
     return Fitted(lambda df: fitted.predict(lift(df)))
 
 
