@@ -116,7 +116,7 @@ FEATURE_KEEP = [*DIAGNOSIS_KEEP, "deathrate_cat_1", "deathrate_cat_2", "deathrat
 
 
 def diagnosis_table(v):
-    return diagnosis_features(stage(plan.all_diagnoses(v), "diagnoses"), MIN_DEATHS, MIN_PAIRS, TOP)
+    return diagnosis_features(stage(plan.all_diagnoses(v), "diagnoses"), MIN_DEATHS, MIN_PAIRS, TOP, stage)
 
 
 @query("diagnosis_features", listed("diagnosis_features", DIAGNOSIS_NUM, FEATURE_KEEP))

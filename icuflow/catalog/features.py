@@ -11,6 +11,7 @@ from icuflow.catalog.registry import query
 from icuflow.plans import features as plan
 from icuflow.rules import items as it
 from icuflow.sources.clinical import clinical_views
+from icuflow.sources.tables import stage
 
 STAY = ["subject_id", "hadm_id", "icustay_id"]
 VITAL = [f"{n}_{s}" for n in it.VITALS for s in ("min", "max", "mean")]
@@ -40,4 +41,4 @@ feature("gcs_first_day", plan.gcs_first_day, ["gcsmotor", "gcsverbal", "gcseyes"
 feature("urine_output_first_day", plan.urine_output_first_day, ["urineoutput"], STAY)
 feature("vent_settings", plan.vent_settings, ["icustay_id"],
         ["mechvent", "oxygentherapy", "extubated", "selfextubated"], ["charttime"])
-feature("vent_durations", plan.vent_durations, ["duration_hours"], ["icustay_id", "ventnum"], ["starttime", "endtime"])
+feature("vent_durations", lambda v: plan.vent_durations(v, hold=stage), ["duration_hours"], ["icustay_id", "ventnum"], ["starttime", "endtime"])

@@ -133,7 +133,7 @@ STAY_COLUMNS = [c for c in SCORE_FEATURES if c not in ("respiration", "coagulati
 def _(spark, folder):
     v = clinical_views(spark, folder, stage)
     f = scores.score_features(v, "oasis", stage)
-    main = diagnosis_features(stage(extracts.all_diagnoses(v), "diagnoses"), MIN_DEATHS, MIN_PAIRS, TOP)
+    main = diagnosis_features(stage(extracts.all_diagnoses(v), "diagnoses"), MIN_DEATHS, MIN_PAIRS, TOP, stage)
     graded = scores.oasis(v, f).select("icustay_id", "icustay_expire_flag", *STAY_COLUMNS)
     rows = stage(main.select("icustay_id", *DIAGNOSIS).join(graded, "icustay_id").join(
         f["vitals"].drop("subject_id", "hadm_id"), "icustay_id"), "stays")

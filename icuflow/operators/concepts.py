@@ -9,15 +9,17 @@ from pyspark.sql import functions as F
 
 from icuflow.rules import items
 
-MAP_SCHEMA = (
-    "itemid int, concept string, low double, low_closed boolean, high double, high_closed boolean, "
-    "shift double, divide double"
-)
+MAP_COLUMNS = "itemid, concept, low, low_closed, high, high_closed, shift, divide"
 
 
 def item_map(spark: SparkSession, rows: Sequence[tuple]) -> DataFrame:
-    """Constant map with one row per item code; its size is that of the vocabulary."""
-    return spark.createDataFrame(rows, MAP_SCHEMA)
+    """Constant inline table with one row per item code; its size is that of the vocabulary."""
+    def literal(x):
+        if x is None:
+            return "CAST(NULL AS DOUBLE)"
+        return f"{x!r}D" if isinstance(x, float) else repr(x)
+    listed = ", ".join("(" + ", ".join(literal(x) for x in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {listed} AS m({MAP_COLUMNS})")
 
 
 def vital_map(spark: SparkSession) -> DataFrame:

@@ -9,6 +9,7 @@ from icuflow.functions.values import cap_flag, flag, rate_bin, safe_rate
 from icuflow.operators import pairs
 from icuflow.operators.ordered import first_per_key
 from icuflow.operators.tables import group_rate
+from icuflow.plans.features import Hold, keep
 from icuflow.rules import diagnoses as dx
 
 
@@ -25,17 +26,19 @@ def pair_rates(counts: DataFrame, ranked: DataFrame, code: str, least: int) -> D
 
 def diagnosis_features(
     rows: DataFrame, min_deaths: int = dx.MIN_DEATHS, min_pairs: int = dx.MIN_PAIRS, top: int = dx.TOP_DIAGNOSES,
+    hold: Hold = keep,
 ) -> DataFrame:
     """One row per stay: its first diagnosis, counts of deadly diagnoses, flags of deadly pairs.
 
     ``rows`` is the diagnosis extract. A diagnosis is graded when it has at least ``min_deaths``
     deaths (row-level rate); pairs are formed among the ``top`` diagnoses by rate and count when
     their rate exceeds one of the single rates by a quarter. Pair rates below one half get no bin.
+    ``hold`` is applied to the two tables that are read more than once.
     """
     stay, title, died = "icustay_id", "short_title", "hospital_expire_flag"
-    singles = group_rate(rows.select(title, died), [title], died, min_deaths).withColumn(
+    singles = hold(group_rate(rows.select(title, died), [title], died, min_deaths).withColumn(
         "bin", rate_bin(F.col("rate"), dx.SINGLE_BINS, 0)
-    )
+    ), "singles")
     # rows per (stay, title) are bounded by the codes that share a title
     titled = rows.groupBy(stay, title).agg(F.count(F.lit(1)).alias("n"), F.max(died).alias(died))
     graded = titled.join(singles.select(title, "bin"), title, "left").groupBy(stay).agg(*[
@@ -43,7 +46,7 @@ def diagnosis_features(
     ])
 
     ranked = pairs.ranked_codes(singles, title, top)
-    masks = pairs.stay_masks(titled, ranked, stay, title, top, [F.max(died).alias(died)])
+    masks = hold(pairs.stay_masks(titled, ranked, stay, title, top, [F.max(died).alias(died)]), "masks")
     table = pair_rates(pairs.pair_counts(masks, top, died), ranked, title, min_pairs)
     lifted = table.filter(
         (F.col("rate") > dx.LIFT + F.col("rate_a")) | (F.col("rate") > dx.LIFT + F.col("rate_b"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,6 +18,12 @@ from icuflow.rules import items
 STAY = ["subject_id", "hadm_id", "icustay_id"]
 VITAL_STATS = ["min", "max", "mean"]
 Inputs = dict[str, DataFrame]
+Hold = Callable[[DataFrame, str], DataFrame]
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """The default ``hold``: nothing is staged."""
+    return df
 
 
 def no_error(df: DataFrame) -> DataFrame:
@@ -240,7 +248,7 @@ def vent_settings(v: Inputs) -> DataFrame:
     return charted.unionByName(removed)
 
 
-def vent_spells(settings: DataFrame, chunk_seconds: int = 86400) -> DataFrame:
+def vent_spells(settings: DataFrame, chunk_seconds: int = 86400, hold: Hold = keep) -> DataFrame:
     """Ventilator rows with their spell number.
 
     A row opens a new spell after an extubation, when oxygen starts without ventilation, or when
@@ -260,16 +268,20 @@ def vent_spells(settings: DataFrame, chunk_seconds: int = 86400) -> DataFrame:
         | ((F.col("mechvent") == 0) & (F.col("oxygentherapy") == 1))
         | (vent & (gap > items.SPELL_GAP_HOURS))
     ))
+    rows = hold(rows, "newvent")
     rows = running_totals(rows, ["icustay_id"], ["charttime"], CHUNK, {"spell": F.col("newvent")}, ties_together=True)
     return rows.withColumn("spell", F.when(vent | out, F.col("spell"))).drop(CHUNK, "lastvent", "lastextubated")
 
 
-def vent_durations(v: Inputs, settings: DataFrame | None = None, per_stay: bool = False) -> DataFrame:
+def vent_durations(
+    v: Inputs, settings: DataFrame | None = None, per_stay: bool = False, hold: Hold = keep
+) -> DataFrame:
     """Ventilation spells with start, end and hours; at least two times and one ventilated row.
 
-    ``per_stay=True`` gives one row per stay, the form in which the reference groups.
+    ``per_stay=True`` gives one row per stay, the form in which the reference groups. The chunked
+    windows read their input twice; ``hold`` lets the caller stage it instead of computing it twice.
     """
-    rows = vent_spells(vent_settings(v) if settings is None else settings)
+    rows = vent_spells(hold(vent_settings(v), "settings") if settings is None else settings, hold=hold)
     keys = ["icustay_id"] if per_stay else ["icustay_id", "spell"]
     if not per_stay:
         rows = rows.filter(F.col("spell").isNotNull())

@@ -6,8 +6,6 @@ that several scores can share one staged copy of each feature.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +30,7 @@ NEEDS = {
 
 
 def score_features(
-    v: Inputs, score: str = "all_scores", hold: Callable[[DataFrame, str], DataFrame] = lambda df, name: df
+    v: Inputs, score: str = "all_scores", hold: features.Hold = features.keep
 ) -> Inputs:
     """The feature tables a score reads.
 
@@ -42,7 +40,7 @@ def score_features(
     """
     build = {
         "vitals": features.vitals_first_day, "labs": features.labs_first_day, "gcs": features.gcs_first_day,
-        "urine": features.urine_output_first_day, "arterial": features.bloodgas_arterial, "vent": features.vent_durations,
+        "urine": features.urine_output_first_day, "arterial": features.bloodgas_arterial, "vent": lambda v: features.vent_durations(v, hold=hold),
     }
     needed = NEEDS[score]
     f = {n: hold(make(v), n) for n, make in build.items() if n in needed or (n == "vent" and "vent_day" in needed)}
