@@ -12,7 +12,7 @@ from icuflow.operators.ordered import (
     CHUNK, ecdf, last_per_key, number_rows, previous_values, quantile_curve, running_totals, time_chunk,
 )
 from icuflow.operators.tables import group_rate
-from icuflow.sources.tables import scan
+from icuflow.sources.tables import scan, stage
 
 ORDER = ["ts", "event_id"]
 
@@ -76,7 +76,7 @@ def _(spark, folder):
 
 @query("sessionize", f"SELECT event_id, CAST(sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS BIGINT) AS spell FROM ({SQL_SPELL})")
 def _(spark, folder):
-    return running_totals(spell_starts(spark, folder), ["user_id"], ["ts"], CHUNK, {"spell": F.col("fresh")}, ties_together=True).select(
+    return running_totals(stage(spell_starts(spark, folder), "starts"), ["user_id"], ["ts"], CHUNK, {"spell": F.col("fresh")}, ties_together=True).select(
         "event_id", "spell"
     )
 

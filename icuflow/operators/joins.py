@@ -25,7 +25,9 @@ def join_stays(
 
     Spark broadcasts the stays when their size is under its threshold. Beyond it both sides are
     shuffled on (key, salt): the rows of one hot stay are spread over ``salts`` tasks by a hash of
-    ``spread_by`` and the small stay row is repeated once per salt, so the join stays exact.
+    ``spread_by`` and the small stay row is repeated once per salt, so the join stays exact. Nothing
+    above needs the (key, salt) layout, so adaptive execution can split a partition that is still
+    too large without another shuffle.
     """
     salted = events.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     repeated = stays.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -44,6 +44,8 @@ def previous_values(
     """For each output the value of the nearest earlier row of the key that meets a condition.
 
     ``wanted`` maps an output name to (value, condition); ``lit(True)`` as condition is a plain lag.
+    ``order`` should be unique within a key, or equal rows may come in any order. The input is read
+    twice (rows and chunk ends): stage it when it is costly.
     """
     part = [*keys, chunk]
     inside = W.partitionBy(*part).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
