@@ -9,7 +9,8 @@ from icuflow.catalog.clinical_sql import with_views
 from icuflow.catalog.registry import query
 from icuflow.functions import values as val
 from icuflow.operators.concepts import concept_columns
-from icuflow.operators.tables import first_day_occupancy, group_rate
+from icuflow.operators.tables import occupancy_share, group_rate
+from icuflow.plans.run_logs import agent_stay, demand_by_run
 from icuflow.sources.clinical import clinical_views
 from icuflow.sources.tables import scan
 
@@ -122,7 +123,7 @@ def occupancy(spark, folder):
         F.date_diff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("step"), "event_type",
     )
     capacity = rows.select("run").distinct().withColumn("capacity", 80 + 20 * (F.col("run") % 3))
-    wide = first_day_occupancy(rows, capacity, ["run", "step"], "event_type", TYPES)
+    wide = occupancy_share(rows, capacity, ["run", "step"], "event_type", TYPES)
     return wide.select("run", "step", *[F.round(t, 8).alias(t) for t in TYPES])
 
 
@@ -158,20 +159,17 @@ def runs(key, body, *views):
     SELECT run_number, least(any_value(n_doctors), any_value(n_nurses)) AS doctors, greatest(any_value(n_doctors), any_value(n_nurses)) AS nurses,
            max(max_agents) AS capacity, round(arg_max(demand_serviced, step), 8) AS demand FROM run_model GROUP BY run_number""", "run_model")
 def _(spark, folder):
-    from icuflow.plans.run_logs import demand_by_run
     out = demand_by_run(clinical_views(spark, folder)["run_model"])
     return out.withColumn("demand", F.round("demand", 8))
 
 
 @runs("run_agent_los", "SELECT run_number, agent_id, max(days_in_hospital) AS los FROM run_agent GROUP BY ALL", "run_agent")
 def _(spark, folder):
-    from icuflow.plans.run_logs import agent_stay
     return agent_stay(clinical_views(spark, folder)["run_agent"])
 
 
 @runs("run_fatal_los", "SELECT run_number, agent_id, max(days_in_hospital) AS los FROM run_agent WHERE out_flag = 1 GROUP BY ALL", "run_agent")
 def _(spark, folder):
-    from icuflow.plans.run_logs import agent_stay
     return agent_stay(clinical_views(spark, folder)["run_agent"], fatal=True)
 
 

@@ -39,7 +39,7 @@ def _(spark, folder):
 
 @query("left_feature_join", """
     WITH f AS (SELECT user_id, event_type, count(*) AS n, round(sum(value), 4) AS s FROM events GROUP BY ALL)
-    SELECT u.user_id, v.n AS n_view, v.s AS sum_view, c.n AS n_click, c.s AS sum_click, p.n AS n_large, p.s AS sum_large
+    SELECT u.user_id, CAST(v.n AS DOUBLE) AS n_view, v.s AS sum_view, CAST(c.n AS DOUBLE) AS n_click, c.s AS sum_click, CAST(p.n AS DOUBLE) AS n_large, p.s AS sum_large
     FROM (SELECT DISTINCT user_id FROM events) u
     LEFT JOIN (SELECT * FROM f WHERE event_type = 'view') v USING (user_id)
     LEFT JOIN (SELECT * FROM f WHERE event_type = 'click') c USING (user_id)
@@ -50,7 +50,7 @@ def _(spark, folder):
     for name, test in [("view", F.col("event_type") == "view"), ("click", F.col("event_type") == "click"), ("large", F.col("value") > 200)]:
         stays = stays.join(per_user(events.filter(test), name), "user_id", "left")
     return stays.select("user_id", *[
-        F.col(c).cast("double").alias(c) if c.startswith("n_large") else F.col(c) for c in stays.columns if c != "user_id"
+        F.col(c).cast("double").alias(c) if c.startswith("n_") else F.col(c) for c in stays.columns if c != "user_id"
     ])
 
 
@@ -60,10 +60,10 @@ def _(spark, folder):
 def _(spark, folder):
     lines = scan(spark, folder, "lineitem", "l_orderkey", "l_partkey")
     orders = scan(spark, folder, "orders", "o_orderkey", "o_orderstatus")
-    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "right").filter(F.col("l_partkey").isNotNull())
-    # lines per order first: the number of distinct orders then needs no second shuffle of the lines
-    per_order = rows.groupBy("o_orderkey", "o_orderstatus").agg(F.count(F.lit(1)).alias("lines"))
-    return per_order.groupBy("o_orderstatus").agg(F.sum("lines").alias("n"), F.count(F.lit(1)).alias("orders"))
+    # lines are counted per order before the join, so no order is hot in it
+    counted = lines.groupBy("l_orderkey").agg(F.count("l_partkey").alias("lines"))
+    rows = counted.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "right").filter(F.col("lines") > 0)
+    return rows.groupBy("o_orderstatus").agg(F.sum("lines").alias("n"), F.count(F.lit(1)).alias("orders"))
 
 
 @query("full_outer_using", """
@@ -136,12 +136,16 @@ def _(spark, folder):
 def _(spark, folder):
     orders = scan(spark, folder, "orders", "o_orderkey", "o_orderstatus")
     lines = scan(spark, folder, "lineitem", "l_orderkey", "l_quantity")
+    # an outer join cannot split a hot key on its right side, so the lines are counted per order first
+    counted = lines.groupBy("l_orderkey").agg(
+        F.count_if(F.col("l_quantity") >= 45).alias("hits"), F.count(F.lit(1)).alias("lines")
+    )
     on = F.col("o_orderkey") == F.col("l_orderkey")
-    inside = orders.join(lines, on & (F.col("l_quantity") >= 45), "left").groupBy("o_orderstatus").agg(
-        F.count(F.lit(1)).alias("kept_all"), F.count("l_quantity").alias("matched")
+    inside = orders.join(counted.filter(F.col("hits") > 0), on, "left").groupBy("o_orderstatus").agg(
+        F.sum(F.greatest(F.coalesce("hits", F.lit(1)), F.lit(1))).alias("kept_all"), F.sum(F.coalesce("hits", F.lit(0))).alias("matched")
     )
-    after = orders.join(lines, on, "left").filter(F.col("l_quantity") >= 45).groupBy("o_orderstatus").agg(
-        F.count(F.lit(1)).alias("kept_matching")
+    after = orders.join(counted, on, "left").filter(F.col("hits") > 0).groupBy("o_orderstatus").agg(
+        F.sum("hits").alias("kept_matching")
     )
     return inside.join(after, "o_orderstatus")
 

@@ -43,7 +43,7 @@ def binary_codes(categories: Sequence, column, prefix: str):
     ]
 
 
-def first_day_occupancy(rows: DataFrame, capacity: DataFrame, keys: Sequence[str], unit: str, units: Sequence[str]) -> DataFrame:
+def occupancy_share(rows: DataFrame, capacity: DataFrame, keys: Sequence[str], unit: str, units: Sequence[str]) -> DataFrame:
     """Share of capacity (%) per unit, wide; a unit without patients is null."""
     counts = rows.groupBy(*keys).agg(*[
         F.count(F.when(F.col(unit) == u, 1)).alias(u) for u in units

@@ -21,8 +21,9 @@ def all_diagnoses(v: Inputs) -> DataFrame:
         "hospital_expire_flag", "insurance", "admission_type", age.alias("age"),
         banded(age, dx.AGE_BANDS, dx.AGE_BAND_ABOVE).alias("icustay_age_group"),
     )
-    coded = v["diagnoses_icd"].join(v["d_icd_diagnoses"], "icd9_code")
-    return stays.join(coded, "hadm_id")
+    # a frequent code and an admission with many codes are both spread
+    coded = join_stays(v["diagnoses_icd"], v["d_icd_diagnoses"], ["icd9_code"], ["hadm_id"])
+    return join_stays(coded, stays, ["hadm_id"], ["icd9_code"])
 
 
 def procedures(v: Inputs) -> DataFrame:
@@ -36,7 +37,7 @@ def procedures(v: Inputs) -> DataFrame:
         v["admissions"].select("hadm_id", "admittime"), ["hadm_id"], ["starttime", "itemid"],
     )
     day = F.to_date("admittime")
-    return rows.join(v["d_items"], "itemid", "left").select(
+    return join_stays(rows, v["d_items"], ["itemid"], ["icustay_id", "starttime"], how="left").select(
         *STAY, "itemid", "label", F.date_diff(F.to_date("starttime"), day).alias("daysin_start"),
         F.date_diff(F.to_date("endtime"), day).alias("daysin_end"), "ordercategoryname",
     )
@@ -51,7 +52,8 @@ def caregiver_counts(v: Inputs) -> DataFrame:
     seen = v["chartevents"].select(
         F.to_date("charttime").alias("day"), "icustay_id", "subject_id", "cgid"
     ).distinct()
-    rows = seen.join(v["caregivers"], "cgid", "left").join(v["icustays"].select("icustay_id", "diff"), "icustay_id", "left")
+    rows = join_stays(seen, v["caregivers"], ["cgid"], ["icustay_id", "day"], how="left")
+    rows = join_stays(rows, v["icustays"].select("icustay_id", "diff"), ["icustay_id"], ["cgid", "day"], how="left")
     kind = F.col("class")
     return rows.groupBy(F.date_add("day", F.col("diff").cast("int")).alias("date")).agg(
         F.count_distinct(F.when(kind == "Doctor", F.col("cgid"))).alias("count_doctors"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from icuflow.operators.ordered import quantile_curve
-from icuflow.operators.tables import first_day_occupancy
+from icuflow.operators.tables import occupancy_share
 
 CARE_UNITS = ["CSRU", "MICU", "SICU", "TSICU", "Other"]
 
@@ -38,7 +38,7 @@ def care_time(agents: DataFrame) -> DataFrame:
 
 def unit_occupancy(model: DataFrame, agents: DataFrame) -> DataFrame:
     capacity = model.groupBy("run_number").agg(F.max("max_agents").alias("capacity"))
-    return first_day_occupancy(agents, capacity, ["run_number", "step"], "careunit", CARE_UNITS)
+    return occupancy_share(agents, capacity, ["run_number", "step"], "careunit", CARE_UNITS)
 
 
 def run_log_report(model: DataFrame, agents: DataFrame) -> DataFrame:

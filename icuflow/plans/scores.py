@@ -81,8 +81,9 @@ def surgical_by_stay(v: Inputs) -> DataFrame:
     """1 when any service until one day after admission to the unit is surgical or orthopaedic."""
     service = F.col("curr_service")
     surgical = F.lower(service).contains("surg") | (service == "ORTHO")
-    known = v["icustays"].select("icustay_id", "hadm_id", "intime").join(v["services"], "hadm_id").filter(
-        F.col("transfertime") < plus(F.col("intime"), days=1)
+    known = join_stays(
+        v["services"], v["icustays"].select("icustay_id", "hadm_id", "intime"), ["hadm_id"], ["transfertime", "curr_service"],
+        F.col("transfertime") < plus(F.col("intime"), days=1),
     ).groupBy("icustay_id").agg(F.max(flag(surgical)).alias("surgical"))
     return v["icustays"].select("icustay_id").join(known, "icustay_id", "left").select(
         "icustay_id", F.coalesce("surgical", F.lit(0)).alias("surgical")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from icuflow.functions.values import cap_flag, chapter, code_prefix_number, flag, one_hot
 from icuflow.operators.generate import daily_snapshots, repeat_days
+from icuflow.operators.joins import join_stays
 from icuflow.operators.ordered import first_per_key
 from icuflow.operators.tables import binary_codes
 from icuflow.rules import diagnoses as dx
@@ -72,7 +73,7 @@ def stay_day_features(
     """
     stays = stay_features(main, scores, vitals, categories)
     days = daily_snapshots(stays, "icustay_id", "intime_actual", "outtime_actual", F.col("hospital_expire_flag") == 1)
-    timed = days.join(care_ratio(counts), "date")
+    timed = join_stays(days, care_ratio(counts), ["date"], ["icustay_id"])  # few dates, many stay-days each
     # a stay has one row per day here, so this window is bounded by the length of the stay
     so_far = W.partitionBy("icustay_id").orderBy("date").rowsBetween(W.unboundedPreceding, 0)
     timed = timed.select("*", *[
