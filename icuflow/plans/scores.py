@@ -6,6 +6,9 @@ that several scores can share one staged copy of each feature.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +46,13 @@ def score_features(
         "urine": features.urine_output_first_day, "arterial": features.bloodgas_arterial, "vent": lambda v: features.vent_durations(v, hold=hold),
     }
     needed = NEEDS[score]
-    f = {n: hold(make(v), n) for n, make in build.items() if n in needed or (n == "vent" and "vent_day" in needed)}
+    for table in ("icustays", "chartevents", "labevents", "outputevents", "procedureevents_mv"):
+        v[table]  # views are built once, before the features ask for them side by side
+    wanted = [n for n in build if n in needed or (n == "vent" and "vent_day" in needed)]
+    make = inheritable_thread_target(v["icustays"].sparkSession)(lambda n: hold(build[n](v), n))
+    # the features are independent jobs; submitted together they fill the cluster
+    with ThreadPoolExecutor(len(wanted)) as pool:
+        f = dict(zip(wanted, pool.map(make, wanted)))
     if "vent_day" in needed:
         f["vent_day"] = features.vent_first_day(v, f["vent"])
     return f
