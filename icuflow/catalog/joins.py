@@ -68,16 +68,14 @@ def _(spark, folder):
 
 @query("full_outer_using", """
     SELECT user_id, CAST(p.n AS DOUBLE) AS purchases, CAST(e.n AS DOUBLE) AS errors
-    FROM (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'purchase' AND ts < TIMESTAMP '2024-01-03' GROUP BY user_id) p
-    FULL JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' AND ts < TIMESTAMP '2024-01-03' GROUP BY user_id) e
+    FROM (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'purchase' AND value > 150 GROUP BY user_id) p
+    FULL JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' AND value > 150 GROUP BY user_id) e
     USING (user_id)""")
 def _(spark, folder):
-    early = scan(spark, folder, "events", "user_id", "event_type", "ts").filter(
-        F.col("ts") < F.lit("2024-01-03").cast("timestamp_ntz")
-    )
+    high = scan(spark, folder, "events", "user_id", "event_type", "value").filter(F.col("value") > 150)
 
     def count(kind, name):
-        return early.filter(F.col("event_type") == kind).groupBy("user_id").agg(F.count(F.lit(1)).cast("double").alias(name))
+        return high.filter(F.col("event_type") == kind).groupBy("user_id").agg(F.count(F.lit(1)).cast("double").alias(name))
     return count("purchase", "purchases").join(count("error", "errors"), ["user_id"], "full")
 
 

@@ -154,8 +154,13 @@ def safe_rate(part: Column, whole: Column) -> Column:
 
 
 def hashed_uniform(key: Column) -> Column:
-    """Repeatable draw in [0, 1) from an integer id, in place of an unseeded generator."""
-    return F.pmod(key * 7919, F.lit(10007)) / F.lit(10007.0)
+    """Repeatable draw in [0, 1) from an integer id, in place of an unseeded generator.
+
+    Multiples of the golden ratio modulo a large prime: about two thousand million values, evenly
+    spread for consecutive ids too.
+    """
+    prime = F.lit(2147483647)
+    return F.pmod(F.pmod(key, prime).cast("long") * 1327217885, prime) / F.lit(2147483647.0)
 
 
 # ----------------------------------------------------------------------- class probabilities

@@ -48,8 +48,8 @@ def roc_points(df: DataFrame, truth: str, score: str) -> DataFrame:
 def roc_auc(df: DataFrame, truth: str, score: str) -> DataFrame:
     """Area under the ROC curve; the previous point follows from the row's own counts."""
     t = threshold_counts(df, truth, score)
-    slices = F.sum(F.col("neg") * (2 * F.col("tp") - F.col("pos")) / 2)
-    return t.agg(F.try_divide(slices, F.max("tp") * F.max("fp")).alias("auc"))
+    neg, pos, tp = (F.col(c).cast("double") for c in ("neg", "pos", "tp"))  # products of counts outgrow a long
+    return t.agg(F.try_divide(F.sum(neg * (2 * tp - pos) / 2), F.max("tp").cast("double") * F.max("fp")).alias("auc"))
 
 
 def pr_points(df: DataFrame, truth: str, score: str) -> DataFrame:
