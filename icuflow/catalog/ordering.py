@@ -109,7 +109,7 @@ def _(spark, folder):
     FROM (SELECT count(*) AS n FROM events GROUP BY user_id, CAST(ts AS DATE)) GROUP BY n""")
 def _(spark, folder):
     daily = scan(spark, folder, "events", "user_id", "ts").groupBy("user_id", F.to_date("ts")).agg(F.count(F.lit(1)).alias("per_day"))
-    return ecdf(daily, "per_day").select(F.col("per_day").alias("n"), F.col("n").alias("days"), F.round("ecdf", 8).alias("ecdf"))
+    return ecdf(daily, "per_day", hold=stage).select(F.col("per_day").alias("n"), F.col("n").alias("days"), F.round("ecdf", 8).alias("ecdf"))
 
 
 @query("ecdf_by_group", """
@@ -125,7 +125,7 @@ def _(spark, folder):
       SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n
       FROM events)""")
 def _(spark, folder):
-    return quantile_curve(scan(spark, folder, "events", "event_type", "value"), "value", ["event_type"]).withColumn("x", F.round("x", 8))
+    return quantile_curve(scan(spark, folder, "events", "event_type", "value"), "value", ["event_type"], hold=stage).withColumn("x", F.round("x", 8))
 
 
 @query("multi_key_sort", """

@@ -10,7 +10,7 @@ from icuflow.catalog.registry import query
 from icuflow.functions.values import flag, hashed_uniform
 from icuflow.operators import metrics, prepare, sampling
 from icuflow.sources.clinical import clinical_views
-from icuflow.sources.tables import scan
+from icuflow.sources.tables import scan, stage
 
 SQL_U = "((event_id * 1327217885) % 2147483647) / 2147483647.0::DOUBLE"
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -163,12 +163,12 @@ def scored(spark, folder):
     SELECT 'area', NULL, NULL, round(avg(CASE WHEN a.s > b.s THEN 1.0::DOUBLE WHEN a.s = b.s THEN 0.5::DOUBLE ELSE 0 END), 8)
     FROM r a JOIN r b ON a.y = 1 AND b.y = 0""")
 def _(spark, folder):
-    rows = scored(spark, folder)
-    points = metrics.roc_points(rows, "y", "s").select(
+    counts = metrics.threshold_counts(scored(spark, folder), "y", "s", stage)
+    points = metrics.roc_points(counts, "s").select(
         F.lit("point").alias("part"), F.round("s", 8).alias("score"), F.round("fpr", 8).alias("x"), F.round("tpr", 8).alias("y")
     )
     none = F.lit(None).cast("double")
-    return points.unionByName(metrics.roc_auc(rows, "y", "s").select(
+    return points.unionByName(metrics.roc_auc(counts).select(
         F.lit("area").alias("part"), none.alias("score"), none.alias("x"), F.round("auc", 8).alias("y")))
 
 
@@ -178,12 +178,12 @@ def _(spark, folder):
     SELECT 'point' AS part, round(s, 8) AS score, round(recall, 8) AS x, round(precision, 8) AS y FROM q UNION ALL
     SELECT 'area', NULL, NULL, round(sum((recall - r0) * (precision + p0) / 2), 8) FROM q""")
 def _(spark, folder):
-    rows = scored(spark, folder)
-    points = metrics.pr_points(rows, "y", "s").select(
+    counts = metrics.threshold_counts(scored(spark, folder), "y", "s", stage)
+    points = metrics.pr_points(counts, "s").select(
         F.lit("point").alias("part"), F.round("s", 8).alias("score"), F.round("recall", 8).alias("x"), F.round("precision", 8).alias("y")
     )
     none = F.lit(None).cast("double")
-    return points.unionByName(metrics.pr_auc(rows, "y", "s").select(
+    return points.unionByName(metrics.pr_auc(counts, "s").select(
         F.lit("area").alias("part"), none.alias("score"), none.alias("x"), F.round("pr_auc", 8).alias("y")))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from icuflow.operators.ordered import CHUNK, running_totals, with_value_chunks
+from icuflow.operators.ordered import CHUNK, Hold, keep, running_totals, with_value_chunks
 
 
 def confusion(df: DataFrame, truth: Column, called: Column) -> DataFrame:
@@ -25,14 +25,17 @@ def confusion(df: DataFrame, truth: Column, called: Column) -> DataFrame:
     )
 
 
-def threshold_counts(df: DataFrame, truth: str, score: str) -> DataFrame:
-    """(score, pos, neg, tp, fp): cumulative counts from the highest score down, ties in one row."""
+def threshold_counts(df: DataFrame, truth: str, score: str, hold: Hold = keep) -> DataFrame:
+    """(score, pos, neg, tp, fp): cumulative counts from the highest score down, ties in one row.
+
+    The area and point functions below take this table; stage it (``hold``) to read the rows once.
+    """
     counts = df.groupBy((-F.col(score)).alias("_down")).agg(
         F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) == 0).alias("neg")
     ).withColumn("_all", F.lit(0))
-    counts = with_value_chunks(counts, "_down")
+    counts = with_value_chunks(hold(counts, "thresholds"), "_down")
     run = running_totals(counts, ["_all"], ["_down"], CHUNK, {"tp": F.col("pos"), "fp": F.col("neg")})
-    return run.select((-F.col("_down")).alias(score), "pos", "neg", "tp", "fp")
+    return hold(run.select((-F.col("_down")).alias(score), "pos", "neg", "tp", "fp"), "thresholds")
 
 
 def _totals(points: DataFrame) -> DataFrame:
@@ -40,20 +43,19 @@ def _totals(points: DataFrame) -> DataFrame:
     return points.withColumn("_whole", whole)
 
 
-def roc_points(df: DataFrame, truth: str, score: str) -> DataFrame:
-    p = _totals(threshold_counts(df, truth, score))
+def roc_points(counts: DataFrame, score: str) -> DataFrame:
+    p = _totals(counts)
     return p.select(score, F.try_divide(F.col("fp"), F.col("_whole.n")).alias("fpr"), F.try_divide(F.col("tp"), F.col("_whole.p")).alias("tpr"))
 
 
-def roc_auc(df: DataFrame, truth: str, score: str) -> DataFrame:
+def roc_auc(counts: DataFrame) -> DataFrame:
     """Area under the ROC curve; the previous point follows from the row's own counts."""
-    t = threshold_counts(df, truth, score)
     neg, pos, tp = (F.col(c).cast("double") for c in ("neg", "pos", "tp"))  # products of counts outgrow a long
-    return t.agg(F.try_divide(F.sum(neg * (2 * tp - pos) / 2), F.max("tp").cast("double") * F.max("fp")).alias("auc"))
+    return counts.agg(F.try_divide(F.sum(neg * (2 * tp - pos) / 2), F.max("tp").cast("double") * F.max("fp")).alias("auc"))
 
 
-def pr_points(df: DataFrame, truth: str, score: str) -> DataFrame:
-    p = _totals(threshold_counts(df, truth, score))
+def pr_points(counts: DataFrame, score: str) -> DataFrame:
+    p = _totals(counts)
     tp, fp = F.col("tp"), F.col("fp")
     before_tp, before_fp = tp - F.col("pos"), fp - F.col("neg")
     return p.select(
@@ -63,9 +65,9 @@ def pr_points(df: DataFrame, truth: str, score: str) -> DataFrame:
     )
 
 
-def pr_auc(df: DataFrame, truth: str, score: str) -> DataFrame:
+def pr_auc(counts: DataFrame, score: str) -> DataFrame:
     """Trapezoid area under precision over recall, starting at recall 0 and precision 1."""
-    return pr_points(df, truth, score).agg(F.sum(F.col("_step") * (F.col("precision") + F.col("_before")) / 2).alias("pr_auc"))
+    return pr_points(counts, score).agg(F.sum(F.col("_step") * (F.col("precision") + F.col("_before")) / 2).alias("pr_auc"))
 
 
 def f1_sweep(df: DataFrame, truth: str, score: str, thresholds: Sequence[float]) -> DataFrame:

@@ -8,7 +8,7 @@ The carried table has one row per chunk, not per input row.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -17,6 +17,12 @@ from pyspark.sql import functions as F
 from icuflow.functions.values import epoch
 
 CHUNK = "_chunk"
+Hold = Callable[[DataFrame, str], DataFrame]
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """The default ``hold``: nothing is staged."""
+    return df
 
 
 def time_chunk(time: str | Column, seconds: int = 3600) -> Column:
@@ -109,12 +115,13 @@ def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | st
     ).select(*keys, "_row.*")
 
 
-def ecdf(df: DataFrame, value: str, keys: Sequence[str] = (), chunk: Column | None = None) -> DataFrame:
+def ecdf(df: DataFrame, value: str, keys: Sequence[str] = (), chunk: Column | None = None, hold: Hold = keep) -> DataFrame:
     """(keys, value, n, below, total, ecdf): distinct values with their cumulative share.
 
-    Equal values are counted before anything is ordered, so a frequent value costs one row.
+    Equal values are counted before anything is ordered, so a frequent value costs one row. The
+    counts are read several times; ``hold`` lets the caller stage them so that ``df`` is read once.
     """
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    counts = hold(df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n")), "counts")
     counts = with_value_chunks(counts, value) if chunk is None else counts.withColumn(CHUNK, chunk)
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
     group = [*keys] or ["_all"]
@@ -129,13 +136,14 @@ def ecdf(df: DataFrame, value: str, keys: Sequence[str] = (), chunk: Column | No
 
 
 def quantile_curve(
-    df: DataFrame, value: str, keys: Sequence[str] = (), chunk: Column | None = None, block: int = 65536
+    df: DataFrame, value: str, keys: Sequence[str] = (), chunk: Column | None = None, block: int = 65536,
+    hold: Hold = keep,
 ) -> DataFrame:
     """Sorted curve: one row per input row, x = i / n and y = the i-th smallest value.
 
     The rows of a frequent value are written in blocks that are spread over the tasks first.
     """
-    table = ecdf(df, value, keys, chunk)
+    table = ecdf(df, value, keys, chunk, hold)
     blocks = table.select(
         *keys, "total", value, (F.col("below") + F.col("n")).alias("stop"),
         F.explode(F.sequence(F.col("below"), F.col("below") + F.col("n") - 1, F.lit(block).cast("long"))).alias("at"),

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from icuflow.functions.values import cap_flag, flag, rate_bin, safe_rate
 from icuflow.operators import pairs
-from icuflow.operators.ordered import first_per_key
+from icuflow.operators.ordered import Hold, first_per_key, keep
 from icuflow.operators.tables import group_rate
-from icuflow.plans.features import Hold, keep
 from icuflow.rules import diagnoses as dx
 
 

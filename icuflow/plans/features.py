@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,18 +10,12 @@ from icuflow.functions.ladder import logistic
 from icuflow.functions.values import flag, hours, plus, whole_hours, within_days
 from icuflow.operators.concepts import concept_columns, lab_map, max_columns, to_concepts, vital_map
 from icuflow.operators.joins import asof_lookback, join_stays
-from icuflow.operators.ordered import CHUNK, previous_values, running_totals, time_chunk
+from icuflow.operators.ordered import CHUNK, Hold, keep, previous_values, running_totals, time_chunk
 from icuflow.rules import items
 
 STAY = ["subject_id", "hadm_id", "icustay_id"]
 VITAL_STATS = ["min", "max", "mean"]
 Inputs = dict[str, DataFrame]
-Hold = Callable[[DataFrame, str], DataFrame]
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """The default ``hold``: nothing is staged."""
-    return df
 
 
 def no_error(df: DataFrame) -> DataFrame:

@@ -39,9 +39,10 @@ def mortality_model(
         fitted.predict(test).select("label", reweight(F.col("prob")[1], POPULATION_DEATHS, 0.5).alias("score")), "scored"
     )
     best = metrics.f1_sweep(scored, "label", "score", THRESHOLDS).filter(F.col("best") == 1).select("threshold", "f1")
+    counts = metrics.threshold_counts(scored, "label", "score", stage)
     cells = metrics.confusion(scored, F.col("label"), flag(F.col("score") > 0.5))
     one = cells.withColumns({
-        "auc": metrics.roc_auc(scored, "label", "score").scalar(), "pr_auc": metrics.pr_auc(scored, "label", "score").scalar(),
+        "auc": metrics.roc_auc(counts).scalar(), "pr_auc": metrics.pr_auc(counts, "score").scalar(),
         "_best": best.select(F.struct("threshold", "f1")).scalar(),
     })
     return one.select(F.lit(model).alias("model"), *cells.columns, "auc", "pr_auc", F.col("_best.threshold").alias("best_threshold"),

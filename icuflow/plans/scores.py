@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from icuflow.functions.ladder import deciding_value, logistic, points, total
 from icuflow.functions.values import epoch, flag, in_code_ranges, plus, within_days, years_fractional
 from icuflow.operators.joins import interval_join, join_stays
-from icuflow.operators.ordered import first_per_key
+from icuflow.operators.ordered import Hold, first_per_key, keep
 from icuflow.plans import features
 from icuflow.plans.echo import echo_notes
 from icuflow.plans.features import STAY, Inputs, no_error
@@ -33,7 +33,7 @@ NEEDS = {
 
 
 def score_features(
-    v: Inputs, score: str = "all_scores", hold: features.Hold = features.keep
+    v: Inputs, score: str = "all_scores", hold: Hold = keep
 ) -> Inputs:
     """The feature tables a score reads.
 

@@ -30,13 +30,13 @@ def tables():
 def test_areas(spark, name):
     rows = tables()[name]
     df = spark.createDataFrame(rows, "y int, s double")
-    assert abs(metrics.roc_auc(df, "y", "s").first()[0] - brute_auc(rows)) < 1e-12
-    assert abs(metrics.pr_auc(df, "y", "s").first()[0] - brute_pr(rows)) < 1e-12
+    assert abs(metrics.roc_auc(metrics.threshold_counts(df, "y", "s")).first()[0] - brute_auc(rows)) < 1e-12
+    assert abs(metrics.pr_auc(metrics.threshold_counts(df, "y", "s"), "s").first()[0] - brute_pr(rows)) < 1e-12
 
 
 def test_no_positives(spark):
     df = spark.createDataFrame([(0, 0.2), (0, 0.4)], "y int, s double")
-    assert metrics.roc_auc(df, "y", "s").first()[0] is None
+    assert metrics.roc_auc(metrics.threshold_counts(df, "y", "s")).first()[0] is None
     row = metrics.confusion(df, F.col("y"), F.lit(0)).first()
     assert row["tn"] == 2 and row["recall"] == 0.0 and row["precision"] == 0.0
     assert metrics.f1_sweep(df, "y", "s", [0.0, 0.5]).agg(F.sum("f1")).first()[0] == 0.0
