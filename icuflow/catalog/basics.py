@@ -38,12 +38,12 @@ def _(spark, folder):
     return first_rows(scan(spark, folder, "events", "event_id", "user_id", "value"), 100000, "event_id")
 
 
-@query("csv_roundtrip", "SELECT event_id, epoch_us(ts) AS ts_us, user_id, event_type, value, props FROM events")
+@query("csv_roundtrip", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts_text, user_id, event_type, value, props FROM events")
 def _(spark, folder):
     df = scan(spark, folder, "events")
     back = read_csv(spark, write_csv(df, scratch_path(spark, "events-csv")), df.schema)
     return back.select(
-        "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "user_id", "event_type", "value", "props"
+        "event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts_text"), "user_id", "event_type", "value", "props"
     )
 
 
