@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -27,10 +25,21 @@ def session(master: str | None = None, app: str = "icuflow", **conf: str) -> Spa
     return builder.getOrCreate()
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared folder the cluster names in ``spark.checkpoint.dir``.
+def scratch_root(master: str, checkpoints: str | None, warehouse: str) -> str:
+    """The folder for staged tables: ``spark.checkpoint.dir``, which all executors share, else one in the warehouse.
 
-    Only where that setting is unset (tests on one machine) a local temporary folder is used.
+    A warehouse on a local disk serves only a local master; elsewhere each executor would write to its own disk.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "icuflow")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    if checkpoints:
+        return checkpoints.rstrip("/")
+    if not master.startswith("local[") and master != "local" and (warehouse.startswith("file:") or "://" not in warehouse):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share; the warehouse {warehouse} is local")
+    return f"{warehouse.rstrip('/')}/_staged"
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder for a staged table, see :func:`scratch_root`."""
+    root = scratch_root(
+        spark.conf.get("spark.master", "local"), spark.conf.get("spark.checkpoint.dir", None), spark.conf.get("spark.sql.warehouse.dir"),
+    )
+    return f"{root}/{name}-{uuid.uuid4().hex[:12]}"

@@ -9,8 +9,9 @@ from icuflow.session import session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     s = session("local[4]", "icuflow-tests", spark__sql__shuffle__partitions="4", spark__driver__memory="4g",
+                spark__checkpoint__dir=f"file://{tmp_path_factory.mktemp('shared')}",
                 spark__ui__showConsoleProgress="false")
     s.sparkContext.setLogLevel("ERROR")
     yield s
