@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from icuflow.catalog.registry import query
-from icuflow.llm import chat, credentials, mixing, sharding
+from icuflow.llm import chat, credentials, decontaminate, mixing, sharding, simhash
 from icuflow.sources.tables import scan
 
 
@@ -64,3 +64,17 @@ def op4_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
 def op5_sharding(spark: SparkSession, sf: str) -> DataFrame:
     """Shard and slot of every document."""
     return sharding.op5(documents(spark, sf))
+
+
+@query("op2_benchmark_tiling")
+def op2_benchmark_tiling(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and the benchmark items they hold, whole or in reordered pieces."""
+    found = decontaminate.contaminated(documents(spark, sf), scan(spark, sf, "benchmark", "item_id", "text"))
+    return found.withColumn("tiles", F.to_json("tiles"))
+
+
+@query("op9_simhash")
+def op9_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = simhash.near_duplicates(documents(spark, sf))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")

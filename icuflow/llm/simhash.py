@@ -132,7 +132,7 @@ def _roots(parent: np.ndarray, at: np.ndarray) -> np.ndarray:
 def _bands(mask: int) -> list[int]:
     """``mask`` with each quarter of the other bits added in turn."""
     left = [i for i in range(64) if not mask >> i & 1]
-    return [mask | sum(1 << i for i in quarter) for quarter in np.array_split(left, BITS + 1)]
+    return [mask | sum(1 << int(i) for i in quarter) for quarter in np.array_split(left, BITS + 1)]
 
 
 def _signed(mask: int) -> int:
