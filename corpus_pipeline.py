@@ -1 +1,59 @@
-from icuflow.catalog.registry import query  # noqa: F401
+"""Pipeline over a corpus: drop toxic documents, keep one of each near-duplicate group, drop benchmark leaks, mix sources, shard.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; :func:`run` writes each result as Parquet and reads it
+again. All but the last return the columns of documents; the last adds shard and slot.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from icuflow.catalog.registry import query
+from icuflow.llm import decontaminate, mixing, sharding, simhash, toxicity
+from icuflow.sources.tables import scan, stage
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't call toxic; it learns from the labels of this stage's documents."""
+    model = toxicity.fit(docs, scan(spark, sf_dir, "labels", "doc_id", "toxic"))
+    scored = toxicity.with_scores(docs.select("*", docs.text.alias("_scored")), model, "_scored")
+    return scored.where("predicted = 0").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked fingerprints."""
+    return simhash.keep_one(docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that don't hold most of a benchmark item."""
+    return decontaminate.drop_contaminated(docs, scan(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of the sources takes them."""
+    return mixing.take(mixing.mix_sources(docs)).select(*docs.columns)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with shard and slot."""
+    return sharding.shard_rows(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near-dedup", drop_near_duplicates),
+    ("decontamination", drop_benchmark_leaks),
+    ("mixing", mix),
+    ("sharding", shard),
+]
+ORACLE_SQL = None
+
+
+@query("pipeline")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder and read again."""
+    docs = scan(spark, sf_dir, "documents")
+    for name, step in STAGES:
+        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

@@ -65,8 +65,8 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def hashed_words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of some rows, and where each row's words start.
+def hashed_words(data: np.ndarray, starts: np.ndarray, first_bytes: int = 0) -> tuple[np.ndarray, np.ndarray] | tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of some rows, and where each row's words start; with ``first_bytes`` also hashes of the words' first bytes.
 
     ``starts`` holds the row starts in ``data`` and its end. Words longer than 256 bytes hash alike if they hold the same
     bytes at the same places modulo 256.
@@ -82,15 +82,16 @@ def hashed_words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
     first[edges] = letter[edges]
     at = np.flatnonzero(first)
     if not len(at):
-        return np.zeros(0, np.uint64), np.zeros(len(starts), np.int64)
+        none = np.zeros(0, np.uint64), np.zeros(len(starts), np.int64)
+        return (*none, none[0]) if first_bytes else none
     place = np.arange(len(data)) - at[np.cumsum(first) - 1]
     value = POWERS[place & 255] * norm
-    return mixed(np.add.reduceat(value, at)), np.searchsorted(at, starts)
+    out = mixed(np.add.reduceat(value, at)), np.searchsorted(at, starts)
+    return (*out, mixed(np.add.reduceat(np.where(place < first_bytes, value, np.uint64(0)), at))) if first_bytes else out
 
 
-def words_of(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, word hashes, word offsets per row) for chunks of a text column."""
+def words_of(column: pa.Array, first_bytes: int = 0) -> Iterator[tuple]:
+    """(first row, word hashes, word offsets per row) for chunks of a text column; see :func:`hashed_words`."""
     offsets, data = utf8(column)
     for a, b in chunks(offsets):
-        words, at = hashed_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        yield a, words, at
+        yield a, *hashed_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], first_bytes)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from icuflow.catalog.registry import query
-from icuflow.llm import chat, credentials, decontaminate, mixing, sharding, simhash
+from icuflow.llm import chat, credentials, decontaminate, imatch, language, mixing, sharding, simhash, toxicity, webtext
 from icuflow.sources.tables import scan
 
 
@@ -78,3 +78,33 @@ def op9_simhash(spark: SparkSession, sf: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(documents(spark, sf))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op6_language_profiles")
+def op6_language_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Language of every document, learnt from the rows that aren't held out."""
+    docs = documents(spark, sf, "doc_id", "text", "lang").withColumn("held_out", language.held_out(F.col("doc_id")))
+    model = language.fit(docs.where("not held_out"))
+    return language.identify(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
+@query("op8_toxicity_cnn")
+def op8_toxicity_cnn(spark: SparkSession, sf: str) -> DataFrame:
+    """Toxicity of every document, learnt from labelled rows that aren't held out."""
+    docs = documents(spark, sf, "doc_id", "text", "lang")
+    model = toxicity.fit(docs, scan(spark, sf, "labels", "doc_id", "toxic"))
+    held = docs.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "text")
+    return toxicity.with_scores(held, model).drop("text")
+
+
+@query("op10_imatch")
+def op10_imatch(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprints of every document and its edited text."""
+    return imatch.edited_fingerprints(documents(spark, sf))
+
+
+@query("op7_html_layout")
+def op7_html_layout(spark: SparkSession, sf: str) -> DataFrame:
+    """Visible text of every page, laid out."""
+    found = webtext.extract(scan(spark, sf, "pages", "page_id", "html"))
+    return found.select("page_id", "visible_text", F.length("visible_text").cast("bigint").alias("n_chars"))
