@@ -16,8 +16,7 @@ from icuflow.sources.tables import scan, stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't call toxic; it learns from the labels of this stage's documents."""
     model = toxicity.fit(docs, scan(spark, sf_dir, "labels", "doc_id", "toxic"))
-    scored = toxicity.with_scores(docs.select("*", docs.text.alias("_scored")), model, "_scored")
-    return scored.where("predicted = 0").select(*docs.columns)
+    return toxicity.drop_toxic(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +31,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of the sources takes them."""
-    return mixing.take(mixing.mix_sources(docs)).select(*docs.columns)
+    return mixing.taken(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

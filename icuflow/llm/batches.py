@@ -41,6 +41,17 @@ def add_columns(df: DataFrame, column: str, compute: Callable[[pa.Array], list],
     return df.mapInArrow(run, schema)
 
 
+def keep_rows(df: DataFrame, column: str, judge: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows of ``df`` for which ``judge`` of an Arrow array of ``column`` is true, with all columns as they are."""
+    place = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(judge(batch.column(place)), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and bytes of a text column; null reads as empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from icuflow.llm.batches import words_of
+from icuflow.llm.batches import keep_rows, words_of
 
 WORDS = 5
 COVERED = 0.8
@@ -181,20 +181,18 @@ NAMES = ["doc_id", "item_id", "item_words", "covered", "coverage", "tiles"]
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, covered: float = COVERED, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` without the rows that cover an item; all columns stay, rows are judged where they stand and not shuffled."""
-    rows, schema = docs, docs.schema
-    place = docs.columns.index("text")
     for block in blocks(benchmark, words, block_words):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
-                for first, hashed, at in words_of(batch.column(place)):
-                    keep[[first + row for row, _, _ in found_in(shared.value, hashed, at, covered)]] = False
-                yield batch.filter(pa.array(keep))
+        def clean(column: pa.Array, shared=shared) -> np.ndarray:
+            keep = np.ones(len(column), bool)
+            for first, hashed, at in words_of(column):
+                for row, _, _ in found_in(shared.value, hashed, at, covered):
+                    keep[first + row] = False
+            return keep
 
-        rows = rows.mapInArrow(run, schema)
-    return rows
+        docs = keep_rows(docs, "text", clean)
+    return docs
 
 
 def flagged(matches: DataFrame) -> DataFrame:

@@ -79,9 +79,11 @@ def _mixed(sized: DataFrame, weights: tuple[int, ...], most: int, seed: str) ->
     return rows.withColumn("copies", crossed).drop("_expected", "_order", "_before")
 
 
-def take(mixed: DataFrame) -> DataFrame:
-    """Each row as often as its copies say."""
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(F.col("copies"), F.lit(1))))).where("copies > 0").drop("_copy")
+def taken(docs: DataFrame, text: str = "text", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = "mix") -> DataFrame:
+    """The mix itself: the rows of ``docs`` as often as their copies say, with all columns as they are; see :func:`mix_sources`."""
+    rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"), "doc_id", "source", n_words(F.col(text)).alias("size"))
+    mixed = _mixed(rows, weights, most, seed)
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(F.col("copies"), F.lit(1))))).where("copies > 0").select("_row.*")
 
 
 def op4(docs: DataFrame) -> DataFrame:
