@@ -52,7 +52,7 @@ def lexicon(docs: DataFrame, text: str = "text", band: tuple[float, float] = BAN
     total = docs.count()
     low, high = total / math.exp(band[1]), total / math.exp(band[0])
     inside = np.zeros(classes, bool)
-    inside[[r[0] for r in term_counts(docs, text, classes).where(F.col("n").between(low, high)).select("class").collect()]] = True
+    inside[term_counts(docs, text, classes).where(F.col("n").between(low, high)).select("class").toArrow()["class"].to_numpy()] = True
     return inside
 
 
