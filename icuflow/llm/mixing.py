@@ -89,7 +89,7 @@ def taken(docs: DataFrame, text: str = "text", weights: tuple[int, ...] = WEIGHT
 def op4(docs: DataFrame) -> DataFrame:
     """The words the mix takes of each document; texts give way to their sizes before the shuffle."""
     sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
-    mixed = _mixed(sized, WEIGHTS, MOST, "mix")
+    mixed = _mixed(stage(sized, "sizes"), WEIGHTS, MOST, "mix")  # counted once, used three times
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
