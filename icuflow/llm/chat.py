@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from icuflow.llm.batches import small_batches
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 FORMATTED = (
     "conv_id bigint, formatted string, token_ids array<int>, token_starts array<int>, token_ends array<int>, "
@@ -151,7 +153,7 @@ def format_conversations(conversations: DataFrame, template: Template = Template
             names=["conv_id", "formatted", "token_ids", "token_starts", "token_ends", "loss_mask", "turns"],
         )
 
-    return rows.mapInArrow(run, FORMATTED)
+    return small_batches(rows).mapInArrow(run, FORMATTED)
 
 
 def read_back(formatted: DataFrame, template: Template = Template()) -> DataFrame:
@@ -178,7 +180,7 @@ def read_back(formatted: DataFrame, template: Template = Template()) -> DataFram
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], names=[f.split()[0] for f in DIGEST.split(", ")])
 
-    return formatted.mapInArrow(run, DIGEST)
+    return small_batches(formatted).mapInArrow(run, DIGEST)
 
 
 def with_probe(conversations: DataFrame) -> DataFrame:

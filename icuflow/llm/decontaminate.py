@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from icuflow.llm.batches import keep_rows, words_of
+from icuflow.llm.batches import keep_rows, small_batches, words_of
 
 WORDS = 5
 COVERED = 0.8
@@ -170,7 +170,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, cove
                     kinds = (batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.float64(), TILES)
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*found), kinds)], names=NAMES)
 
-        part = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {MATCHED}")
+        part = small_batches(rows).mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {MATCHED}")
         out = part if out is None else out.unionByName(part)
     return out if out is not None else rows.where("false").selectExpr("doc_id", *(f"cast(null as {kind}) as {name}" for name, kind in (f.split(" ", 1) for f in MATCHED.split(", "))))
 

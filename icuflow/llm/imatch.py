@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from icuflow.llm.batches import add_columns, mixed, words_of
+from icuflow.llm.batches import add_columns, mixed, small_batches, words_of
 from icuflow.llm.ranks import prefix_sums
 
 CLASSES = 1 << 20
@@ -44,7 +44,7 @@ def term_counts(docs: DataFrame, text: str = "text", classes: int = CLASSES) ->
             part = seen[i : i + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(n[part])], names=["class", "n"])
 
-    return docs.select(text).mapInArrow(run, "class int, n bigint").groupBy("class").agg(F.sum("n").alias("n"))
+    return small_batches(docs.select(text)).mapInArrow(run, "class int, n bigint").groupBy("class").agg(F.sum("n").alias("n"))
 
 
 def lexicon(docs: DataFrame, text: str = "text", band: tuple[float, float] = BAND, classes: int = CLASSES) -> np.ndarray:
@@ -151,7 +151,7 @@ def edited_fingerprints(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> Data
                 yield pa.RecordBatch.from_arrays([*again.columns, pa.array((run[first] - 1) % n), pa.array(np.ones(again.num_rows, np.int32))], names=names)
 
     names = ["doc_id", "text", "h", "run", "guard"]
-    dealt = keyed.mapInArrow(deal, "doc_id bigint, text string, h bigint, run bigint, guard int")
+    dealt = small_batches(keyed).mapInArrow(deal, "doc_id bigint, text string, h bigint, run bigint, guard int")
     dealt = dealt.repartition("run").sortWithinPartitions("run", "guard", F.col("doc_id").asc_nulls_last(), "h", "text")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:

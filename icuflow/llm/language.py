@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from icuflow.llm.batches import add_columns
+from icuflow.llm.batches import add_columns, small_batches
 
 LENGTHS = (1, 2, 3)
 TOP = 300
@@ -73,7 +73,7 @@ def profiles(docs: DataFrame, top: int = TOP) -> DataFrame:
             g, n = (x[i : i + 100_000] for x in counted)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g), pa.array(n)], names=["lang", "gram", "n"])
 
-    counted = docs.where("lang is not null and text is not null").select("lang", "text").mapInArrow(run, "lang string, gram bigint, n bigint")
+    counted = small_batches(docs.where("lang is not null and text is not null").select("lang", "text")).mapInArrow(run, "lang string, gram bigint, n bigint")
     counted = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     return counted.withColumn("rank", rank).where(F.col("rank") <= top).select("lang", "gram", (F.col("rank") - 1).alias("rank"))

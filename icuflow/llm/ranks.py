@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
+from icuflow.llm.batches import small_batches
 from icuflow.sources.tables import stage
 
 
@@ -55,7 +56,7 @@ def prefix_sums(df: DataFrame, order: list[Column], weight: str, group: str | No
             total = int(own[-1] + w[-1])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(own)], names=[f.name for f in schema])
 
-    rows = stage(sorted_rows.mapInArrow(run, schema), "ranks")
+    rows = stage(small_batches(sorted_rows).mapInArrow(run, schema), "ranks")
     by = [F.col(group).alias("_ranks_group")] if group else [F.lit(0).alias("_ranks_group")]
     totals = rows.groupBy("_ranks_part", *by).agg(F.sum(weight).alias("_ranks_sum"))
     earlier = Window.partitionBy("_ranks_group").orderBy("_ranks_part").rowsBetween(Window.unboundedPreceding, -1)
