@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-ROWS = 10_000
-MOST_PARTS = 2_000
+ROWS = 1_000
+MOST_PARTS = 1_000
 
 
 def matrix(parts: list[int], blocks: list[int], seed: int) -> np.ndarray:
