@@ -20,7 +20,7 @@ from icuflow.sources.clinical import CARE_UNITS as UNITS
 from icuflow.sources.tables import stage
 
 # thresholds fit for the size of the test data; the defaults of the plan are 10, 10 and 50
-MIN_DEATHS, MIN_PAIRS, TOP = 10, 5, 50
+MIN_DEATHS, MIN_PAIRS, TOP = 10, 10, 50
 
 EXTRACTS: dict[str, tuple[tuple[str, ...], str]] = {
     "all_diagnoses": (("icustays", "patients", "admissions", "diagnoses_icd", "d_icd_diagnoses"), """

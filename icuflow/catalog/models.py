@@ -1,4 +1,7 @@
-"""Keys of imputation, classifiers, validation and the end-to-end models (checked by rows only)."""
+"""Keys of imputation, classifiers, validation and the end-to-end models.
+
+A model's numbers can't be stated in SQL; the statements state what must hold for every row.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +11,8 @@ from pyspark.sql import functions as F
 from icuflow.catalog.extracts import MIN_DEATHS, MIN_PAIRS, TOP, day_table
 from icuflow.catalog.features import VITAL
 from icuflow.catalog.registry import query
+from icuflow.catalog.sampling import sql_draw
+from icuflow.functions.values import flag
 from icuflow.learn import evaluate
 from icuflow.learn.impute import fit_imputer
 from icuflow.learn.models import MODELS
@@ -36,59 +41,88 @@ def sides(df):
     return df.filter(side == "train"), df.filter(side == "test")
 
 
+def checked(rows, train, classes):
+    """Test rows with what must hold for every fitted model; ``train`` are the predictions for the training side.
+
+    Probabilities sum to one, the called class has the largest one, and on the training side the model is right about
+    as often as the most frequent class, at least.
+    """
+    right = train.agg(F.avg((evaluate.called_class(classes) == F.col("label")).cast("double")).alias("a")).scalar()
+    most = train.groupBy("label").agg(F.count("*").alias("n")).agg((F.max("n") / F.sum("n")).alias("m")).scalar()
+    total = F.aggregate("prob", F.lit(0.0), lambda a, x: a + x)
+    return rows.select(
+        F.lit(classes).alias("classes"), "vec_id", "label", flag(F.abs(total - 1) < 1e-6).alias("sums_to_one"),
+        flag(F.get("prob", evaluate.called_class(classes)) == F.array_max("prob")).alias("called_is_largest"),
+        flag(right >= 0.95 * most).alias("learns"),
+    )
+
+
+def sql_checked(*class_counts):
+    return " UNION ALL ".join(
+        f"SELECT {c} AS classes, vec_id, CAST(label % {c} AS INTEGER) AS label, 1 AS sums_to_one, 1 AS called_is_largest, 1 AS learns FROM embeddings "
+        f"WHERE {sql_draw('split', 'vec_id')} < 0.25" for c in class_counts)
+
+
 def predictions(spark, folder, model, *class_counts, **settings):
     out = None
     for classes in class_counts:
         train, test = sides(table(spark, folder, classes))
-        part = MODELS[model](train, classes=classes, **settings).predict(test).select(
-            F.lit(classes).alias("classes"), "vec_id", "label", evaluate.called_class(classes).alias("called"),
-            F.round(F.element_at("prob", -1), 6).alias("prob_last"),
-        )
+        fitted = MODELS[model](train, classes=classes, **settings)
+        part = checked(fitted.predict(test), fitted.predict(train), classes)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-@query("iterative_impute")
+GAPS = 5  # columns with gaps; all 64 take part in every regression
+
+
+@query("iterative_impute", "SELECT vec_id, " + ", ".join(
+    f"CASE WHEN vec_id % {5 + i} != 0 THEN round(CAST(embedding[{i + 1}] AS DOUBLE), 4) END AS x{i}" if i < GAPS else
+    f"round(CAST(embedding[{i + 1}] AS DOUBLE), 4) AS x{i}" for i in range(64)) + ", " + ", ".join(
+    f"CAST(vec_id % {5 + i} = 0 AS INTEGER) AS filled{i}" for i in range(GAPS)) + " FROM embeddings")
 def _(spark, folder):
     k = F.col("vec_id")
-    rows = scan(spark, folder, "embeddings", "vec_id", "embedding").select(
-        "vec_id", *[F.when(k % (5 + i) != 0, F.col("embedding")[i].cast("double")).alias(f"x{i}") for i in range(5)]
-    )
-    _, full = fit_imputer(rows, [f"x{i}" for i in range(5)], rounds=2)
-    return full.select("vec_id", *[F.round(f"x{i}", 4).alias(f"x{i}") for i in range(5)])
+    gap = [k % (5 + i) == 0 for i in range(GAPS)]
+    x = [F.col("embedding")[i].cast("double") for i in range(64)]
+    rows = scan(spark, folder, "embeddings", "vec_id", "embedding").select("vec_id", *[
+        (F.when(~gap[i], x[i]) if i < GAPS else x[i]).alias(n) for i, n in enumerate(NAMES)])
+    _, full = fit_imputer(rows, NAMES)
+    known = [F.when(~gap[i], F.round(n, 4)).alias(n) if i < GAPS else F.round(n, 4).alias(n) for i, n in enumerate(NAMES)]
+    near = [flag(gap[i] & F.col(NAMES[i]).between(-5, 5)).alias(f"filled{i}") for i in range(GAPS)]
+    return full.select("vec_id", *known, *near)
 
 
-@query("random_forest")
+@query("random_forest", sql_checked(2, 3))
 def _(spark, folder):
     return predictions(spark, folder, "random_forest", 2, 3)
 
 
-@query("gradient_boosting")
+@query("gradient_boosting", sql_checked(2, 3))
 def _(spark, folder):
-    return predictions(spark, folder, "gradient_boosting", 2, 3, rounds=ROUNDS)
+    return predictions(spark, folder, "gradient_boosting", 2, 3)
 
 
-@query("boosting_regularized")
+@query("boosting_regularized", sql_checked(2, 3))
 def _(spark, folder):
     return predictions(spark, folder, "boosting_regularized", 2, 3, rounds=ROUNDS)
 
 
-@query("linear_svm")
+@query("linear_svm", sql_checked(2))
 def _(spark, folder):
     return predictions(spark, folder, "linear_svm", 2)
 
 
-@query("rbf_svm")
+@query("rbf_svm", sql_checked(3))
 def _(spark, folder):
     return predictions(spark, folder, "rbf_svm", 3)
 
 
-@query("logistic_regression")
+@query("logistic_regression", sql_checked(2))
 def _(spark, folder):
     return predictions(spark, folder, "logistic_regression", 2)
 
 
-@query("mlp")
+@query("mlp", sql_checked(2))
 def _(spark, folder):
     return predictions(spark, folder, "mlp", 2)
 
@@ -98,7 +132,7 @@ def _(spark, folder):
     return evaluate.lasso_cv(sides(table(spark, folder, 2))[0], NAMES)
 
 
-@query("stacking")
+@query("stacking", sql_checked(3))
 def _(spark, folder):
     train, test = sides(table(spark, folder, 3))
     bases = {
@@ -106,7 +140,7 @@ def _(spark, folder):
         "boost": lambda df: MODELS["boosting_regularized"](df, classes=3, rounds=2),
     }
     fitted = evaluate.stack(train, "vec_id", bases, 3, propagate=[0, 1, 2], folds=3)
-    return fitted.predict(test).select("vec_id", "label", evaluate.called_class(3).alias("called"))
+    return checked(fitted.predict(test), fitted.predict(train), 3)
 
 
 @query("kfold_accuracy")
@@ -145,7 +179,7 @@ def _(spark, folder):
 def _(spark, folder):
     flag = F.col("out_flag")
     rows = day_table(spark, folder).withColumn("label", F.when(flag == -1, 2).otherwise(flag)).withColumn(
-        "row_id", F.col("icustay_id") * 1000 + F.col("day_of_stay")
+        "row_id", F.concat_ws("|", "icustay_id", "day_of_stay")
     )
     scaled = ["age", *SCORE_FEATURES, "day_of_stay", "cum_caretime_doctors", "cum_caretime_nurses"]
     flags = ["procedure_significantevents", "procedure_ventilation", *[f"icd9_code_cat_{i}" for i in range(5)], *DIAGNOSIS[:4]]

@@ -193,11 +193,11 @@ def _(spark, folder):
 
 @query("densify_days", f"""
     SELECT user_id, CAST(day AS INTEGER) AS day, coalesce(n, 0) AS n, coalesce(high, 0) AS high
-    FROM (SELECT user_id, unnest(range(0, 40)) AS day FROM (SELECT DISTINCT user_id FROM events))
-    LEFT JOIN (SELECT user_id, CAST(ts AS DATE) - DATE '2024-01-01' AS day, count(*) AS n, count(*) FILTER ({SQL_K} > 90) AS high
+    FROM (SELECT user_id, unnest(range(0, 20)) AS day FROM (SELECT DISTINCT user_id FROM events))
+    FULL JOIN (SELECT user_id, CAST(ts AS DATE) - DATE '2024-01-01' AS day, count(*) AS n, count(*) FILTER ({SQL_K} > 90) AS high
                FROM events GROUP BY ALL) USING (user_id, day)""")
 def _(spark, folder):
     rows = events_with_k(spark, folder, "user_id", "ts").groupBy(
         "user_id", F.date_diff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("day")
     ).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("k") > 90).alias("high"))
-    return densify(rows, rows.select("user_id").distinct(), "user_id", "day", 39, ["n", "high"])
+    return densify(rows, rows.select("user_id").distinct(), "user_id", "day", 19, ["n", "high"])

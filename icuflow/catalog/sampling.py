@@ -12,7 +12,14 @@ from icuflow.operators import metrics, prepare, sampling
 from icuflow.sources.clinical import clinical_views
 from icuflow.sources.tables import scan, stage
 
-SQL_U = "((event_id * 1327217885) % 2147483647) / 2147483647.0::DOUBLE"
+
+
+def sql_draw(purpose: str, key: str) -> str:
+    """SQL of a repeatable draw in [0, 1)."""
+    return f"(CAST('0x' || substr(md5('{purpose}|' || {key}), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE)"
+
+
+SQL_U = sql_draw("draw", "event_id")
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 
@@ -21,7 +28,7 @@ def draws(spark, folder):
     e = F.col("event_id")
     segment = F.element_at(F.array(*[F.lit(s) for s in SEGMENTS]), (e % 5 + 1).cast("int"))
     return events_with_k(spark, folder, "event_id").select(
-        "event_id", hashed_uniform(e).alias("u"), (e % 4).alias("band"), segment.alias("segment"), "k"
+        "event_id", hashed_uniform(e, "draw").alias("u"), (e % 4).alias("band"), segment.alias("segment"), "k"
     )
 
 
@@ -64,7 +71,7 @@ def _(spark, folder):
 
 @query("matched_donor", f"""
     WITH d AS (SELECT c_custkey, c_mktsegment, c_nationkey, c_acctbal, row_number() OVER w AS place, count(*) OVER g AS n, avg(c_acctbal) OVER g AS mean
-               FROM customer WINDOW w AS (PARTITION BY c_mktsegment, c_nationkey ORDER BY ((c_custkey * 1327217885) % 2147483647) / 2147483647.0::DOUBLE, c_custkey),
+               FROM customer WINDOW w AS (PARTITION BY c_mktsegment, c_nationkey ORDER BY {sql_draw("donor", "c_custkey")}, c_custkey),
                                     g AS (PARTITION BY c_mktsegment, c_nationkey))
     SELECT e.event_id, CASE WHEN n IS NULL THEN 'none' WHEN n >= 10 THEN 'donor' ELSE 'mean' END AS matched,
            CAST(CASE WHEN n >= 10 THEN c_custkey END AS DOUBLE) AS donor, round(CASE WHEN n >= 10 THEN c_acctbal ELSE mean END, 6) AS c_acctbal
@@ -107,29 +114,29 @@ def _(spark, folder):
     return sampling.kde(stays, "los", range(51), 0.6).withColumn("density", F.round("density", 8))
 
 
-@query("train_test_split", "SELECT vec_id, CASE WHEN ((vec_id * 1327217885) % 2147483647) / 2147483647.0::DOUBLE < 0.25 THEN 'test' ELSE 'train' END AS side FROM embeddings")
+@query("train_test_split", f"SELECT vec_id, CASE WHEN {sql_draw('split', 'vec_id')} < 0.25 THEN 'test' ELSE 'train' END AS side FROM embeddings")
 def _(spark, folder):
     return scan(spark, folder, "embeddings", "vec_id").select("vec_id", prepare.split_name("vec_id", 0.25).alias("side"))
 
 
-@query("undersample", """
-    WITH r AS (SELECT vec_id, label % 3 AS y, row_number() OVER (PARTITION BY label % 3 ORDER BY ((vec_id * 1327217885) % 2147483647) / 2147483647.0::DOUBLE, vec_id) AS place FROM embeddings)
+@query("undersample", f"""
+    WITH r AS (SELECT vec_id, label % 3 AS y, row_number() OVER (PARTITION BY label % 3 ORDER BY {sql_draw('balance', 'vec_id')}, vec_id) AS place FROM embeddings)
     SELECT vec_id, y FROM r WHERE place <= (SELECT min(n) FROM (SELECT count(*) AS n FROM embeddings GROUP BY label % 3))""")
 def _(spark, folder):
     rows = scan(spark, folder, "embeddings", "vec_id", "label").select("vec_id", (F.col("label") % 3).alias("y"))
     return prepare.undersample(rows, "y", "vec_id")
 
 
-SCALED = [f"x{i}" for i in range(4)]
+SCALED = [f"x{i}" for i in range(64)]
 
 
-@query("standard_scale", "WITH v AS (SELECT vec_id, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}" for i in range(4)) + """,
-    ((vec_id * 1327217885) % 2147483647) / 2147483647.0::DOUBLE >= 0.25 AS train FROM embeddings)
-    SELECT vec_id, """ + ", ".join(f"round((x{i} - m{i}) / s{i}, 6) AS x{i}" for i in range(4)) + " FROM v, (SELECT " + ", ".join(
-    f"avg(x{i}) AS m{i}, stddev_pop(x{i}) AS s{i}" for i in range(4)) + " FROM v WHERE train)")
+@query("standard_scale", "WITH v AS (SELECT vec_id, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}" for i in range(64)) + f""",
+    {sql_draw('split', 'vec_id')} >= 0.25 AS train FROM embeddings)
+    SELECT vec_id, """ + ", ".join(f"round((x{i} - m{i}) / s{i}, 6) AS x{i}" for i in range(64)) + " FROM v, (SELECT " + ", ".join(
+    f"avg(x{i}) AS m{i}, stddev_pop(x{i}) AS s{i}" for i in range(64)) + " FROM v WHERE train)")
 def _(spark, folder):
     rows = scan(spark, folder, "embeddings", "vec_id", "embedding").select(
-        "vec_id", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(4)]
+        "vec_id", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(64)]
     )
     train = rows.filter(prepare.split_name("vec_id") == "train")
     return prepare.scale(train, SCALED, rows)[0].select("vec_id", *[F.round(c, 6).alias(c) for c in SCALED])

@@ -11,7 +11,7 @@ from icuflow.catalog.registry import query
 from icuflow.catalog.score_sql import SCORES, driver, graded, summed
 from icuflow.functions import ladder, values as val
 from icuflow.operators import pairs
-from icuflow.operators.tables import binary_codes, fit_categories
+from icuflow.operators.tables import binary_encode, category_codes, fit_categories
 from icuflow.plans import features, scores
 from icuflow.plans.diagnoses import pair_rates
 from icuflow.plans.echo import NUMBER_PATTERNS, echo_notes
@@ -249,7 +249,7 @@ def _(spark, folder):
     SELECT p_partkey, """ + ", ".join(f"CAST((o >> {4 - i}) & 1 AS INTEGER) AS brand_{i}" for i in range(5)) + " FROM part JOIN c ON b = p_brand")
 def _(spark, folder):
     parts = scan(spark, folder, "part", "p_partkey", "p_brand")
-    return parts.select("p_partkey", *binary_codes(fit_categories(parts, "p_brand"), F.col("p_brand"), "brand"))
+    return binary_encode(parts, category_codes(parts, "p_brand"), "p_brand", "brand").drop("p_brand")
 
 
 @query("reverse_one_hot", """

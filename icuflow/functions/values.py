@@ -81,6 +81,11 @@ def epoch(time: Column) -> Column:
     return F.unix_seconds(time.cast("timestamp"))
 
 
+def micros(time: Column) -> Column:
+    """Whole microseconds since 1970 (session time zone UTC)."""
+    return F.unix_micros(time.cast("timestamp"))
+
+
 def plus(time: Column, **parts: int) -> Column:
     """Timestamp shifted by a constant number of ``days``, ``hours``, ``minutes`` or ``seconds``."""
     return time + F.make_dt_interval(
@@ -153,14 +158,14 @@ def safe_rate(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part, whole), F.lit(0.0))
 
 
-def hashed_uniform(key: Column) -> Column:
-    """Repeatable draw in [0, 1) from an integer id, in place of an unseeded generator.
+def hashed_uniform(key: Column, purpose: str) -> Column:
+    """Repeatable draw in [0, 1) from an id of any type, in place of an unseeded generator.
 
-    Multiples of the golden ratio modulo a large prime: about two thousand million values, evenly
-    spread for consecutive ids too.
+    The first 48 bits of the MD5 of ``purpose|id``: draws for different purposes are independent, so a split, a balance order and
+    folds of the same ids don't follow from each other. A null id has a null draw.
     """
-    prime = F.lit(2147483647)
-    return F.pmod(F.pmod(key, prime).cast("long") * 1327217885, prime) / F.lit(2147483647.0)
+    digest = F.md5(F.concat(F.lit(f"{purpose}|"), key.cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(281474976710656.0)
 
 
 # ----------------------------------------------------------------------- class probabilities

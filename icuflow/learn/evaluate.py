@@ -20,8 +20,8 @@ Fit = Callable[[DataFrame], Fitted]
 
 
 def with_folds(df: DataFrame, key: str, folds: int = 5) -> DataFrame:
-    """Fold number from a hash of the id."""
-    return df.withColumn("fold", F.floor(hashed_uniform(F.col(key)) * folds).cast("int"))
+    """Fold number from a hash of the id that no split or balance order shares."""
+    return df.withColumn("fold", F.floor(hashed_uniform(F.col(key), "fold") * folds).cast("int"))
 
 
 def called_class(classes: int):

@@ -29,6 +29,6 @@ def repeat_days(df: DataFrame, start: str, end: str, name: str) -> DataFrame:
 
 
 def densify(df: DataFrame, entities: DataFrame, key: str, day: str, last_day: int, fill: Sequence[str]) -> DataFrame:
-    """Every day 0..last_day of every entity, absent days with zeros."""
+    """Every day 0..last_day of every entity, absent days with zeros; rows of later days, and of other entities, stay."""
     axis = entities.select(key, F.explode(F.sequence(F.lit(0), F.lit(last_day))).alias(day))
-    return axis.join(df.select(key, day, *fill), [key, day], "left").fillna(0, subset=list(fill))
+    return axis.join(df.select(key, day, *fill), [key, day], "full").fillna(0, subset=list(fill))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from icuflow.functions.values import epoch
+from icuflow.functions.values import epoch, micros
 
 SALTS = 16
 
@@ -62,48 +62,54 @@ def interval_join(
 
 def asof_lookback(
     probes: DataFrame, measures: DataFrame, on: Sequence[str], time: str, values: Sequence[str],
-    lookback_seconds: int, tie: Sequence[str] = (), strategy: str = "window",
+    lookback_seconds: int, tie: Sequence[str] = (), strategy: str = "window", chunks: int = 16,
 ) -> DataFrame:
-    """Each probe with the latest measure at or before it, no older than the look-back.
+    """Each probe with the latest measure at or before it, no older than the look-back, to the microsecond.
 
     Probes keep their columns; ``values`` come from the measure (null when none qualifies). Equal
-    times are decided by the largest ``tie``. Buckets are as long as the look-back, so a probe
-    needs its own bucket and the last measure of the one before.
+    times are decided by the largest ``tie``. A null key or time matches nothing.
 
-    ``strategy="window"``: union and one growing-frame window per (key, bucket), linear in rows.
+    ``strategy="window"``: time is cut into chunks of a ``chunks``-th of the look-back. Union and one growing-frame
+    window per (key, chunk); the last measure of the chunks before is carried in. The carrying window
+    sees one row per key and chunk, so no task holds a look-back's worth of a busy key.
     ``strategy="join"``: equi join on (key, bucket), then the latest match per probe; fit for few
     measures per bucket and for probes that are unique on (key, time).
     """
-    keys = [*on, "_bucket"]
-    bucket = F.floor(epoch(F.col(time)) / lookback_seconds)
+    span = lookback_seconds * 1_000_000
     found = F.struct(F.col(time).alias("at"), *[F.col(c) for c in tie if c != time], *values)
-    right = measures.select(*on, found.alias("found")).withColumn(
-        "_bucket", F.floor(epoch(F.col("found.at")) / lookback_seconds)
-    )
-    left = probes.withColumn("_bucket", bucket)
-    fresh = epoch(F.col(time)) - epoch(F.col("found.at")) <= lookback_seconds
+    right = measures.dropna(subset=[*on, time]).select(*on, found.alias("found"))
+    fresh = lambda at: micros(at) - micros(F.col("found.at")) <= span
     if strategy == "join":
+        keys = [*on, "_bucket"]
+        left = probes.withColumn("_bucket", F.floor(micros(F.col(time)) / span))
+        right = right.withColumn("_bucket", F.floor(micros(F.col("found.at")) / span))
         both = right.withColumn("_bucket", F.explode(F.array(F.col("_bucket"), F.col("_bucket") + 1)))
         probe_key = [*keys, time]
         latest = (
             left.select(*probe_key).join(both, keys)
-            .filter((F.col("found.at") <= F.col(time)) & fresh)
+            .filter((F.col("found.at") <= F.col(time)) & fresh(F.col(time)))
             .groupBy(*probe_key).agg(F.max("found").alias("found"))
         )
         out = left.join(latest, probe_key, "left")
         return out.select(*probes.columns, *[F.col(f"found.{v}").alias(v) for v in values])
-    carried = right.groupBy(*keys).agg(F.max("found").alias("found")).withColumn("_bucket", F.col("_bucket") + 1)
+    keys, width = [*on, "_bucket"], max(span // chunks, 1)
+    right = right.withColumn("_bucket", F.floor(micros(F.col("found.at")) / width))
+    left = probes.withColumn("_bucket", F.floor(micros(F.col(time)) / width))
+    kind = right.schema["found"].dataType
+    last = right.groupBy(*keys).agg(F.max("found").alias("found"))
+    asked = left.select(*keys).dropna().distinct().withColumn("found", F.lit(None).cast(kind))
+    each = last.unionByName(asked).groupBy(*keys).agg(F.max("found").alias("found"))  # one row per key and chunk
+    before = W.partitionBy(*on).orderBy("_bucket").rangeBetween(-chunks - 1, -1)
+    carried = each.withColumn("found", F.max("found").over(before)).where("found is not null")
     row = F.struct(*probes.columns)
     feed = (
         right.select(*keys, F.col("found.at").alias("_t"), F.lit(0).alias("_side"), "found")
         .unionByName(carried.select(*keys, F.col("found.at").alias("_t"), F.lit(0).alias("_side"), "found"))
         .withColumn("row", F.lit(None).cast(left.select(row.alias("r")).schema["r"].dataType))
         .unionByName(left.select(
-            *keys, F.col(time).alias("_t"), F.lit(1).alias("_side"),
-            F.lit(None).cast(right.schema["found"].dataType).alias("found"), row.alias("row"),
+            *keys, F.col(time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(kind).alias("found"), row.alias("row"),
         ))
     )
     so_far = W.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(W.unboundedPreceding, 0)
     seen = feed.withColumn("found", F.max("found").over(so_far)).filter(F.col("_side") == 1)
-    fresh = epoch(F.col("_t")) - epoch(F.col("found.at")) <= lookback_seconds
-    return seen.select("row.*", *[F.when(fresh, F.col(f"found.{v}")).alias(v) for v in values])
+    return seen.select("row.*", *[F.when(fresh(F.col("_t")), F.col(f"found.{v}")).alias(v) for v in values])

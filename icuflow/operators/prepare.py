@@ -13,7 +13,7 @@ from icuflow.operators.ordered import CHUNK, number_rows
 
 def split_name(key: str, test_share: float = 0.25):
     """"test" or "train" from a hash of the id: the same row always falls on the same side."""
-    return F.when(hashed_uniform(F.col(key)) < test_share, "test").otherwise("train")
+    return F.when(hashed_uniform(F.col(key), "split") < test_share, "test").otherwise("train")
 
 
 def undersample(df: DataFrame, label: str, key: str, chunks: int = 64) -> DataFrame:
@@ -23,7 +23,7 @@ def undersample(df: DataFrame, label: str, key: str, chunks: int = 64) -> DataFr
     window per class.
     """
     smallest = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).scalar()
-    hashed = df.withColumn("_u", hashed_uniform(F.col(key))).withColumn(CHUNK, F.floor(F.col("_u") * chunks))
+    hashed = df.withColumn("_u", hashed_uniform(F.col(key), "balance")).withColumn(CHUNK, F.floor(F.col("_u") * chunks))
     ranked = number_rows(hashed, [label], ["_u", key], CHUNK, "_place").withColumn("_smallest", smallest)
     return ranked.filter(F.col("_place") <= F.col("_smallest")).drop("_u", CHUNK, "_place", "_smallest")
 

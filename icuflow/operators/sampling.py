@@ -60,7 +60,7 @@ def matched_donor(
     cohort that holds most donors is not sorted in one task.
     """
     cohort = donors.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[F.avg(m).alias(f"_mean_{m}") for m in measures])
-    spread = donors.select(*keys, donor_id, *measures, hashed_uniform(F.col(donor_id)).alias("_u")).withColumn(
+    spread = donors.select(*keys, donor_id, *measures, hashed_uniform(F.col(donor_id), "donor").alias("_u")).withColumn(
         CHUNK, F.floor(F.col("_u") * BUCKETS)
     )
     numbered = number_rows(spread, keys, ["_u", donor_id], CHUNK, "_place").drop("_u", CHUNK)
@@ -79,26 +79,33 @@ def widened_std(
 ) -> DataFrame:
     """Mean over the cohort of a draw and sample deviation over it and its two neighbours in age.
 
-    ``band`` maps an age column to its band. Cohorts are reduced to (n, sum, sum of squares) before
-    anything is joined; the distinct (keys, age) of the draws are graded once.
+    ``band`` maps an age column to its band. Cohorts are reduced to (n, mean, squared distances) before
+    anything is joined, and merged without cancellation; the distinct (keys, age) of the draws are graded once.
     """
-    x = F.col(measure)
+    x = F.col(measure).cast("double")
     cohorts = donors.withColumn("_band", band(F.col(age))).groupBy(*keys, "_band").agg(
-        F.count(measure).alias("_n"), F.sum(x).alias("_s"), F.sum(x * x).alias("_q")
-    )
+        F.count(measure).alias("_n"), F.avg(x).alias("_m"), (F.var_pop(x) * F.count(measure)).alias("_d")
+    ).where("_n > 0")
     a = F.col(age)
     wanted = draws.select(*keys, age).distinct().withColumn("_own", band(a)).withColumn(
         "_band", F.explode(F.array_distinct(F.array(band(a), band(a + reach), band(a - reach))))
     )
     own = F.col("_band") == F.col("_own")
     joined = wanted.join(cohorts, [*keys, "_band"]).groupBy(*keys, age).agg(
-        F.sum(F.when(own, F.col("_s"))).alias("_s0"), F.sum(F.when(own, F.col("_n"))).alias("_n0"),
-        F.sum("_n").alias("_n"), F.sum("_s").alias("_s"), F.sum("_q").alias("_q"),
+        F.max(F.when(own, F.col("_m"))).alias("mean"), F.sort_array(F.collect_list(F.struct("_band", "_n", "_m", "_d"))).alias("_parts"),
+    )
+    start = F.struct(F.lit(0).cast("bigint").alias("_n"), F.lit(0.0).alias("_m"), F.lit(0.0).alias("_d"))
+    whole = F.aggregate("_parts", start, _merged)  # three parts at most
+    return joined.withColumn("_w", whole).select(
+        *keys, age, "mean", F.when(F.col("_w._n") > 1, F.sqrt(F.col("_w._d") / (F.col("_w._n") - 1))).alias("std"),
     )
-    n, s, q = F.col("_n"), F.col("_s"), F.col("_q")
-    return joined.select(
-        *keys, age, (F.col("_s0") / F.col("_n0")).alias("mean"),
-        F.when(n > 1, F.sqrt((q - s * s / n) / (n - 1))).alias("std"),
+
+
+def _merged(a: Column, b: Column) -> Column:
+    """Count, mean and sum of squared distances of two parts together."""
+    n, apart = a._n + b._n, b._m - a._m
+    return F.struct(
+        n.alias("_n"), (a._m + apart * b._n / n).alias("_m"), (a._d + b._d + apart * apart * a._n * b._n / n).alias("_d")
     )
 
 

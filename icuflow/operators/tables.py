@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from icuflow.operators.ordered import CHUNK, number_rows
+
 
 def repair_suffixes(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", suffix: str = "_right") -> DataFrame:
     """Join with every clashing right column renamed beforehand, so no name is ambiguous."""
@@ -21,26 +23,33 @@ def group_rate(df: DataFrame, keys: Sequence[str], event: str, least: int = 10)
     ).withColumn("rate", F.col("event_count") / F.col("row_count"))
 
 
-def fit_categories(df: DataFrame, column: str, most: int = 1000) -> list:
-    """Sorted distinct values of a column, for encoders fitted on the training side.
+def category_codes(df: DataFrame, column: str) -> DataFrame:
+    """(value, ordinal from 1) of the distinct values of a column in order: the fit of an encoder, a table of any length."""
+    found = df.select(F.col(column).alias("value")).where(F.col(column).isNotNull()).distinct()
+    return number_rows(found.withColumn(CHUNK, F.lit(0)), [], ["value"], CHUNK, "ordinal").select("value", "ordinal")
+
 
-    Only a list of at most ``most`` values comes to the driver; a wider column is an error, because
-    one column per value would not be a usable table either.
-    """
-    found = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect()]
-    if len(found) > most:
-        raise ValueError(f"{column} has more than {most} categories")
-    return sorted(found)
+def fit_categories(df: DataFrame, column: str) -> list:
+    """Sorted distinct values of a column that becomes one column per value, so few by nature."""
+    return sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().collect())
 
 
 def binary_codes(categories: Sequence, column, prefix: str):
     """Ordinal codes written in bits: 1 for the first category, 0 for an unknown one."""
-    width = max(1, len(categories).bit_length())
     listed = F.array(*[F.lit(c) for c in categories])
-    ordinal = F.coalesce(F.array_position(listed, column), F.lit(0))
-    return [
-        F.shiftright(ordinal, width - 1 - i).bitwiseAND(F.lit(1)).cast("int").alias(f"{prefix}_{i}") for i in range(width)
-    ]
+    return code_bits(F.coalesce(F.array_position(listed, column), F.lit(0)), len(categories), prefix)
+
+
+def code_bits(ordinal: Column, categories: int, prefix: str) -> list[Column]:
+    """Bits of an ordinal, the highest first, as many as the number of categories needs."""
+    width = max(1, categories.bit_length())
+    return [F.shiftright(ordinal, width - 1 - i).bitwiseAND(F.lit(1)).cast("int").alias(f"{prefix}_{i}") for i in range(width)]
+
+
+def binary_encode(df: DataFrame, codes: DataFrame, column: str, prefix: str) -> DataFrame:
+    """``df`` with the bits of a column's ordinal in ``codes``; 0 for null and unknown values."""
+    joined = df.join(codes.withColumnRenamed("value", column), column, "left")
+    return joined.select(*df.columns, *code_bits(F.coalesce("ordinal", F.lit(0)), codes.count(), prefix))
 
 
 def occupancy_share(rows: DataFrame, capacity: DataFrame, keys: Sequence[str], unit: str, units: Sequence[str]) -> DataFrame:

@@ -54,9 +54,10 @@ def caregiver_counts(v: Inputs) -> DataFrame:
     ).distinct()
     rows = join_stays(seen, v["caregivers"], ["cgid"], ["icustay_id", "day"], how="left")
     rows = join_stays(rows, v["icustays"].select("icustay_id", "diff"), ["icustay_id"], ["cgid", "day"], how="left")
-    kind = F.col("class")
-    return rows.groupBy(F.date_add("day", F.col("diff").cast("int")).alias("date")).agg(
-        F.count_distinct(F.when(kind == "Doctor", F.col("cgid"))).alias("count_doctors"),
-        F.count_distinct(F.when(kind == "Nurse", F.col("cgid"))).alias("count_nurses"),
-        F.count_distinct("subject_id").alias("count_patients"),
-    )
+    dated = rows.withColumn("date", F.date_add("day", F.col("diff").cast("int")))
+    who = F.when(F.col("class").isin("Doctor", "Nurse") & F.col("cgid").isNotNull(), F.struct("class", F.col("cgid").alias("id")))
+    patient = F.when(F.col("subject_id").isNotNull(), F.struct(F.lit("Patient").alias("class"), F.col("subject_id").alias("id")))
+    each = dated.select("date", F.explode(F.array(who, patient)).alias("x")).select("date", "x.class", "x.id").distinct()
+    return each.groupBy("date").agg(*[
+        F.count_if(F.col("class") == c).alias(f"count_{n}") for c, n in (("Doctor", "doctors"), ("Nurse", "nurses"), ("Patient", "patients"))
+    ])

@@ -56,12 +56,8 @@ def stack_runs(frames: list[DataFrame], stride: int = 9) -> DataFrame:
 def load_run_logs(
     spark: SparkSession, paths: list[str], schema: StructType | str, stride: int = 9
 ) -> DataFrame:
-    """Read many run logs in one scan; the run offset follows from the file a row came from."""
-    logs = read_csv(spark, paths, schema).withColumn("_file", F.col("_metadata.file_path"))
-    chain = F
-    for i, path in enumerate(paths):
-        chain = chain.when(F.contains("_file", F.lit(path.rstrip("/"))), i * stride)
-    return logs.withColumn("run_number", F.col("run_number") + chain.otherwise(0)).drop("_file")
+    """Run logs stacked, the i-th path's run numbers moved by ``i * stride``; each path is read by itself."""
+    return stack_runs([read_csv(spark, path, schema) for path in paths], stride)
 
 
 def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
