@@ -131,8 +131,8 @@ CATEGORIES = {
 DAY_KEEP = ["icustay_id", "icd9_code_cat", "day_of_stay", "out_flag", "procedure_significantevents", "procedure_ventilation",
             *[f"icd9_code_cat_{i}" for i in range(5)], *FEATURE_KEEP[3:]]
 DAY_NUM = [*SCORE_FEATURES, *VITAL, "cum_caretime_doctors", "cum_caretime_nurses"]
-DUMMIES = {"gender_M": "gender = 'M'", "age_group_40-64": "icustay_age_group = '40-64'", "admission_type_URGENT": "admission_type = 'URGENT'",
-           "insurance_type_Private": "insurance = 'Private'", "careunit_MICU": "curr_careunit = 'MICU'"}
+PREFIXES = {"gender": "gender", "icustay_age_group": "age_group", "admission_type": "admission_type", "insurance": "insurance_type", "curr_careunit": "careunit"}
+DUMMIES = {f"{PREFIXES[c]}_{v}": f"{c} = '{v}'" for c, values in CATEGORIES.items() for v in sorted(values)[1:]}  # the first value has none
 
 
 def day_table(spark, folder):
@@ -141,7 +141,7 @@ def day_table(spark, folder):
     f = scores.score_features(v, "all_scores", stage)
     graded = scores.oasis(v, f).join(scores.sofa(v, f).drop("subject_id", "hadm_id"), "icustay_id", "full")
     rows = stay_day_features(
-        stage(diagnosis_table(v), "main"), stage(graded, "scores"), f["vitals"], plan.caregiver_counts(v), plan.procedures(v), CATEGORIES
+        stage(diagnosis_table(v), "main"), stage(graded, "scores"), f["vitals"], plan.caregiver_counts(v), plan.procedures(v), CATEGORIES, hold=stage,
     )
     return rows.withColumnRenamed("procedure_SignificantEvents", "procedure_significantevents").withColumnRenamed(
         "procedure_Ventilation", "procedure_ventilation")
@@ -154,7 +154,7 @@ def day_table(spark, folder):
 def _(spark, folder):
     rows = day_table(spark, folder)
     return rows.select(*DAY_KEEP, *[F.expr(f"round(CAST({n} AS DOUBLE), 8) AS {n}") for n in DAY_NUM],
-                       F.col("date").cast("string").alias("day"), *DUMMIES)
+                       F.col("date").cast("string").alias("day"), *[F.col(f"`{d}`") for d in DUMMIES])
 
 
 @query("run_log_report", with_views("SELECT section, run_number, name, round(x, 8) AS x, round(value, 8) AS value FROM run_log_report",
@@ -162,7 +162,7 @@ def _(spark, folder):
 def _(spark, folder):
     v = clinical_views(spark, folder, stage)
     agents = stage(v["run_agent"], "agents")
-    return run_log_report(v["run_model"], agents).select(
+    return run_log_report(v["run_model"], agents, stage).select(
         "section", "run_number", "name", F.round("x", 8).alias("x"), F.round("value", 8).alias("value")
     )
 

@@ -5,9 +5,10 @@ A model's numbers can't be stated in SQL; the statements state what must hold fo
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
+from icuflow.catalog.clinical_sql import with_views
 from icuflow.catalog.extracts import MIN_DEATHS, MIN_PAIRS, TOP, day_table
 from icuflow.catalog.features import VITAL
 from icuflow.catalog.registry import query
@@ -23,7 +24,6 @@ from icuflow.plans.stay_days import SCORE_FEATURES
 from icuflow.sources.clinical import clinical_views
 from icuflow.sources.tables import scan, stage
 
-ROUNDS = 10  # boosting rounds in the registered queries; the models default to 50 and 140
 NAMES = [f"x{i}" for i in range(64)]
 
 
@@ -45,16 +45,19 @@ def checked(rows, train, classes):
     """Test rows with what must hold for every fitted model; ``train`` are the predictions for the training side.
 
     Probabilities sum to one, the called class has the largest one, and on the training side the model is right about
-    as often as the most frequent class, at least.
+    as often as the most frequent class, at least; that is left out without ``train``, as for a stack, whose last step never
+    saw what its bases say of their own training rows.
     """
-    right = train.agg(F.avg((evaluate.called_class(classes) == F.col("label")).cast("double")).alias("a")).scalar()
-    most = train.groupBy("label").agg(F.count("*").alias("n")).agg((F.max("n") / F.sum("n")).alias("m")).scalar()
     total = F.aggregate("prob", F.lit(0.0), lambda a, x: a + x)
-    return rows.select(
+    out = rows.select(
         F.lit(classes).alias("classes"), "vec_id", "label", flag(F.abs(total - 1) < 1e-6).alias("sums_to_one"),
         flag(F.get("prob", evaluate.called_class(classes)) == F.array_max("prob")).alias("called_is_largest"),
-        flag(right >= 0.95 * most).alias("learns"),
     )
+    if train is None:
+        return out
+    right = train.agg(F.avg((evaluate.called_class(classes) == F.col("label")).cast("double")).alias("a")).scalar()
+    most = train.groupBy("label").agg(F.count("*").alias("n")).agg((F.max("n") / F.sum("n")).alias("m")).scalar()
+    return out.withColumn("learns", flag(right >= 0.95 * most))
 
 
 def sql_checked(*class_counts):
@@ -104,7 +107,7 @@ def _(spark, folder):
 
 @query("boosting_regularized", sql_checked(2, 3))
 def _(spark, folder):
-    return predictions(spark, folder, "boosting_regularized", 2, 3, rounds=ROUNDS)
+    return predictions(spark, folder, "boosting_regularized", 2, 3)
 
 
 @query("linear_svm", sql_checked(2))
@@ -127,43 +130,66 @@ def _(spark, folder):
     return predictions(spark, folder, "mlp", 2)
 
 
-@query("lasso_cv")
+@query("lasso_cv", " UNION ALL ".join(f"SELECT '{n}' AS feature, 1 AS optimal" for n in NAMES))
 def _(spark, folder):
-    return evaluate.lasso_cv(sides(table(spark, folder, 2))[0], NAMES)
-
-
-@query("stacking", sql_checked(3))
+    """Whether each coefficient is at its optimum: the residual's mean product with a feature is the penalty, or below it where the coefficient is 0."""
+    train = sides(table(spark, folder, 2))[0]
+    found = evaluate.lasso_cv(train, NAMES).collect()
+    weights, alpha = {r.feature: r.coefficient for r in found}, found[0].alpha
+    x = train.select(vector_to_array("features").alias("x"), F.col("label").cast("double").alias("y"))
+    means = x.agg(F.avg("y"), *[F.avg(F.get("x", F.lit(i))) for i in range(64)]).first()
+    centred = [F.get("x", F.lit(i)) - means[i + 1] for i in range(64)]
+    rest = F.col("y") - means[0]
+    for n, c in zip(NAMES, centred):
+        rest = rest - c * weights[n]
+    slopes = x.agg(*[F.avg(rest * c) for c in centred]).first()
+    good = [(n, int(abs(g - alpha * (1 if weights[n] > 0 else -1)) < 1e-3 if weights[n] else abs(g) <= alpha + 1e-3)) for n, g in zip(NAMES, slopes)]
+    return spark.createDataFrame(good, "feature string, optimal int")
+
+
+@query("stacking", sql_checked(3).replace(", 1 AS learns", ""))
 def _(spark, folder):
     train, test = sides(table(spark, folder, 3))
     bases = {
         "forest": lambda df: MODELS["random_forest"](df, classes=3),
-        "boost": lambda df: MODELS["boosting_regularized"](df, classes=3, rounds=2),
+        "logistic": lambda df: MODELS["logistic_regression"](df, classes=3),
     }
-    fitted = evaluate.stack(train, "vec_id", bases, 3, propagate=[0, 1, 2], folds=3)
-    return checked(fitted.predict(test), fitted.predict(train), 3)
+    fitted = evaluate.stack(train, "vec_id", bases, 3, propagate=[0, 1, 2])
+    return checked(fitted.predict(test), None, 3)
 
 
-@query("kfold_accuracy")
+@query("kfold_accuracy", f"""
+    SELECT CAST(floor({sql_draw('fold', 'vec_id')} * 5) AS INTEGER) AS fold, count(*) AS n, 1 AS accuracy_in_range, 1 AS spread_in_range FROM embeddings GROUP BY 1""")
 def _(spark, folder):
-    return evaluate.kfold_accuracy(table(spark, folder, 2), "vec_id", MODELS["random_forest"], 2)
+    rows = table(spark, folder, 2)
+    found = evaluate.kfold_accuracy(rows, "vec_id", MODELS["random_forest"], 2).select(
+        flag(F.col("accuracy").between(0, 1)).alias("accuracy_in_range"), flag(F.col("two_sd").between(0, 1)).alias("spread_in_range"))
+    return evaluate.with_folds(rows, "vec_id").groupBy("fold").agg(F.count("*").alias("n")).join(F.broadcast(found))  # one row
 
 
-@query("grid_search")
+@query("grid_search", "SELECT d AS max_depth, l AS min_leaf, 1 AS auc_in_range FROM (VALUES (3), (5)) a(d), (VALUES (1), (5)) b(l)")
 def _(spark, folder):
-    return evaluate.grid_search(table(spark, folder, 2), depths=(3, 5), leaves=(1, 5), rounds=3, folds=2)
+    found = evaluate.grid_search(table(spark, folder, 2), depths=(3, 5), leaves=(1, 5), rounds=3, folds=2)
+    return found.select("max_depth", "min_leaf", flag(F.col("auc").between(0, 1)).alias("auc_in_range"))
 
 
-@query("feature_importance")
+@query("feature_importance", " UNION ALL ".join(f"SELECT '{n}' AS feature, 1 AS in_range, 1 AS largest_is_one" for n in NAMES))
 def _(spark, folder):
     train, _ = sides(table(spark, folder, 3))
-    return evaluate.importance_table(spark, MODELS["random_forest"](train, classes=3).importances, NAMES)
+    found = evaluate.importance_table(spark, MODELS["random_forest"](train, classes=3).importances, NAMES)
+    return found.select("feature", flag(F.col("importance").between(0, 1)).alias("in_range"), flag(found.agg(F.max("importance")).scalar() == 1).alias("largest_is_one"))
 
 
 DIAGNOSIS = ["deathrate_cat_1", "deathrate_cat_2", "deathrate_int_cat_1", "deathrate_int_cat_2", "age"]
 STAY_COLUMNS = [c for c in SCORE_FEATURES if c not in ("respiration", "coagulation", "liver", "cardiovascular", "cns", "renal")]
 
 
-@query("mortality_model")
+SHARES = ("accuracy", "recall", "precision", "auc", "pr_auc", "best_threshold", "best_f1")
+
+
+@query("mortality_model", with_views(f"""
+    SELECT 'random_forest' AS model, count(*) AS n_test, {', '.join(f'1 AS {c}_in_range' for c in SHARES)} FROM icustays
+    WHERE {sql_draw('split', 'icustay_id')} < 0.25""", "icustays"))
 def _(spark, folder):
     v = clinical_views(spark, folder, stage)
     f = scores.score_features(v, "oasis", stage)
@@ -172,16 +198,19 @@ def _(spark, folder):
     rows = stage(main.select("icustay_id", *DIAGNOSIS).join(graded, "icustay_id").join(
         f["vitals"].drop("subject_id", "hadm_id"), "icustay_id"), "stays")
     columns = [*DIAGNOSIS, *STAY_COLUMNS, *VITAL]
-    return outcomes.mortality_model(rows, "icustay_id", "icustay_expire_flag", columns, columns, rounds=1)
+    found = outcomes.mortality_model(rows, "icustay_id", "icustay_expire_flag", columns, columns, rounds=1)
+    return found.select("model", (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("n_test"), *[
+        flag(F.col(c).between(0, 1)).alias(f"{c}_in_range") for c in SHARES])
 
 
-@query("outcome_model")
+@query("outcome_model", "SELECT 'random_forest' AS model, 1 AS reweighted_in_range, 1 AS plain_in_range")
 def _(spark, folder):
-    flag = F.col("out_flag")
-    rows = day_table(spark, folder).withColumn("label", F.when(flag == -1, 2).otherwise(flag)).withColumn(
+    out = F.col("out_flag")
+    rows = day_table(spark, folder).withColumn("label", F.when(out == -1, 2).otherwise(out)).withColumn(
         "row_id", F.concat_ws("|", "icustay_id", "day_of_stay")
     )
-    scaled = ["age", *SCORE_FEATURES, "day_of_stay", "cum_caretime_doctors", "cum_caretime_nurses"]
+    scaled = ["age", *SCORE_FEATURES, "day_of_stay", "cum_caretime_doctors", "cum_caretime_nurses", *[c for c in VITAL if c in rows.columns]]
     flags = ["procedure_significantevents", "procedure_ventilation", *[f"icd9_code_cat_{i}" for i in range(5)], *DIAGNOSIS[:4]]
     rows = stage(rows.select("row_id", "label", *scaled, *flags), "days")
-    return outcomes.outcome_model(rows, "row_id", "label", [*scaled, *flags], scaled, ("random_forest",), rounds=1)
+    found = outcomes.outcome_model(rows, "row_id", "label", [*scaled, *flags], scaled, ("random_forest",), rounds=1)
+    return found.select("model", *[flag(F.col(c).between(0, 1)).alias(f"{c}_in_range") for c in ("reweighted", "plain")])

@@ -29,19 +29,12 @@ def agent_stay(agents: DataFrame, fatal: bool = False) -> DataFrame:
     return rows.groupBy("run_number", "agent_id").agg(F.max("days_in_hospital").alias("los"))
 
 
-def care_time(agents: DataFrame) -> DataFrame:
-    """Care time received per run and agent."""
-    return agents.groupBy("run_number", "agent_id").agg(
-        F.max("cum_caretime_doctors").alias("doctors"), F.max("cum_caretime_nurses").alias("nurses")
-    )
-
-
 def unit_occupancy(model: DataFrame, agents: DataFrame) -> DataFrame:
     capacity = model.groupBy("run_number").agg(F.max("max_agents").alias("capacity"))
     return occupancy_share(agents, capacity, ["run_number", "step"], "careunit", CARE_UNITS)
 
 
-def run_log_report(model: DataFrame, agents: DataFrame) -> DataFrame:
+def run_log_report(model: DataFrame, agents: DataFrame, hold=lambda df, name: df) -> DataFrame:
     """One long table of (section, run_number, name, x, value) with every curve of the report."""
     occupancy = unit_occupancy(model, agents).unpivot(["run_number", "step"], CARE_UNITS, "name", "value").filter(
         F.col("value").isNotNull()
@@ -54,11 +47,19 @@ def run_log_report(model: DataFrame, agents: DataFrame) -> DataFrame:
         return quantile_curve(df, column, ["run_number"]).select(
             F.lit(section).alias("section"), "run_number", F.lit(name).alias("name"), "x", F.col("y").cast("double").alias("value")
         )
-    care = care_time(agents)
+    each = hold(agent_totals(agents), "agents")  # one row per agent, read for four curves
     return (
         occupancy.unionByName(demand)
-        .unionByName(curve(agent_stay(agents), "los", "los", "all"))
-        .unionByName(curve(agent_stay(agents, fatal=True), "los", "los", "fatal"))
-        .unionByName(curve(care, "doctors", "care_time", "doctors"))
-        .unionByName(curve(care, "nurses", "care_time", "nurses"))
+        .unionByName(curve(each, "los", "los", "all"))
+        .unionByName(curve(each.where("fatal_los is not null"), "fatal_los", "los", "fatal"))
+        .unionByName(curve(each, "doctors", "care_time", "doctors"))
+        .unionByName(curve(each, "nurses", "care_time", "nurses"))
+    )
+
+
+def agent_totals(agents: DataFrame) -> DataFrame:
+    """Longest day, longest day of fatal rows and care time received, per run and agent in one aggregation."""
+    return agents.groupBy("run_number", "agent_id").agg(
+        F.max("days_in_hospital").alias("los"), F.max(F.when(F.col("out_flag") == 1, F.col("days_in_hospital"))).alias("fatal_los"),
+        F.max("cum_caretime_doctors").alias("doctors"), F.max("cum_caretime_nurses").alias("nurses"),
     )

@@ -64,14 +64,14 @@ def procedure_days(procedures: DataFrame, kinds: Sequence[str]) -> DataFrame:
 
 def stay_day_features(
     main: DataFrame, scores: DataFrame, vitals: DataFrame, counts: DataFrame, procedures: DataFrame,
-    categories: dict[str, Sequence[str]], kinds: Sequence[str] = ("Significant Events", "Ventilation"),
+    categories: dict[str, Sequence[str]], kinds: Sequence[str] = ("Significant Events", "Ventilation"), hold=lambda df, name: df,
 ) -> DataFrame:
     """One row per stay-day with a caregiver count, as input of the three-class model.
 
     Three day-zero rules meet here, as defined: snapshots count from the shifted admission to the
     unit, procedures from the hospital admission, and both are joined on the number alone.
     """
-    stays = stay_features(main, scores, vitals, categories)
+    stays = hold(stay_features(main, scores, vitals, categories), "stay-features")  # read for the days and for their features
     days = daily_snapshots(stays, "icustay_id", "intime_actual", "outtime_actual", F.col("hospital_expire_flag") == 1)
     timed = join_stays(days, care_ratio(counts), ["date"], ["icustay_id"])  # few dates, many stay-days each
     # a stay has one row per day here, so this window is bounded by the length of the stay
