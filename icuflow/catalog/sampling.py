@@ -42,7 +42,7 @@ SQL_SEGMENT = "([" + ", ".join(f"'{s}'" for s in SEGMENTS) + "])[CAST(event_id %
     JOIN f ON f.band = d.band AND p > u GROUP BY event_id""")
 def _(spark, folder):
     observed = scan(spark, folder, "events", "user_id", "event_type").select((F.col("user_id") % 4).alias("band"), F.col("event_type").alias("drawn"))
-    return sampling.draw_categories(draws(spark, folder), observed, ["band"], "u", "drawn", "event_id").select("event_id", "drawn")
+    return sampling.draw_categories(draws(spark, folder), observed, ["band"], "u", "drawn").select("event_id", "drawn")
 
 
 SQL_AGES = "SELECT least(15 + (c_custkey * 7) % 80, 90) AS age, * FROM customer"
@@ -56,7 +56,7 @@ def ages(spark, folder):
     WITH f AS (SELECT age, sum(count(*)) OVER (ORDER BY age) / sum(count(*)) OVER ()::DOUBLE AS p FROM ({SQL_AGES}) GROUP BY age)
     SELECT event_id, min(age) AS age FROM (SELECT event_id, {SQL_U} AS u FROM events) JOIN f ON p >= u GROUP BY event_id""")
 def _(spark, folder):
-    return sampling.draw_numbers(draws(spark, folder), ages(spark, folder), "u", "age", "event_id").select("event_id", "age")
+    return sampling.draw_numbers(draws(spark, folder), ages(spark, folder), "u", "age").select("event_id", "age")
 
 
 @query("bernoulli_conditional", f"""
@@ -106,6 +106,33 @@ def _(spark, folder):
     )
 
 
+SQL_NORMAL = f"sqrt(-2 * ln(1 - {sql_draw('noise1|c_acctbal', 'event_id')})) * cos(2 * pi() * {sql_draw('noise2|c_acctbal', 'event_id')})"
+
+
+@query("matched_donor_noise", f"""
+    WITH c AS (SELECT *, {SQL_BAND.format('age')} AS band FROM ({SQL_AGES})),
+    d AS (SELECT c_custkey, c_mktsegment, c_nationkey, band, c_acctbal, row_number() OVER w AS place, count(*) OVER g AS n, avg(c_acctbal) OVER g AS mean
+          FROM c WINDOW w AS (PARTITION BY c_mktsegment, c_nationkey, band ORDER BY {sql_draw("donor", "c_custkey")}, c_custkey),
+                        g AS (PARTITION BY c_mktsegment, c_nationkey, band)),
+    e AS (SELECT event_id, {SQL_SEGMENT} AS segment, event_id % 28 AS nation, {SQL_K} AS age, {SQL_BAND.format(SQL_K)} AS band, {SQL_U} AS u, {SQL_NORMAL} AS z FROM events),
+    s AS (SELECT segment, nation, w.age, stddev_samp(c_acctbal) AS std FROM (SELECT DISTINCT segment, nation, age FROM e) w JOIN c ON c_mktsegment = segment AND c_nationkey = nation
+          AND (c.band = {SQL_BAND.format('w.age')} OR c.band = {SQL_BAND.format('(w.age + 25)')} OR c.band = {SQL_BAND.format('(w.age - 25)')}) GROUP BY ALL)
+    SELECT e.event_id, CASE WHEN n IS NULL THEN 'none' WHEN n >= 10 THEN 'donor' ELSE 'mean' END AS matched,
+           round(CASE WHEN n >= 10 THEN c_acctbal ELSE mean + coalesce(std * z, 0) END, 4) AS c_acctbal
+    FROM e LEFT JOIN d ON c_mktsegment = e.segment AND c_nationkey = e.nation AND d.band = e.band AND place = CASE WHEN n >= 10 THEN floor(u * n) + 1 ELSE 1 END
+    LEFT JOIN s ON s.segment = e.segment AND s.nation = e.nation AND s.age = e.age""")
+def _(spark, folder):
+    """Small cohorts: a normal draw around their mean with the deviation of the cohort widened by age."""
+    wanted = draws(spark, folder).select(
+        "event_id", "u", "segment", (F.col("event_id") % 28).alias("nation"), F.col("k").alias("age"), age_group(F.col("k")).alias("band"))
+    donors = ages(spark, folder).select(
+        "c_custkey", F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"), "age", age_group(F.col("age")).alias("band"), "c_acctbal")
+    found = sampling.matched_donor(wanted, donors, ["segment", "nation", "band"], "u", "event_id", "c_custkey", ["c_acctbal"])
+    spread = sampling.widened_std(wanted, donors, ["segment", "nation"], "age", age_group, "c_acctbal")
+    out = sampling.with_noise(found, spread, ["segment", "nation", "age"], "event_id", "c_acctbal")
+    return out.select("event_id", "matched", F.round("c_acctbal", 4).alias("c_acctbal"))
+
+
 @query("kde_grid", with_views("""
     SELECT x::DOUBLE AS x, round(avg(exp(-pow((x - round(los)) / 0.6::DOUBLE, 2) / 2)) / (0.6::DOUBLE * sqrt(2 * pi())), 8) AS density
     FROM icustays, (SELECT unnest(range(0, 51)) AS x) GROUP BY x""", "icustays"))

@@ -2,45 +2,57 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from icuflow.functions.values import hashed_uniform
 from icuflow.operators.joins import join_stays
-from icuflow.operators.ordered import CHUNK, ecdf, number_rows
+from icuflow.operators.ordered import CHUNK, ecdf, number_rows, previous_values
 
-BUCKETS = 64
+ROWS = 1_000_000
 
 
-def inverse_cdf(draws: DataFrame, table: DataFrame, keys: Sequence[str], u: str, value: str, draw_id: str, closed: str) -> DataFrame:
+def inverse_cdf(draws: DataFrame, table: DataFrame, keys: Sequence[str], u: str, value: str, closed: str) -> DataFrame:
     """Draw a value from an ECDF table for each uniform ``u``.
 
-    ``closed="left"``: first value whose ECDF is above u (categories). ``closed="right"``: first value
-    whose ECDF reaches u (numbers; the same as one more than the largest integer below it). Each
-    step of the ECDF is listed in the u-buckets it touches, so the range test is an equi join.
+    ``closed="left"``: first value whose ECDF is above u (categories). ``closed="right"``: first value whose ECDF reaches u (numbers; the
+    same as one more than the largest integer below it; a draw of exactly zero takes the first value). Draws and steps are laid on
+    one axis from 1 down to 0, cut into chunks of about ROWS rows, and each draw takes the nearest step before it: the work grows with
+    draws plus steps. Draws without a value, a null ``u`` or a null key give no row.
     """
-    steps = table.select(
-        *keys, value, (F.col("below") / F.col("total")).alias("_from"), F.col("ecdf").alias("_to")
-    ).withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_from") * BUCKETS), F.floor(F.col("_to") * BUCKETS))))
-    x = F.col(u)
-    if closed == "left":
-        inside = (x >= F.col("_from")) & (x < F.col("_to"))
-    else:
-        # a draw of exactly zero takes the first value
-        inside = ((x > F.col("_from")) | ((x == 0) & (F.col("_from") == 0))) & (x <= F.col("_to"))
-    rows = draws.withColumn("_bucket", F.floor(x * BUCKETS))
-    return join_stays(rows, steps, [*keys, "_bucket"], [draw_id], inside).drop("_bucket", "_from", "_to")
-
-
-def draw_categories(draws: DataFrame, observed: DataFrame, keys: Sequence[str], u: str, value: str, draw_id: str) -> DataFrame:
+    known = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys), F.lit(True))
+    first = closed == "right"  # whether a step stands before the draws at its place
+    absent = [F.lit(None).cast(f.dataType).alias(f.name) for f in draws.schema if f.name not in keys]
+    points = draws.where(F.col(u).isNotNull() & known).select(
+        *draws.columns, F.lit(None).cast(table.schema[value].dataType).alias("_value"), (-F.col(u)).alias("_at"), F.lit(1 if first else 0).alias("_side"),
+    ).unionByName(table.where(known).select(
+        *keys, *absent, F.col(value).alias("_value"), (-F.col("ecdf")).alias("_at"), F.lit(0 if first else 1).alias("_side"),
+    ))
+    step = F.col("_side") == F.lit(0 if first else 1)
+    chunked = points.withColumn(CHUNK, F.floor(F.col("_at") * chunks_of(points)))
+    group = [*keys] or ["_all"]
+    if not keys:
+        chunked = chunked.withColumn("_all", F.lit(0))
+    drawn = previous_values(chunked, group, ["_at", "_side"], CHUNK, {"_drawn": (F.struct(F.col("_value").alias("value")), step)})
+    return drawn.where(~step & F.col("_drawn").isNotNull()).select(*draws.columns, F.col("_drawn.value").alias(value))
+
+
+def chunks_of(df: DataFrame, rows: int = ROWS) -> Column:
+    """In how many chunks of a uniform number ``df`` is cut, so that one has about ``rows`` rows."""
+    return df.agg(F.ceil(F.count(F.lit(1)) / rows) + 7).scalar()
+
+
+def draw_categories(draws: DataFrame, observed: DataFrame, keys: Sequence[str], u: str, value: str) -> DataFrame:
     """Category per draw given its band; categories are taken in lexical order (a dictionary's size)."""
-    return inverse_cdf(draws, ecdf(observed, value, keys, F.lit(0)), keys, u, value, draw_id, "left")
+    return inverse_cdf(draws, ecdf(observed, value, keys, F.lit(0)), keys, u, value, "left")
 
 
-def draw_numbers(draws: DataFrame, observed: DataFrame, u: str, value: str, draw_id: str) -> DataFrame:
-    return inverse_cdf(draws, ecdf(observed, value), [], u, value, draw_id, "right")
+def draw_numbers(draws: DataFrame, observed: DataFrame, u: str, value: str) -> DataFrame:
+    return inverse_cdf(draws, ecdf(observed, value), [], u, value, "right")
 
 
 def bernoulli(draws: DataFrame, observed: DataFrame, key: str, event: Column, u: str, draw_id: str, name: str) -> DataFrame:
@@ -61,7 +73,7 @@ def matched_donor(
     """
     cohort = donors.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[F.avg(m).alias(f"_mean_{m}") for m in measures])
     spread = donors.select(*keys, donor_id, *measures, hashed_uniform(F.col(donor_id), "donor").alias("_u")).withColumn(
-        CHUNK, F.floor(F.col("_u") * BUCKETS)
+        CHUNK, F.floor(F.col("_u") * chunks_of(donors))
     )
     numbered = number_rows(spread, keys, ["_u", donor_id], CHUNK, "_place").drop("_u", CHUNK)
     sized = join_stays(draws, cohort, keys, [draw_id], how="left").withColumn("_place", F.floor(F.col(u) * F.col("_n")) + 1)
@@ -74,6 +86,19 @@ def matched_donor(
     )
 
 
+def with_noise(drawn: DataFrame, spread: DataFrame, keys: Sequence[str], draw_id: str, measure: str) -> DataFrame:
+    """Results of :func:`matched_donor` in which a mean is replaced by a normal draw around it.
+
+    ``spread`` has one row per ``keys`` with the column ``std``, as :func:`widened_std` gives it. The draw is repeatable: two independent
+    uniform numbers from the id by the Box-Muller rule. Without a deviation the mean stays; values of donors stay as they are.
+    """
+    uniform = [hashed_uniform(F.col(draw_id), f"noise{i}|{measure}") for i in (1, 2)]
+    normal = F.sqrt(-2 * F.log(1 - uniform[0])) * F.cos(2 * math.pi * uniform[1])
+    wide = join_stays(drawn, spread.select(*keys, F.col("std").alias("_std")), keys, [draw_id], how="left")
+    moved = F.col(measure) + F.when(F.col("matched") == "mean", F.coalesce(F.col("_std") * normal, F.lit(0.0))).otherwise(0.0)
+    return wide.withColumn(measure, moved).select(*drawn.columns)
+
+
 def widened_std(
     draws: DataFrame, donors: DataFrame, keys: Sequence[str], age: str, band, measure: str, reach: int = 25,
 ) -> DataFrame:

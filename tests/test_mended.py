@@ -11,7 +11,7 @@ from icuflow.learn.evaluate import with_folds
 from icuflow.operators import prepare
 from icuflow.operators.generate import densify
 from icuflow.operators.joins import asof_lookback
-from icuflow.operators.sampling import widened_std
+from icuflow.operators.sampling import draw_categories, draw_numbers, widened_std, with_noise
 from icuflow.operators.tables import binary_encode, category_codes
 from icuflow.session import scratch_root
 from icuflow.sources.tables import load_run_logs, write_csv
@@ -85,3 +85,35 @@ def test_encoder_of_many_categories(spark):
     got = binary_encode(df, category_codes(df, "c"), "c", "b").where("c = 'v02047' or c is null").collect()
     bits = {r.c: int("".join(str(r[f"b_{i}"]) for i in range(12)), 2) for r in got}
     assert bits == {"v02047": 2048, None: 0}
+
+
+def test_draws_of_a_continuous_measure(spark):
+    observed = spark.range(700).select(((F.col("id") * 37) % 613 + F.col("id") / 1000).alias("v"))
+    draws = spark.range(400).select("id", F.when(F.col("id") < 398, ((F.col("id") * 17) % 400) / 400).alias("u"), F.when(F.col("id") % 50 != 7, 1).alias("k"))
+    values = sorted(r.v for r in observed.collect())
+    got = {r.id: r.v for r in draw_numbers(draws, observed, "u", "v").collect()}
+    assert got == {i: values[max(-(-(i * 17 % 400) * 7 // 4) - 1, 0)] for i in range(398)}
+    named = observed.select("v", F.lit(1).alias("k"))
+    got = {r.id: r.v for r in draw_categories(draws, named, ["k"], "u", "v").collect()}
+    assert got == {i: values[(i * 17 % 400) * 7 // 4] for i in range(398) if i % 50 != 7}
+
+
+@pytest.mark.parametrize("rows", [1_000_000, 3])
+def test_undersampling_takes_the_lowest_hashes(spark, rows):
+    df = spark.range(900).select("id", F.when(F.col("id") % 9 == 0, F.lit(None)).otherwise(F.col("id") % 2).cast("int").alias("y"))
+    lowest = {}
+    for r in df.withColumn("u", hashed_uniform(F.col("id"), "balance")).collect():
+        lowest.setdefault(r.y, []).append((r.u, r.id))
+    want = {i for found in lowest.values() for _, i in sorted(found)[:100]}
+    assert len(lowest) == 3 and {r.id for r in prepare.undersample(df, "y", "id", rows).collect()} == want
+
+
+def test_noise_for_small_cohorts_only(spark):
+    drawn = spark.range(3000).select(
+        "id", (F.col("id") % 3).alias("k"), F.lit(5.0).alias("v"), F.when(F.col("id") % 3 == 0, "donor").otherwise("mean").alias("matched"))
+    spread = spark.createDataFrame([(0, 9.0), (1, 2.0), (2, None)], "k long, std double")
+    rows = with_noise(drawn, spread, ["k"], "id", "v").collect()
+    assert len(rows) == 3000 and all(r.v == 5.0 for r in rows if r.k != 1)
+    noisy = [r.v for r in rows if r.k == 1]
+    mean = sum(noisy) / 1000
+    assert abs(mean - 5) < 0.25 and abs(math.sqrt(sum((x - mean) ** 2 for x in noisy) / 999) - 2) < 0.2

@@ -63,10 +63,10 @@ def test_scaling_uses_the_population_deviation(spark):
 def test_inverse_cdf_edges(spark):
     seen = spark.createDataFrame([("a",), ("a",), ("b",), ("c",)], "v string").withColumn("band", F.lit(1))
     draws = spark.createDataFrame([(1, 0.0), (2, 0.49), (3, 0.5), (4, 0.75), (5, 0.9999)], "id int, u double").withColumn("band", F.lit(1))
-    got = {r["id"]: r["v"] for r in sampling.draw_categories(draws, seen, ["band"], "u", "v", "id").collect()}
+    got = {r["id"]: r["v"] for r in sampling.draw_categories(draws, seen, ["band"], "u", "v").collect()}
     assert got == {1: "a", 2: "a", 3: "b", 4: "c", 5: "c"}
     numbers = spark.createDataFrame([(10,), (10,), (30,), (40,)], "v int")
-    got = {r["id"]: r["v"] for r in sampling.draw_numbers(draws.drop("band"), numbers, "u", "v", "id").collect()}
+    got = {r["id"]: r["v"] for r in sampling.draw_numbers(draws.drop("band"), numbers, "u", "v").collect()}
     assert got == {1: 10, 2: 10, 3: 10, 4: 30, 5: 40}
 
 

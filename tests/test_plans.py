@@ -17,7 +17,8 @@ def plan(df):
 PLAIN = [
     "vitals_first_day", "labs_first_day", "bloodgas_arterial", "gcs_first_day", "caregiver_counts", "window_range_join",
     "point_in_interval_join", "asof_lookback_join", "pair_cooccurrence", "sessionize", "row_number_rank", "quantile_curve", "roc_auc",
-    "f1_threshold_sweep", "inverse_cdf_sample", "widened_cohort_std", "kde_grid", "undersample", "echo_notes",
+    "f1_threshold_sweep", "inverse_cdf_sample", "inverse_cdf_numeric", "matched_donor_noise", "widened_cohort_std",
+    "kde_grid", "undersample", "echo_notes",
 ]
 
 
