@@ -9,11 +9,11 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from icuflow.catalog.clinical_sql import with_views
-from icuflow.catalog.extracts import MIN_DEATHS, MIN_PAIRS, TOP, day_table
+from icuflow.catalog.extracts import CATEGORIES, DUMMIES, MIN_DEATHS, MIN_PAIRS, TOP, day_table
 from icuflow.catalog.features import VITAL
 from icuflow.catalog.registry import query
 from icuflow.catalog.sampling import sql_draw
-from icuflow.functions.values import flag
+from icuflow.functions.values import flag, one_hot
 from icuflow.learn import evaluate
 from icuflow.learn.impute import fit_imputer
 from icuflow.learn.models import MODELS
@@ -76,22 +76,17 @@ def predictions(spark, folder, model, *class_counts, **settings):
     return out
 
 
-GAPS = 5  # columns with gaps; all 64 take part in every regression
-
-
 @query("iterative_impute", "SELECT vec_id, " + ", ".join(
-    f"CASE WHEN vec_id % {5 + i} != 0 THEN round(CAST(embedding[{i + 1}] AS DOUBLE), 4) END AS x{i}" if i < GAPS else
-    f"round(CAST(embedding[{i + 1}] AS DOUBLE), 4) AS x{i}" for i in range(64)) + ", " + ", ".join(
-    f"CAST(vec_id % {5 + i} = 0 AS INTEGER) AS filled{i}" for i in range(GAPS)) + " FROM embeddings")
-def _(spark, folder):
-    k = F.col("vec_id")
-    gap = [k % (5 + i) == 0 for i in range(GAPS)]
-    x = [F.col("embedding")[i].cast("double") for i in range(64)]
-    rows = scan(spark, folder, "embeddings", "vec_id", "embedding").select("vec_id", *[
-        (F.when(~gap[i], x[i]) if i < GAPS else x[i]).alias(n) for i, n in enumerate(NAMES)])
+    f"CASE WHEN vec_id % {5 + i} != 0 THEN round(CAST(embedding[{i + 1}] AS DOUBLE), 4) END AS x{i}" for i in range(64)) + ", " + ", ".join(
+    f"CAST(vec_id % {5 + i} = 0 AS INTEGER) AS filled{i}" for i in range(64)) + " FROM embeddings")
+def _(spark, folder):
+    """All 64 columns have gaps, at different rows, and each is filled from the other 63."""
+    gap = [F.col("vec_id") % (5 + i) == 0 for i in range(64)]
+    rows = scan(spark, folder, "embeddings", "vec_id", "embedding").select(
+        "vec_id", *[F.when(~gap[i], F.col("embedding")[i].cast("double")).alias(n) for i, n in enumerate(NAMES)])
     _, full = fit_imputer(rows, NAMES)
-    known = [F.when(~gap[i], F.round(n, 4)).alias(n) if i < GAPS else F.round(n, 4).alias(n) for i, n in enumerate(NAMES)]
-    near = [flag(gap[i] & F.col(NAMES[i]).between(-5, 5)).alias(f"filled{i}") for i in range(GAPS)]
+    known = [F.when(~gap[i], F.round(n, 4)).alias(n) for i, n in enumerate(NAMES)]
+    near = [flag(gap[i] & F.col(NAMES[i]).between(-5, 5)).alias(f"filled{i}") for i in range(64)]
     return full.select("vec_id", *known, *near)
 
 
@@ -147,14 +142,13 @@ def _(spark, folder):
     return spark.createDataFrame(good, "feature string, optimal int")
 
 
+BOOSTING = 3  # rounds of the boosted members where many models are fitted
+
+
 @query("stacking", sql_checked(3).replace(", 1 AS learns", ""))
 def _(spark, folder):
     train, test = sides(table(spark, folder, 3))
-    bases = {
-        "forest": lambda df: MODELS["random_forest"](df, classes=3),
-        "logistic": lambda df: MODELS["logistic_regression"](df, classes=3),
-    }
-    fitted = evaluate.stack(train, "vec_id", bases, 3, propagate=[0, 1, 2])
+    fitted = evaluate.stack(train, "vec_id", evaluate.base_models(3, BOOSTING), 3, propagate=[0, 1, 2])
     return checked(fitted.predict(test), None, 3)
 
 
@@ -173,6 +167,12 @@ def _(spark, folder):
     return found.select("max_depth", "min_leaf", flag(F.col("auc").between(0, 1)).alias("auc_in_range"))
 
 
+@query("grid_search_r2", "SELECT CAST(r AS DOUBLE) AS learning_rate, d AS max_depth, 1 AS r2_in_range FROM (VALUES (0.03), (0.05), (0.07)) a(r), (VALUES (5), (6), (7)) b(d)")
+def _(spark, folder):
+    found = evaluate.grid_search_r2(table(spark, folder, 2), rounds=BOOSTING, folds=2)
+    return found.select("learning_rate", "max_depth", flag(F.col("r2") <= 1).alias("r2_in_range"))
+
+
 @query("feature_importance", " UNION ALL ".join(f"SELECT '{n}' AS feature, 1 AS in_range, 1 AS largest_is_one" for n in NAMES))
 def _(spark, folder):
     train, _ = sides(table(spark, folder, 3))
@@ -181,9 +181,6 @@ def _(spark, folder):
 
 
 DIAGNOSIS = ["deathrate_cat_1", "deathrate_cat_2", "deathrate_int_cat_1", "deathrate_int_cat_2", "age"]
-STAY_COLUMNS = [c for c in SCORE_FEATURES if c not in ("respiration", "coagulation", "liver", "cardiovascular", "cns", "renal")]
-
-
 SHARES = ("accuracy", "recall", "precision", "auc", "pr_auc", "best_threshold", "best_f1")
 
 
@@ -191,26 +188,34 @@ SHARES = ("accuracy", "recall", "precision", "auc", "pr_auc", "best_threshold",
     SELECT 'random_forest' AS model, count(*) AS n_test, {', '.join(f'1 AS {c}_in_range' for c in SHARES)} FROM icustays
     WHERE {sql_draw('split', 'icustay_id')} < 0.25""", "icustays"))
 def _(spark, folder):
+    """Diagnosis flags, both scores' inputs, vital signs and one-hot categories of every stay."""
     v = clinical_views(spark, folder, stage)
-    f = scores.score_features(v, "oasis", stage)
+    f = scores.score_features(v, "all_scores", stage)
     main = diagnosis_features(stage(extracts.all_diagnoses(v), "diagnoses"), MIN_DEATHS, MIN_PAIRS, TOP, stage)
-    graded = scores.oasis(v, f).select("icustay_id", "icustay_expire_flag", *STAY_COLUMNS)
-    rows = stage(main.select("icustay_id", *DIAGNOSIS).join(graded, "icustay_id").join(
-        f["vitals"].drop("subject_id", "hadm_id"), "icustay_id"), "stays")
-    columns = [*DIAGNOSIS, *STAY_COLUMNS, *VITAL]
-    found = outcomes.mortality_model(rows, "icustay_id", "icustay_expire_flag", columns, columns, rounds=1)
+    graded = scores.oasis(v, f).join(scores.sofa(v, f).drop("subject_id", "hadm_id"), "icustay_id", "left").select(
+        "icustay_id", "icustay_expire_flag", *SCORE_FEATURES)
+    dummies = [c.alias(f"dummy_{i}_{j}") for i, name in enumerate(CATEGORIES) for j, c in enumerate(one_hot(F.col(name), CATEGORIES[name], ""))]
+    kept = main.select("icustay_id", *DIAGNOSIS, *dummies)
+    rows = stage(kept.join(graded, "icustay_id").join(f["vitals"].drop("subject_id", "hadm_id"), "icustay_id"), "stays")
+    scaled = [*DIAGNOSIS, *SCORE_FEATURES, *VITAL]
+    found = outcomes.mortality_model(
+        rows, "icustay_id", "icustay_expire_flag", [*scaled, *[c for c in kept.columns if c.startswith("dummy_")]], scaled)
     return found.select("model", (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("n_test"), *[
         flag(F.col(c).between(0, 1)).alias(f"{c}_in_range") for c in SHARES])
 
 
-@query("outcome_model", "SELECT 'random_forest' AS model, 1 AS reweighted_in_range, 1 AS plain_in_range")
+@query("outcome_model", " UNION ALL ".join(
+    f"SELECT '{m}' AS model, 1 AS reweighted_in_range, 1 AS plain_in_range, 1 AS cautious_in_range" for m in outcomes.LINE_UP))
 def _(spark, folder):
+    """All five models on every feature of the day table, called in three ways."""
     out = F.col("out_flag")
     rows = day_table(spark, folder).withColumn("label", F.when(out == -1, 2).otherwise(out)).withColumn(
         "row_id", F.concat_ws("|", "icustay_id", "day_of_stay")
     )
-    scaled = ["age", *SCORE_FEATURES, "day_of_stay", "cum_caretime_doctors", "cum_caretime_nurses", *[c for c in VITAL if c in rows.columns]]
+    scaled = ["age", *SCORE_FEATURES, "day_of_stay", "cum_caretime_doctors", "cum_caretime_nurses", *VITAL]
     flags = ["procedure_significantevents", "procedure_ventilation", *[f"icd9_code_cat_{i}" for i in range(5)], *DIAGNOSIS[:4]]
-    rows = stage(rows.select("row_id", "label", *scaled, *flags), "days")
-    found = outcomes.outcome_model(rows, "row_id", "label", [*scaled, *flags], scaled, ("random_forest",), rounds=1)
-    return found.select("model", *[flag(F.col(c).between(0, 1)).alias(f"{c}_in_range") for c in ("reweighted", "plain")])
+    dummies = [F.col(f"`{d}`").alias(f"dummy_{i}") for i, d in enumerate(DUMMIES)]
+    rows = stage(rows.select("row_id", "label", *scaled, *flags, *dummies), "days")
+    columns = [*scaled, *flags, *[f"dummy_{i}" for i in range(len(DUMMIES))]]
+    found = outcomes.outcome_model(rows, "row_id", "label", columns, scaled, boosting=BOOSTING)
+    return found.select("model", *[flag(F.col(c).between(0, 1)).alias(f"{c}_in_range") for c in ("reweighted", "plain", "cautious")])

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.feature import SQLTransformer
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from icuflow.functions.values import argmax_class, hashed_uniform
-from icuflow.learn.models import SEED, Fitted, _native
+from icuflow.learn.models import MODELS, SEED, Fitted, _native
 from icuflow.sources.tables import stage
 
 Fit = Callable[[DataFrame], Fitted]
@@ -72,6 +74,31 @@ def grid_search(df: DataFrame, depths: Sequence[int] = (3, 5, 7, 9), leaves: Seq
     return df.sparkSession.createDataFrame(rows, "max_depth int, min_leaf int, auc double")
 
 
+def grid_search_r2(
+    df: DataFrame, rates: Sequence[float] = (0.03, 0.05, 0.07), depths: Sequence[int] = (5, 6, 7), rounds: int = 90, folds: int = 5,
+) -> DataFrame:
+    """Mean r2 of the called class per (learning rate, depth) of trees boosted on the squared error of a 0/1 label."""
+    trees = GBTRegressor(
+        maxIter=rounds, subsamplingRate=0.7, featureSubsetStrategy="0.7", minInstancesPerNode=4, predictionCol="_raw", seed=SEED)
+    called = SQLTransformer(statement="SELECT *, CAST(_raw > 0.5 AS DOUBLE) AS prediction FROM __THIS__")
+    grid = ParamGridBuilder().addGrid(trees.stepSize, [float(r) for r in rates]).addGrid(trees.maxDepth, list(depths)).build()
+    found = CrossValidator(
+        estimator=Pipeline(stages=[trees, called]), estimatorParamMaps=grid, evaluator=RegressionEvaluator(metricName="r2"), numFolds=folds,
+        seed=SEED, parallelism=4,
+    ).fit(df.withColumn("label", F.col("label").cast("double")))
+    rows = [(float(p[trees.stepSize]), p[trees.maxDepth], float(m)) for p, m in zip(grid, found.avgMetrics)]
+    return df.sparkSession.createDataFrame(rows, "learning_rate double, max_depth int, r2 double")
+
+
+BASES = ("random_forest", "gradient_boosting", "boosting_regularized", "logistic_regression")
+
+
+def base_models(classes: int, boosting: int | None = None) -> dict[str, Fit]:
+    """The four bases of the stack; ``boosting`` replaces the rounds of the boosted ones."""
+    short = {"rounds": boosting} if boosting else {}
+    return {name: lambda df, name=name: MODELS[name](df, classes=classes, **short) for name in BASES}
+
+
 def stack(
     train: DataFrame, key: str, bases: dict[str, Fit], classes: int, propagate: Sequence[int] = (), folds: int = 5, trees: int = 50,
 ) -> Fitted:

@@ -7,8 +7,6 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,23 +21,59 @@ class Step(NamedTuple):
     weights: list[float]
 
 
-def _fill(steps: Sequence[Step], columns: Sequence[str]):
-    """Batch function that applies the steps one after the other to the rows with a gap.
+RIDGE = 1e-6  # share of each column's variance added to the normal equations
+
+
+def _applied(batch: pd.DataFrame, steps: Sequence[Step], columns: Sequence[str]) -> np.ndarray:
+    """The rows' values after the steps, one after the other, each on the rows with a gap.
 
     A chain of projections would inline every step into the next and grow without bound; on an
     Arrow batch each step is one matrix product.
     """
+    x = batch[list(columns)].to_numpy(dtype=float, copy=True)
+    for step in steps:
+        gap = batch[f"_gap_{columns[step.column]}"].to_numpy(dtype=bool)
+        x[gap, step.column] = step.intercept + x[gap] @ np.array(step.weights)
+    return x
+
+
+def _fill(steps: Sequence[Step], columns: Sequence[str]):
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            x = batch[list(columns)].to_numpy(dtype=float, copy=True)
-            for step in steps:
-                gap = batch[f"_gap_{columns[step.column]}"].to_numpy(dtype=bool)
-                x[gap, step.column] = step.intercept + x[gap] @ np.array(step.weights)
-            batch[list(columns)] = x
+            batch[list(columns)] = _applied(batch, steps, columns)
             yield batch
     return fill
 
 
+def _regression(rows: DataFrame, column: str, columns: Sequence[str], steps: Sequence[Step], centre: np.ndarray) -> Step:
+    """Ridge regression of ``column`` on all others over the rows that have it, after ``steps``: one pass over the table.
+
+    A task sums the products of all pairs of columns, counted from ``centre`` so that nothing cancels; Spark adds the tasks' cells, and
+    the driver solves the equations, whose size is that of the columns alone.
+    """
+    size = len(columns) + 1
+    gaps = dict.fromkeys([f"_gap_{column}", *[f"_gap_{columns[s.column]}" for s in steps]])
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((size, size))
+        for batch in batches:
+            known = ~batch[f"_gap_{column}"].to_numpy(dtype=bool)
+            x = np.column_stack([np.ones(known.sum()), _applied(batch, steps, columns)[known] - centre])
+            total += x.T @ x
+        yield pd.DataFrame({"cell": np.arange(size * size, dtype=np.int32), "value": total.ravel()})
+    cells = rows.select(*columns, *gaps).mapInPandas(products, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
+    total = np.zeros(size * size)
+    total[cells["cell"].to_numpy()] = cells["value"].to_numpy()
+    total = total.reshape(size, size)
+    at = list(columns).index(column)
+    others = np.delete(np.arange(size), at + 1)
+    normal = total[np.ix_(others, others)]
+    spread = np.diag(normal) - normal[0] ** 2 / normal[0, 0]
+    solved = np.linalg.lstsq(normal + RIDGE * np.diag(np.maximum(spread, 0.0)), total[others, at + 1], rcond=None)[0]
+    weights = np.insert(solved[1:], at, 0.0)
+    return Step(at, float(centre[at] + solved[0] - weights @ centre), weights.tolist())
+
+
 class Imputer(NamedTuple):
     """Start means and the fitted regressions in the order they were applied."""
 
@@ -65,7 +99,7 @@ class Imputer(NamedTuple):
 def fit_imputer(train: DataFrame, columns: Sequence[str], rounds: int = 3) -> tuple[Imputer, DataFrame]:
     """Mean start, then ``rounds`` times a linear regression of each incomplete column on all others.
 
-    Every regression is one distributed pass (normal equations). The table is written to the shared
+    Every regression is one distributed pass, see :func:`_regression`. The table is written to the shared
     folder after each round: the next round starts from data, not from a growing plan. A column
     without any value starts at, and keeps, zero.
     """
@@ -81,13 +115,7 @@ def fit_imputer(train: DataFrame, columns: Sequence[str], rounds: int = 3) -> tu
     for _ in range(rounds if incomplete else 0):
         done: list[Step] = []
         for column in incomplete:
-            others = [c for c in columns if c != column]
-            known = imputer.fill(rows, done).filter(~F.col(f"_gap_{column}"))
-            line = LinearRegression(featuresCol="_others", labelCol=column, solver="normal", regParam=1e-6).fit(
-                VectorAssembler(inputCols=others, outputCol="_others").transform(known)
-            )
-            weights = dict(zip(others, (float(w) for w in line.coefficients)))
-            done.append(Step(columns.index(column), float(line.intercept), [weights.get(c, 0.0) for c in columns]))
+            done.append(_regression(rows, column, columns, done, np.array([means[c] for c in columns])))
         imputer.steps.extend(done)
         rows = stage(imputer.fill(rows, done), "impute")
     return imputer, imputer.finish(rows)

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from icuflow.functions.values import argmax_class, flag, reweight, reweight_classes
+from icuflow.functions.values import argmax_class, cautious_class, flag, reweight, reweight_classes
+from icuflow.learn.evaluate import base_models, stack
 from icuflow.learn.impute import fit_imputer
 from icuflow.learn.models import MODELS, assemble
 from icuflow.operators import metrics, prepare
@@ -49,26 +50,32 @@ def mortality_model(
                       F.col("_best.f1").alias("best_f1"))
 
 
+LINE_UP = ("random_forest", "gradient_boosting", "boosting_regularized", "rbf_svm", "stacking")
+
+
 def outcome_model(
-    rows: DataFrame, key: str, label: str, columns: Sequence[str], scaled: Sequence[str], models: Sequence[str] = ("random_forest",),
-    rounds: int = 3, **settings,
+    rows: DataFrame, key: str, label: str, columns: Sequence[str], scaled: Sequence[str], models: Sequence[str] = LINE_UP,
+    rounds: int = 3, boosting: int | None = None,
 ) -> DataFrame:
-    """Three-class model (0 stays, 1 dies, 2 leaves); weighted average precision per model.
+    """Three-class models (0 stays, 1 dies, 2 leaves); weighted average precision per model.
 
-    The class shares that move the probabilities come from the test labels, as defined.
+    The class is called in three ways: from the reweighted probabilities, from the plain ones, and by the rule that calls class 2
+    over class 1 only when it is ten times as likely. The class shares that move the probabilities come from the test labels, as
+    defined. ``rounds`` are those of the imputation; ``boosting`` replaces the boosting rounds of every model.
     """
     train, test = prepared(rows, key, label, columns, scaled, 0.1, rounds)
     shares = test.agg(F.struct(*[F.avg(flag(F.col("label") == c)).alias(f"q{c}") for c in range(3)]).alias("q")).scalar()
+    short = {"rounds": boosting} if boosting else {}
     out = None
     for name in models:
-        fitted = MODELS[name](train, classes=3, **settings)
+        fitted = stack(train, key, base_models(3, boosting), 3, propagate=[0, 1, 2]) if name == "stacking" else MODELS[name](train, classes=3, **short)
         rows_ = fitted.predict(test).withColumn("_q", shares)
-        moved = reweight_classes([F.col("prob")[c] for c in range(3)], [F.col(f"_q.q{c}") for c in range(3)], [1 / 3] * 3)
-        plain, weighted = argmax_class([F.col("prob")[c] for c in range(3)]), argmax_class(moved)
-        scored = stage(rows_.select("label", plain.alias("plain"), weighted.alias("weighted")), "scored")
-        part = metrics.average_precision_weighted(scored, F.col("label"), F.col("weighted"), [0, 1, 2]).select(
-            F.lit(name).alias("model"), F.col("average_precision").alias("reweighted"),
-            metrics.average_precision_weighted(scored, F.col("label"), F.col("plain"), [0, 1, 2]).scalar().alias("plain"),
-        )
+        probs = [F.col("prob")[c] for c in range(3)]
+        moved = reweight_classes(probs, [F.col(f"_q.q{c}") for c in range(3)], [1 / 3] * 3)
+        ways = {"reweighted": argmax_class(moved), "plain": argmax_class(probs), "cautious": cautious_class(probs)}
+        scored = stage(rows_.select("label", *[c.alias(way) for way, c in ways.items()]), "scored")
+        areas = {way: metrics.average_precision_weighted(scored, F.col("label"), F.col(way), [0, 1, 2]) for way in ways}
+        first = areas.pop("reweighted").select(F.lit(name).alias("model"), F.col("average_precision").alias("reweighted"))
+        part = first.select("*", *[area.scalar().alias(way) for way, area in areas.items()])
         out = part if out is None else out.unionByName(part)
     return out
