@@ -45,14 +45,14 @@ def _fill(steps: Sequence[Step], columns: Sequence[str]):
     return fill
 
 
-def _regression(rows: DataFrame, column: str, columns: Sequence[str], steps: Sequence[Step], centre: np.ndarray) -> Step:
+def _regression(rows: DataFrame, column: str, columns: Sequence[str], gaps: Sequence[str], steps: Sequence[Step], centre: np.ndarray) -> Step:
     """Ridge regression of ``column`` on all others over the rows that have it, after ``steps``: one pass over the table.
 
     A task sums the products of all pairs of columns, counted from ``centre`` so that nothing cancels; Spark adds the tasks' cells, and
-    the driver solves the equations, whose size is that of the columns alone.
+    the driver solves the equations, whose size is that of the columns alone. ``gaps`` are the gap columns of all columns that take part, the
+    same for each regression, so that Spark compiles one plan for all.
     """
     size = len(columns) + 1
-    gaps = dict.fromkeys([f"_gap_{column}", *[f"_gap_{columns[s.column]}" for s in steps]])
 
     def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((size, size))
@@ -111,11 +111,12 @@ def fit_imputer(train: DataFrame, columns: Sequence[str], rounds: int = 3) -> tu
     means = {c: float(stats[f"m_{c}"]) if stats[f"m_{c}"] is not None else 0.0 for c in columns}
     incomplete = sorted((c for c in columns if 0 < stats[f"g_{c}"] < stats["n"]), key=lambda c: (stats[f"g_{c}"], c))
     imputer = Imputer(columns, means, [])
+    gaps = [f"_gap_{c}" for c in incomplete]
     rows = stage(imputer.start(train), "impute")
     for _ in range(rounds if incomplete else 0):
         done: list[Step] = []
         for column in incomplete:
-            done.append(_regression(rows, column, columns, done, np.array([means[c] for c in columns])))
+            done.append(_regression(rows, column, columns, gaps, done, np.array([means[c] for c in columns])))
         imputer.steps.extend(done)
         rows = stage(imputer.fill(rows, done), "impute")
     return imputer, imputer.finish(rows)

@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from icuflow.learn.evaluate import importance_table, stack
+from icuflow.learn.evaluate import BASES, base_models, grid_search_r2, importance_table, stack
 from icuflow.learn.impute import fit_imputer
 from icuflow.learn.models import MODELS, assemble
 
@@ -45,3 +46,32 @@ def test_stack_and_importances(spark):
     assert sum((r["p"] > 0.5) == (r["label"] == 1) for r in out) > 130
     table = importance_table(spark, [0.2, 0.8], ["a", "b"]).collect()
     assert [(r["feature"], r["importance"]) for r in table] == [("b", 1.0), ("a", 0.25)]
+
+
+def test_imputer_equals_chained_regressions(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(1e4, 1, (200, 4)) @ rng.normal(0, 1, (4, 4))
+    gap = np.zeros((200, 4), bool)
+    gap[::5, 0], gap[1::7, 2], gap[::11, 3] = True, True, True
+    names = ["a", "b", "c", "d"]
+    rows = [[i, *[None if g else float(v) for v, g in zip(*r)]] for i, r in enumerate(zip(x, gap))]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double, d double")
+    got = np.array([[r[c] for c in names] for r in fit_imputer(df, names, rounds=2)[1].orderBy("id").collect()])
+    want = np.where(gap, np.nanmean(np.where(gap, np.nan, x), 0), x)
+    for _ in range(2):
+        for j in np.argsort(gap.sum(0), kind="stable")[1:]:  # fewest gaps first; b has none
+            others = [i for i in range(4) if i != j]
+            centre = want[:, others].mean(0)
+            z = np.column_stack([np.ones(200), want[:, others] - centre])
+            w = np.linalg.lstsq(z[~gap[:, j]], want[~gap[:, j], j], rcond=None)[0]
+            want[gap[:, j], j] = z[gap[:, j]] @ w
+    assert np.allclose(got, want, rtol=0, atol=2e-3 * np.std(x)) and np.array_equal(got[~gap], x[~gap])
+
+
+def test_second_grid_and_line_up(spark):
+    df = blobs(spark, 2)
+    found = grid_search_r2(df, (0.1, 0.5), (2,), rounds=4, folds=2).collect()
+    assert [(r.learning_rate, r.max_depth) for r in found] == [(0.1, 2), (0.5, 2)] and all(0.5 < r.r2 <= 1 for r in found)
+    assert tuple(base_models(2)) == BASES
+    out = base_models(2, 2)["boosting_regularized"](df).predict(df).select("prob").first()
+    assert abs(sum(out.prob) - 1) < 1e-9
