@@ -7,6 +7,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,48 +25,48 @@ class Step(NamedTuple):
 RIDGE = 1e-6  # share of each column's variance added to the normal equations
 
 
-def _applied(batch: pd.DataFrame, steps: Sequence[Step], columns: Sequence[str]) -> np.ndarray:
-    """The rows' values after the steps, one after the other, each on the rows with a gap.
+def _applied(x: np.ndarray, gap: np.ndarray, steps: Sequence[Step]) -> np.ndarray:
+    """``x`` after the steps, one after the other, each on the rows with a gap in its column.
 
     A chain of projections would inline every step into the next and grow without bound; on an
     Arrow batch each step is one matrix product.
     """
-    x = batch[list(columns)].to_numpy(dtype=float, copy=True)
     for step in steps:
-        gap = batch[f"_gap_{columns[step.column]}"].to_numpy(dtype=bool)
-        x[gap, step.column] = step.intercept + x[gap] @ np.array(step.weights)
+        rows = gap[:, step.column]
+        x[rows, step.column] = step.intercept + x[rows] @ np.array(step.weights)
     return x
 
 
 def _fill(steps: Sequence[Step], columns: Sequence[str]):
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch[list(columns)] = _applied(batch, steps, columns)
+            gap = batch[[f"_gap_{c}" for c in columns]].to_numpy(dtype=bool)
+            batch[list(columns)] = _applied(batch[list(columns)].to_numpy(dtype=float, copy=True), gap, steps)
             yield batch
     return fill
 
 
-def _regression(rows: DataFrame, column: str, columns: Sequence[str], gaps: Sequence[str], steps: Sequence[Step], centre: np.ndarray) -> Step:
+def _regression(rows: DataFrame, column: str, columns: Sequence[str], steps: Sequence[Step], centre: np.ndarray) -> Step:
     """Ridge regression of ``column`` on all others over the rows that have it, after ``steps``: one pass over the table.
 
     A task sums the products of all pairs of columns, counted from ``centre`` so that nothing cancels; Spark adds the tasks' cells, and
-    the driver solves the equations, whose size is that of the columns alone. ``gaps`` are the gap columns of all columns that take part, the
-    same for each regression, so that Spark compiles one plan for all.
+    the driver solves the equations, whose size is that of the columns alone. Values and gaps go to the tasks as two arrays a row.
     """
-    size = len(columns) + 1
+    size, at = len(columns) + 1, list(columns).index(column)
 
-    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((size, size))
         for batch in batches:
-            known = ~batch[f"_gap_{column}"].to_numpy(dtype=bool)
-            x = np.column_stack([np.ones(known.sum()), _applied(batch, steps, columns)[known] - centre])
-            total += x.T @ x
-        yield pd.DataFrame({"cell": np.arange(size * size, dtype=np.int32), "value": total.ravel()})
-    cells = rows.select(*columns, *gaps).mapInPandas(products, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
+            x, gap = (batch.column(i).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for i in (0, 1))
+            known = ~gap[:, at]
+            z = np.column_stack([np.ones(known.sum()), _applied(x.copy(), gap, steps)[known] - centre])
+            total += z.T @ z
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size * size, dtype=np.int32)), pa.array(total.ravel())], names=["cell", "value"])
+    packed = rows.select(F.array(*columns), F.array(*[f"_gap_{c}" for c in columns]))
+    cells = packed.mapInArrow(products, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
     total = np.zeros(size * size)
     total[cells["cell"].to_numpy()] = cells["value"].to_numpy()
     total = total.reshape(size, size)
-    at = list(columns).index(column)
     others = np.delete(np.arange(size), at + 1)
     normal = total[np.ix_(others, others)]
     spread = np.diag(normal) - normal[0] ** 2 / normal[0, 0]
@@ -111,12 +112,11 @@ def fit_imputer(train: DataFrame, columns: Sequence[str], rounds: int = 3) -> tu
     means = {c: float(stats[f"m_{c}"]) if stats[f"m_{c}"] is not None else 0.0 for c in columns}
     incomplete = sorted((c for c in columns if 0 < stats[f"g_{c}"] < stats["n"]), key=lambda c: (stats[f"g_{c}"], c))
     imputer = Imputer(columns, means, [])
-    gaps = [f"_gap_{c}" for c in incomplete]
     rows = stage(imputer.start(train), "impute")
     for _ in range(rounds if incomplete else 0):
         done: list[Step] = []
         for column in incomplete:
-            done.append(_regression(rows, column, columns, gaps, done, np.array([means[c] for c in columns])))
+            done.append(_regression(rows, column, columns, done, np.array([means[c] for c in columns])))
         imputer.steps.extend(done)
         rows = stage(imputer.fill(rows, done), "impute")
     return imputer, imputer.finish(rows)
