@@ -104,23 +104,38 @@ def with_fingerprints(docs: DataFrame, text: str = "text", inside: np.ndarray |
 
 
 class Bounds:
-    """First rows of runs of rows in order of doc_id (nulls last), then a hash of the text."""
+    """First rows of runs of rows in order of doc_id (nulls last), then a hash of the text.
+
+    Rows alike that span several starts are split among these runs; the rows of all but the last of them are ``alike``.
+    """
 
     def __init__(self, rows: list[tuple[int | None, int]]):
         self.ids = np.array([r[0] for r in rows if r[0] is not None], np.int64)
         self.hashes = np.array([r[1] for r in rows], np.int64)
+        self.alike = {i for i, (row, after) in enumerate(zip(rows, rows[1:])) if row == after}
+
+    def place(self, ids: pa.Array, hashes: np.ndarray, turns: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """The run of each row, and the run that gets a copy of it to end with, or -1.
 
-    def place(self, ids: pa.Array, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The run of each row, and whether the row is like the run's first."""
+        ``turns`` counts a task's rows that are like the first of a run. They go to the last run that starts with them, then to each in
+        turn, so the last one is never without; the first of them is copied to the run before.
+        """
+        n = len(self.hashes)
         missing = np.asarray(ids.is_null())
         known = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         low, high = np.searchsorted(self.ids, known), np.searchsorted(self.ids, known, "right")
-        low, high = np.where(missing, len(self.ids), low), np.where(missing, len(self.hashes), high)
-        run, first = high - 1, np.zeros(len(ids), bool)
+        low, high = np.where(missing, len(self.ids), low), np.where(missing, n, high)
+        run, guarded = high - 1, np.full(len(ids), -1)
         for i in np.flatnonzero(high > low):
-            run[i] = low[i] + np.searchsorted(self.hashes[low[i] : high[i]], hashes[i], "right") - 1
-            first[i] = run[i] >= low[i] and self.hashes[run[i]] == hashes[i]
-        return np.maximum(run, 0), first
+            equal = self.hashes[low[i] : high[i]]
+            first, last = (low[i] + np.searchsorted(equal, hashes[i], side) for side in ("left", "right"))
+            run[i] = last - 1
+            if last > first:
+                turn = turns.get(last, 0)
+                turns[last] = turn + 1
+                run[i] = first + (turn + last - 1 - first) % (last - first)
+                guarded[i] = (first - 1) % n if not turn else -1
+        return run, guarded
 
 
 def edited_fingerprints(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -130,7 +145,8 @@ def edited_fingerprints(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> Data
     text); after the last comes the first, and a single document follows itself. Null texts read as empty; further columns are not read.
 
     Rows in order are cut into runs of about ``bucket_rows``; each run is one unit of the only shuffle of texts, sorted by Spark and read
-    as a stream, and gets a copy of the next run's first row. The runs' first rows, MOST_BUCKETS at most, reach the driver.
+    as a stream, and gets a copy of the next run's first row from each task that holds one. Rows alike fill runs of their own and follow
+    themselves there. The runs' first rows, MOST_BUCKETS at most, reach the driver.
     """
     inside = docs.sparkSession.sparkContext.broadcast(lexicon(docs))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -142,13 +158,13 @@ def edited_fingerprints(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> Data
     bounds = docs.sparkSession.sparkContext.broadcast(Bounds([tuple(r) for r in firsts]))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = len(bounds.value.hashes)
+        turns: dict[int, int] = {}
         for batch in batches:
-            run, first = bounds.value.place(batch.column(0), batch.column(2).to_numpy())
+            run, guarded = bounds.value.place(batch.column(0), batch.column(2).to_numpy(), turns)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(run), pa.array(np.zeros(len(run), np.int32))], names=names)
-            again = batch.filter(pa.array(first))
+            again = batch.filter(pa.array(guarded >= 0))
             if again.num_rows:
-                yield pa.RecordBatch.from_arrays([*again.columns, pa.array((run[first] - 1) % n), pa.array(np.ones(again.num_rows, np.int32))], names=names)
+                yield pa.RecordBatch.from_arrays([*again.columns, pa.array(guarded[guarded >= 0]), pa.array(np.ones(again.num_rows, np.int32))], names=names)
 
     names = ["doc_id", "text", "h", "run", "guard"]
     dealt = small_batches(keyed).mapInArrow(deal, "doc_id bigint, text string, h bigint, run bigint, guard int")
@@ -158,7 +174,9 @@ def edited_fingerprints(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> Data
         last = None
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4))):
-                if last and last[2] == row[2] and not last[3]:
+                if row[2] in bounds.value.alike:
+                    yield row[0], row[1], row[1]
+                elif last and last[2] == row[2] and not last[3]:
                     yield last[0], last[1], row[1]
                 last = row
 

@@ -193,6 +193,15 @@ def test_imatch(spark, sf):
     assert np.mean([r.near_edited for r in got]) > np.mean([r.near_next for r in got]) + 0.1
 
 
+def test_imatch_keeps_every_repeated_row(spark):
+    rows = [(5, "é b c d e f"), (3, None), (9, "x y " * 9), (1, "a b")] + [(1, "a b")] * 40 + [(5, "é b c d e f")] * 7 + [(None, "")] * 30 + [(None, None)] * 5
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    for part, want in ((df, rows), (df.where("doc_id = 1"), [(1, "a b")] * 41), (df.where("doc_id is null"), [(None, "")] * 35)):
+        for bucket_rows in (1, 2, 3, 10):
+            got = imatch.edited_fingerprints(part, bucket_rows).collect()
+            assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in got) == brute_edited(want)
+
+
 def test_document_frequencies_by_brute_force(spark, sf):
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = {r["class"]: r.n for r in imatch.term_counts(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
