@@ -1,8 +1,8 @@
 """I-Match document fingerprints.
 
-Terms are distinct words; their document frequency is counted over all documents by hash class (``CLASSES`` of them, so the table is
-bounded; terms of one class share a frequency). Terms whose inverse document frequency lies in a band make the lexicon. A document's
-lexicon terms are sorted and hashed, once as a whole and once for each of several random subsets of the lexicon, at rates that fall by 4.
+Terms are distinct words, known by a hash of 63 bits (``CLASSES``); their document frequency is counted over all documents. Terms whose
+inverse document frequency lies in a band make the lexicon, a sorted table of hashes. As each of its terms is in ``e**-BAND[1]`` of the
+documents, it holds at most ``e**BAND[1]`` times as many terms as a document does on average, at any size. A document's lexicon terms are sorted and hashed, once as a whole and once for each of several random subsets of the lexicon, at rates that fall by 4.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from icuflow.llm.batches import add_columns, mixed, small_batches, words_of
 from icuflow.llm.ranks import prefix_sums
 
-CLASSES = 1 << 20
+CLASSES = 1 << 63
+HELD_TERMS = 1 << 20  # that a task adds up before it hands them on
 BAND = (1.5, 12.0)
 SUBSETS = 12
 RATES = (4, 16, 64, 256, 1024, 4096)
@@ -33,33 +34,57 @@ SALTS = np.random.default_rng(77).integers(1, 2**63, SUBSETS, np.uint64)
 def term_counts(docs: DataFrame, text: str = "text", classes: int = CLASSES) -> DataFrame:
     """(class, n): documents that hold a term of the class, over all rows of ``docs``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(classes, np.int64)
+        terms, n, held, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
         for batch in batches:
             for _, words, at in words_of(batch.column(0)):
-                row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-                pair = np.unique(row * classes + (words % np.uint64(classes)).astype(np.int64))
-                n += np.bincount(pair % classes, minlength=classes)
-        seen = np.flatnonzero(n)
-        for i in range(0, len(seen), 100_000):
-            part = seen[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(n[part])], names=["class", "n"])
-
-    return small_batches(docs.select(text)).mapInArrow(run, "class int, n bigint").groupBy("class").agg(F.sum("n").alias("n"))
+                held.append(_counted(*_distinct((words % np.uint64(classes)).astype(np.int64), at)))
+                size += len(held[-1][0])
+                if size >= HELD_TERMS:
+                    terms, n = _counted(*map(np.concatenate, zip((terms, n), *held)))
+                    held, size = [], 0
+                    if len(terms) >= HELD_TERMS:
+                        yield from parts(terms, n)
+                        terms, n = terms[:0], n[:0]
+        yield from parts(*_counted(*map(np.concatenate, zip((terms, n), *held))))
+
+    def parts(terms: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(terms), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(terms[i : i + 100_000]), pa.array(n[i : i + 100_000])], names=["class", "n"])
+
+    return small_batches(docs.select(text)).mapInArrow(run, "class bigint, n bigint").groupBy("class").agg(F.sum("n").alias("n"))
+
+
+def _distinct(terms: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct terms of each row, a count of 1 for each."""
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    order = np.argsort(terms, kind="stable")
+    terms, row = terms[order], row[order]
+    new = np.ones(len(terms), bool)
+    new[1:] = (terms[1:] != terms[:-1]) | (row[1:] != row[:-1])
+    return terms[new], np.ones(int(new.sum()), np.int64)
+
+
+def _counted(terms: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct terms in order and the sum of ``n`` of each."""
+    if (terms[1:] < terms[:-1]).any():
+        order = np.argsort(terms, kind="stable")
+        terms, n = terms[order], n[order]
+    first = np.flatnonzero(np.append(True, terms[1:] != terms[:-1])) if len(terms) else np.zeros(0, np.int64)
+    return terms[first], np.add.reduceat(n, first) if len(first) else n[:0]
 
 
 def lexicon(docs: DataFrame, text: str = "text", band: tuple[float, float] = BAND, classes: int = CLASSES) -> np.ndarray:
-    """Whether each class is in the band of inverse document frequency ln(documents / n); at most ``classes`` numbers reach the driver."""
+    """The classes in the band of inverse document frequency ln(documents / n), in order."""
     total = docs.count()
     low, high = total / math.exp(band[1]), total / math.exp(band[0])
-    inside = np.zeros(classes, bool)
-    inside[term_counts(docs, text, classes).where(F.col("n").between(low, high)).select("class").toArrow()["class"].to_numpy()] = True
-    return inside
+    return np.sort(term_counts(docs, text, classes).where(F.col("n").between(low, high)).select("class").toArrow()["class"].to_numpy())
 
 
-def fingerprint(words: np.ndarray, inside: np.ndarray) -> str:
+def fingerprint(words: np.ndarray, inside: np.ndarray, classes: int = CLASSES) -> str:
     """16 digits for all lexicon terms and 4 for each subset, ``0000`` where it holds none; without lexicon terms all terms count."""
     terms = np.unique(words)
-    within = inside[(terms % np.uint64(len(inside))).astype(np.int64)]
+    wanted = (terms % np.uint64(classes)).astype(np.int64)
+    within = inside.take(np.searchsorted(inside, wanted), mode="clip") == wanted if len(inside) else np.zeros(len(terms), bool)
     terms = terms[within] if within.any() else terms
     out = [f"{xxhash.xxh64_intdigest(terms.tobytes()):016x}"]
     for salt in SALTS:

@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import icuflow.llm.catalog  # noqa: F401
@@ -214,3 +215,20 @@ def test_document_frequencies_by_brute_force(spark, sf):
         for c in {int(w) % imatch.CLASSES for _, words, _ in words_of(pa.array([text])) for w in words}:
             want[c] = want.get(c, 0) + 1
     assert got == want
+
+
+def test_lexicon_by_term(spark, monkeypatch):
+    monkeypatch.setattr(imatch, "HELD_TERMS", 500)  # terms are handed on many times
+    rng = np.random.default_rng(8)
+    texts = [" ".join(["all", *(f"w{k}" for k in rng.integers(0, 60, 30)), *(f"only{i}x{j}" for j in range(40))]) for i in range(300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, ""])], "doc_id bigint, text string").repartition(3)
+    term = {w: int(next(imatch.words_of(pa.array([w])))[1][0]) for w in {w for t in texts for w in t.split()}}
+    n = {w: sum(w in t for t in map(set, map(str.split, texts))) for w in term}
+    assert len(term) == 12_061
+    for band in ((1.5, 12.0), (0.5, 4.0), (0.0, 0.1)):
+        low, high = (302 / np.exp(b) for b in reversed(band))
+        inside = imatch.lexicon(df, band=band)
+        assert inside.tolist() == sorted(h % imatch.CLASSES for w, h in term.items() if low <= n[w] <= high)
+    inside = imatch.lexicon(df, band=(0.5, 4.0))
+    plain, typed, common = imatch.fingerprints(["w1 w2 w3", "w1 w2 only5x6 w3 unseen", "all w1 w2 w3"], inside)
+    assert plain == typed == common != imatch.fingerprints(["w1 w2"], inside)[0]
