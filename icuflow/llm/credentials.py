@@ -2,7 +2,8 @@
 
 The lexer reads ``name = literal``, ``name: literal``, ``"name": "literal"``, ``name["key"] = ...``, ``name := ...``, ``key => ...``
 around every ``=`` and ``:`` of a text. A right side is a chain of quoted strings, bare values and names joined by ``+``; names that
-were given a literal earlier in the text stand for it (constants are propagated). A literal is reported when the sensitivity of
+were given a literal earlier in the text stand for it (constants are propagated). Values are kept as graphs of their literals, never
+as joined strings, so literals of any length are read. A literal is reported when the sensitivity of
 the name it reaches, times how much it looks like a credential, is high enough.
 """
 
@@ -23,7 +24,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST_VALUE = 6
-LONGEST_VALUE = 4096  # of a lexed value; longer ones are data, not credentials
+LONGEST_VALUE = 4096  # of a value made longer than its whole text by repeating constants; all else may have any length
 
 KINDS = ("assign", "access", "hex", "lexed")
 SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("name", pa.string()), ("score", pa.float64())]))
@@ -38,12 +39,12 @@ PAIRS = {("api", "key"): 1.0, ("access", "key"): 1.0, ("private", "key"): 1.0, (
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|\$\{.*\}|\{\{.*\}\}|%.*%|change_?me|example.*|your[_-].*|none|null|nil|true|false|todo|undefined|test|dummy)$")
 
 OPERATOR = re.compile(r":=|=>|=(?!=)|:(?!//)")
-TARGET = re.compile(r"""[ \t]*(?:\][ \t]*["']([\w.\-]{1,100})["'][ \t]*\[|["'])?([\w.\-]{0,99}[A-Za-z_])""", re.A)  # read backwards
+TARGET = re.compile(r"""[ \t]*(?:\][ \t]*["']([\w.\-]+)["'][ \t]*\[|["'])?([\w.\-]*[A-Za-z_])""", re.A)  # read backwards
 VALUE = re.compile(r"""[ \t]*(?:[rRbBuUfF]{0,2}(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`)|([A-Za-z0-9+/_.\-~$%{}!@#^&*]+={0,2}))""", re.A)
 JOINED = re.compile(r"[ \t]*\+[ \t]*(?=[\"'`A-Za-z_])")
+GLUED = re.compile(r"[rRbBuUfF]{0,2}[ \t]*[\"'`]")  # what follows the + of a name that is joined without a blank
 NAME = re.compile(r"[A-Za-z_][\w.]*\Z", re.A)
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
-REACH = 220  # a target name is at most 100 characters and a key of 100
 
 
 def name_score(name: str) -> float:
@@ -52,14 +53,45 @@ def name_score(name: str) -> float:
     return max([SENSITIVE.get(w, 0.0) for w in words] + [PAIRS.get(p, 0.0) for p in zip(words, words[1:])], default=0.0)
 
 
+class Value:
+    """A literal, or literals and values joined: what scoring needs of it, and the best score of the targets it reached."""
+
+    __slots__ = ("parts", "span", "length", "head", "tail", "counts", "best")
+
+    def __init__(self, piece: str = "", span: tuple[int, int] = (0, 0), parts: tuple[Value, ...] = ()):
+        self.parts, self.span, self.best = parts, span, (0.0, "")
+        if not parts:
+            self.length, self.head, self.tail, self.counts = len(piece), piece, piece, None
+            return
+        self.length = sum(p.length for p in parts)
+        self.head = "".join(p.head[:ENDS] for p in parts)[:ENDS] if self.length > ENDS else "".join(p.head for p in parts)
+        self.tail = "".join(p.tail[-ENDS:] for p in parts)[-ENDS:]
+        self.counts = sum((p.characters() for p in parts), Counter())
+
+    def characters(self) -> Counter:
+        if self.counts is None:
+            self.counts = Counter(self.head)
+        return self.counts
+
+    def equals(self, text: str) -> bool:
+        return self.length == len(text) and text.startswith(self.head) and text.endswith(self.tail)
+
+    def score(self) -> float:
+        """How much the value looks like a credential, 0 to 1: length, entropy and character classes; placeholders have 0."""
+        n, counts = self.length, self.characters()
+        seen = "".join(counts)
+        if n < LEAST_VALUE or any(c.isspace() for c in seen) or PLACEHOLDER.match(self.head if len(self.head) == n else self.head + seen + self.tail):
+            return 0.0
+        bits = -sum(k / n * math.log2(k / n) for k in counts.values())
+        classes = sum(bool(re.search(p, seen)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+        return min(1.0, bits / 3.0) * min(1.0, 0.4 + 0.3 * classes)
+
+
+ENDS = 256  # characters of a joined value that are kept at both ends
+
+
 def literal_score(value: str) -> float:
-    """How much a literal looks like a credential, 0 to 1: length, entropy and character classes; placeholders have 0."""
-    if len(value) < LEAST_VALUE or PLACEHOLDER.match(value) or any(c.isspace() for c in value):
-        return 0.0
-    n = len(value)
-    bits = -sum(k / n * math.log2(k / n) for k in Counter(value).values())
-    classes = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return min(1.0, bits / 3.0) * min(1.0, 0.4 + 0.3 * classes)
+    return Value(value).score()
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
@@ -73,49 +105,69 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
 
 
 def assignments(text: str):
-    """(target name, value, [(start, end) of its literals]) in order; constants are propagated, ``+`` joins."""
-    constants: dict[str, tuple[str, list[tuple[int, int]]]] = {}
+    """(target name, value) in order; constants are propagated, ``+`` joins."""
+    constants: dict[str, Value] = {}
+    backwards = text[::-1] if OPERATOR.search(text) else ""
     for op in OPERATOR.finditer(text):
-        low = max(0, op.start() - REACH)
-        before = TARGET.match(text[max(low, text.rfind("\n", low, op.start()) + 1) : op.start()][::-1])
+        before = TARGET.match(backwards, len(text) - op.start())
         if not before:
             continue
         key, name = (before[1] or "")[::-1], before[2][::-1]
-        at, value, spans, bare = op.end(), [], [], True
+        at, parts, bare = op.end(), [], True
         while m := VALUE.match(text, at):
             group = next(g for g in (1, 2, 3, 4) if m[g] is not None)
-            piece, low, high = m[group], m.start(group), m.end(group)
-            if group == 4 and NAME.match(piece) and piece in constants:
-                value.append(constants[piece][0])
-                spans += constants[piece][1]
-            else:
-                value.append(piece)
-                spans += [(low, high)] * (high > low)
-                bare &= group == 4
-            at = m.end()
+            piece, low, at = m[group], m.start(group), m.end()
+            names, glued = [], False
+            if group == 4 and "+" in piece:
+                cut = piece.rindex("+")
+                glued = GLUED.match(text, low + cut + 1) is not None
+                names = (piece[:cut] if glued else piece).split("+")
+                if not all(NAME.match(x) and (glued or x in constants) for x in names):
+                    names, glued = [], False
+                elif glued:
+                    at = low + cut + 1
+            for x in names or [piece]:
+                if group == 4 and NAME.match(x) and x in constants:
+                    parts.append(constants[x])
+                else:
+                    parts.append(Value(x, (low, low + len(x))))
+                    bare &= group == 4
+                low += len(x) + 1
+            if glued:
+                continue
             joined = JOINED.match(text, at)
             if not joined:
                 break
             at = joined.end()
-        if not value:
+        if not parts:
             continue
-        if not spans or sum(map(len, value)) > LONGEST_VALUE:
+        length = sum(p.length for p in parts)
+        if not length or length > max(LONGEST_VALUE, len(text)):  # beyond the text only by repeating constants
             constants.pop(name, None)
             continue
-        full = "".join(value)
-        if not key and not (bare and full == name):
-            constants[name] = (full, spans)
-        yield key or name, full, spans
+        value = parts[0] if len(parts) == 1 else Value(parts=tuple(parts))
+        if not key and not (bare and value.equals(name)):
+            constants[name] = value
+        yield key or name, value
 
 
 def lexed_spans(text: str, least: float = 0.6) -> list[tuple[int, int, str, str, float]]:
     """(start, end, kind, name, score) of the literals that reach a sensitive name, each once, with its best score."""
+    values: dict[int, Value] = {}  # parts stand before what they are joined to
+    found = False
+    for target, value in assignments(text):
+        for part in (*value.parts, value):
+            values.setdefault(id(part), part)
+        if (sure := name_score(target)) and (score := sure * value.score()) >= least:
+            value.best, found = max(value.best, (score, target)), True
     best: dict[tuple[int, int], tuple[float, str]] = {}
-    for target, value, spans in assignments(text):
-        if (sure := name_score(target)) and (score := sure * literal_score(value)) >= least:
-            for span in spans:
-                best[span] = max(best.get(span, (0.0, "")), (score, target))
-    return [(low, high, "lexed", name, score) for (low, high), (score, name) in best.items()]
+    for value in reversed(values.values()) if found else ():
+        if value.best[0]:
+            for part in value.parts:
+                part.best = max(part.best, value.best)
+            if not value.parts and value.length:
+                best[value.span] = value.best
+    return [(low, high, "lexed", name, score) for (low, high), (score, name) in sorted(best.items())]
 
 
 def spans_of(text: str) -> list[dict]:

@@ -84,6 +84,18 @@ def test_lexer_propagates_constants_and_scores_names():
     assert found(doubled) == []
 
 
+def test_lexer_reads_literals_of_any_length_and_joins_without_blanks():
+    found = lambda text: [text[s[0] : s[1]] for s in credentials.lexed_spans(text)]
+    long = "".join(f"q{i}Zp" for i in range(2000))
+    assert found(f'private_key = "{long}"') == [long] and found(f'k = "{long}"\nj = k + "aB3"\nclient_secret = j') == [long, "aB3"]
+    assert found(f'{{"private_key": "<{long}>"}}') == [] and found('private_key = "' + "x" * 9000 + '"') == []
+    assert found('a="q7Zp9x2"\nb="LmN44z"\npassword=a+b') == ["q7Zp9x2", "LmN44z"]
+    assert found('a="q7Zp9x2"\nk=a+"rest9"\npassword = k') == ["q7Zp9x2", "rest9"]
+    assert found("password=aB3+dE5fG7h") == ["aB3+dE5fG7h"]
+    assert found("client_secret_" + "x" * 300 + ' = "q7Zp9x2LmN"') == ["q7Zp9x2LmN"]
+    assert found('k = "p0Qz"\n' + "".join(f'k = k + "p{i}Qz"\n' for i in range(1, 3000)) + "password = k") == [f"p{i}Qz" for i in range(3000)]
+
+
 def test_languages(spark, sf):
     rows = [(i, t, g) for i, (t, g) in enumerate([("the thing and the other thing with words", "en"), ("der die und das nicht eine über", "de")] * 6)]
     rows += [(50, None, "en"), (51, "", "de"), (52, "1234 !?", "en"), (None, "und der die", None), (53, "the other", None), (53, "the other", None), (54, "the " * 40000, None)]
