@@ -24,7 +24,11 @@ SPACE = re.compile(r"[ \t\n\f\r]+")
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes noscript".split())
-UNSEEN = set("head script style template title noscript iframe noembed noframes object audio video canvas svg math datalist param".split())
+UNSEEN = set("head script style template title noscript iframe noembed noframes object audio video canvas datalist param".split())
+UNSEEN_INSIDE = {  # not shown within these
+    "svg": set("defs desc metadata symbol clippath mask marker pattern lineargradient radialgradient".split()), "math": {"annotation", "annotation-xml"},
+}
+SET_APART = set("text mfrac mtr mtd".split())  # parts of drawings and formulas that stand at places of their own
 HEADINGS = {f"h{i}" for i in range(1, 7)}
 BLOCKS = HEADINGS | set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form header hgroup hr html legend "
@@ -236,6 +240,8 @@ def render(node: Node, page: Page, kept: bool = False, depth: int = 0, numbers:
         if tag == "input" and child.attrs.get("type", "text").lower() in ("text", "submit", "button", "reset", "search", "email", "url", "tel", "number"):
             page.text(f" {child.attrs.get('value', '')} ", False)
             continue
+        if tag in UNSEEN_INSIDE:
+            child = drawing(child, UNSEEN_INSIDE[tag])
         if tag == "table":
             page.edge(True)
             table(child, page, depth)
@@ -284,53 +290,72 @@ def render(node: Node, page: Page, kept: bool = False, depth: int = 0, numbers:
             page.edge(spaced)
 
 
-def rows_of(node: Node):
+def drawing(node: Node, unseen: set[str]) -> Node:
+    """What is shown of a drawing or formula; parts at places of their own are separate words."""
+    shown = Node(node.tag, node.attrs)
+    for child in node.children:
+        if isinstance(child, str):
+            shown.children.append(child)
+        elif child.tag not in unseen:
+            inner = drawing(child, unseen)
+            shown.children += [" ", inner, " "] if child.tag in SET_APART or node.tag == "mfrac" else [inner]
+    return shown
+
+
+def parted(node: Node, tags: set[str]) -> tuple[list[Node], Node]:
+    """The shown nodes of ``tags`` below a part of a table, at any depth outside inner tables, and all else, as a block."""
+    found, rest = [], Node("div")
     for child in node.children:
-        if isinstance(child, Node) and not hidden(child):
-            if child.tag == "tr":
-                yield child
-            elif child.tag in SECTIONS | {"form"}:
-                yield from rows_of(child)
+        if isinstance(child, str):
+            rest.children.append(child)
+        elif hidden(child):
+            continue
+        elif child.tag in tags:
+            found.append(child)
+            rest.children.append(" ")
+        elif child.tag in ("table", "details", "caption", "select"):
+            rest.children.append(child)
+        else:
+            below, left = parted(child, tags)
+            found += below
+            if child.tag not in SECTIONS | {"form"}:
+                left.tag, left.attrs = child.tag, child.attrs
+            rest.children.append(left if below or left.tag != child.tag else child)
+    return found, rest
 
 
 def table(node: Node, page: Page, depth: int) -> None:
-    """Rows of cells in columns of equal width; a table with a cell of several lines or a wide one is stacked cell by cell.
+    """Rows of cells in columns of equal width; a table with a cell of several lines or a wide one is stacked cell by cell, a blank line
+    between rows.
 
-    Caption and stray content come first. Spanned places stay empty.
+    Caption and stray content of the table, its sections and its rows come first, as browsers have it. Spanned places stay empty.
     """
-    outside = Node("div")
-    outside.children = [c for c in node.children if isinstance(c, str) or c.tag not in SECTIONS | {"tr", "form"}]
-    render(outside, page, depth=depth)
-    page.edge(False)
+    rows, outside = parted(node, {"tr"})
+    parts = [parted(row, CELLS) for row in rows]
+    for stray in (outside, *(rest for _, rest in parts)):
+        render(stray, page, depth=depth)
+        page.edge(False)
     grid: list[list[tuple[int, str]]] = []
     taken: dict[int, int] = {}  # column: rows that a cell above still covers
-    for row in rows_of(node):
+    for found, _ in parts:
         cells, column, below = [], 0, {}
-        for cell in row.children:
-            if isinstance(cell, Node) and cell.tag in CELLS and not hidden(cell):
-                while taken.get(column, 0):
-                    column += 1
-                inner = Page()
-                render(cell, inner, depth=depth)
-                cells.append((column, inner.done()))
-                wide = min(max(number(cell.attrs.get("colspan"), 1), 1), MOST_SPAN)
-                tall = min(max(number(cell.attrs.get("rowspan"), 1), 1), 65534)
-                below.update({column + i: tall for i in range(wide)} if tall > 1 else {})
-                column += wide
-            elif isinstance(cell, Node) and not hidden(cell):
-                inner = Page()
-                holder = Node("div")
-                holder.children = [cell]
-                render(holder, inner, depth=depth)
-                if text := inner.done():
-                    cells.append((column, text))
-                    column += 1
+        for cell in found:
+            while taken.get(column, 0):
+                column += 1
+            inner = Page()
+            render(cell, inner, depth=depth)
+            cells.append((column, inner.done()))
+            wide = min(max(number(cell.attrs.get("colspan"), 1), 1), MOST_SPAN)
+            tall = min(max(number(cell.attrs.get("rowspan"), 1), 1), 65534)
+            below.update({column + i: tall for i in range(wide)} if tall > 1 else {})
+            column += wide
         taken = {c: n for c, n in {**taken, **below}.items() if n > 0}
         taken = {c: n - 1 for c, n in taken.items() if n > 1}
         if any(text for _, text in cells):
             grid.append(cells)
     if any("\n" in text or len(text) > WIDEST_CELL for cells in grid for _, text in cells):
-        for cells in grid:
+        for i, cells in enumerate(grid):
+            page.gap |= i > 0
             for _, text in cells:
                 for line in text.split("\n") if text else []:
                     page.put(line)

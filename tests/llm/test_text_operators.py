@@ -176,6 +176,23 @@ def test_html_layout(spark):
     assert webtext.extract(df.where("false")).columns == ["page_id", "html", "visible_text"]
 
 
+def test_html_shows_all_text_of_misnested_tables_and_drawings():
+    shown = webtext.visible_text
+    for page in ("<table><tbody>note<tr><td>x", "<table><form>note<tr><td>x</form></table>", "<table><tr>note<td>x", "<table><tbody><div>note<tr><td>x",
+                 "<table><tbody><i>note</i><tr><td>x", "<table><tr><td>x</td>note</table>", "<table><tr><b>note</b><td>x"):
+        assert shown(page) == "note\nx", page
+    assert shown("<table><tbody><div><tr><td>x<td>y") == "x  y" and shown("<table><tr><form><td>x<td>y</form>") == "x  y"
+    assert shown("<table>a<tr><td>x</table>b") == "a\nx\n\nb" and shown("<table><tbody hidden>no<tr><td>x</table>b") == "b"
+    assert shown("<p>a<svg><title>t</title><desc>d</desc><text>b</text><text>c</text></svg><math><mfrac><mi>x</mi><mn>2</mn></mfrac></math>") == "a b c x 2"
+    wide = "w " * 40
+    assert shown(f"<table><tr><td>a<td>{wide}<tr><td>b<td>c</table>") == f"a\n{wide.strip()}\n\nb\nc"
+    rng = np.random.default_rng(9)
+    tags = ["<table>", "<tbody>", "<tr>", "<td>", "<div>", "<form>", "</td>", "</tr>", "</tbody>", "</table>", "<p>", "</div>", "<caption>", "<svg>", "</svg>", "<li>"]
+    for _ in range(3000):
+        page = "".join(f"{tags[k]}word{i} " for i, k in enumerate(rng.integers(0, len(tags), 14)))
+        assert sorted(re.findall(r"word\d+", shown(page))) == sorted(re.findall(r"word\d+", page)), page
+
+
 def brute_edited(rows):
     rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
     out = []
