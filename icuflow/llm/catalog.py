@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from icuflow.catalog.registry import query
-from icuflow.llm import chat, credentials, decontaminate, imatch, language, mixing, sharding, simhash, toxicity, webtext
+from icuflow.llm import alignment, chat, credentials, decontaminate, imatch, language, mixing, prefixes, quality, sharding, simhash, toxicity, webtext
 from icuflow.sources.tables import scan
 
 
@@ -108,3 +108,24 @@ def op7_html_layout(spark: SparkSession, sf: str) -> DataFrame:
     """Visible text of every page, laid out."""
     found = webtext.extract(scan(spark, sf, "pages", "page_id", "html"))
     return found.select("page_id", "visible_text", F.length("visible_text").cast("bigint").alias("n_chars"))
+
+
+@query("op11_quality_ftrl")
+def op11_quality_ftrl(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality of every document, learnt from labelled rows that aren't held out."""
+    docs = documents(spark, sf)
+    model = quality.fit(docs, scan(spark, sf, "labels", "doc_id", "quality"))
+    held = docs.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "text")
+    return quality.with_scores(held, model).drop("text")
+
+
+@query("op12_pair_bitmaps")
+def op12_pair_bitmaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Links between the tokens of two tokenizers in every document."""
+    return alignment.align(documents(spark, sf), digest=True).withColumnRenamed("groups", "groups_sha256")
+
+
+@query("op13_prefix_trie", prefixes.OP13_SQL)
+def op13_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    return prefixes.prefix_trie(scan(spark, sf, "conversations", "conv_id", "turn", "role", "text"))
