@@ -128,6 +128,17 @@ def test_planes_give_back_multiplicities(size):
     assert np.array_equal(total[:size], count) and not total[size:].any()
 
 
+def test_ranked_ids_equal_the_files_own_library():
+    enc = encoder(Tokenizers())
+    odd = [f" a{c}b {c} {c}{c}1{c}!{c}  {c}" for c in map(chr, [*range(1, 0x3100, 3), *range(0xE000, 0x1F700, 17)])]
+    odd += [" " + t for t in TEXTS if t] + [" " + "ab" * 20_000, " " * 5_000, "\n" * 3_000]
+    want = [e.ids for e in A.encode_batch(odd, add_special_tokens=False)]
+    assert [x.tolist() for x in enc.a(odd)] == want
+    described = {"model": {"type": "BPE", "merges": [], "vocab": {}, "dropout": 0.1}, "added_tokens": [], "pre_tokenizer": None, "normalizer": None}
+    own = alignment.byte_level(Tokenizers().a, described, {})
+    assert [x.tolist() for x in own(odd[:50])] == want[:50]
+
+
 def test_further_columns_are_not_read(spark):
     docs = spark.createDataFrame([(1, "the", 2)], "doc_id long, text string, n_a int").withColumn("bits", F.lit("y"))
     assert align(docs).columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "n_best", "count_sum"]
