@@ -1,25 +1,26 @@
-"""Cross-validation, grids, importance tables and stacking."""
+"""Cross-validation, grids, importance tables and stacking.
+
+Wherever several tree ensembles are trained, on folds or grid cells, they share the passes over the rows.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
+from itertools import product
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.feature import SQLTransformer
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from icuflow.functions.values import argmax_class, hashed_uniform
-from icuflow.learn.models import MODELS, SEED, Fitted, _native
+from icuflow.learn.models import MODELS, SEED, TREES, Fitted, _grown, ensemble, feature_count
+from icuflow.learn.trees import Ensemble, Model, fold_scores, grow
+from icuflow.operators import metrics
 from icuflow.sources.tables import stage
 
-Fit = Callable[[DataFrame], Fitted]
-
 
 def with_folds(df: DataFrame, key: str, folds: int = 5) -> DataFrame:
     """Fold number from a hash of the id that no split or balance order shares."""
@@ -30,17 +31,35 @@ def called_class(classes: int):
     return argmax_class([F.col("prob")[c] for c in range(classes)])
 
 
-def kfold_accuracy(df: DataFrame, key: str, fit: Fit, classes: int = 2, folds: int = 5) -> DataFrame:
-    """Mean accuracy over the folds and two population deviations."""
-    rows = with_folds(df, key, folds)
-    parts = [
-        fit(rows.filter(F.col("fold") != i)).predict(rows.filter(F.col("fold") == i)).agg(
-            F.avg((called_class(classes) == F.col("label")).cast("int")).alias("accuracy")) for i in range(folds)
-    ]
-    table = parts[0]
-    for part in parts[1:]:
-        table = table.unionByName(part)
-    return table.agg(F.avg("accuracy").alias("accuracy"), (2 * F.stddev_pop("accuracy")).alias("two_sd"))
+def out_of_fold(rows: DataFrame, key: str, names: Sequence[str], classes: int, folds: int = 5, full: bool = True, **changes):
+    """(scores, members): for each model the probabilities of every row by the member that didn't learn from the row's fold, and the models on all rows.
+
+    ``rows`` has ``fold``. Scores are (name, key, fold, label, prob), staged; members are left out unless ``full``.
+    """
+    size = feature_count(rows)
+    trees = [n for n in names if n in TREES or n == "extra_trees"]
+    specs = [(n, f) for n in trees for f in [*range(folds), *([None] if full else [])]]
+    grown = dict(zip(specs, grow(rows, [ensemble(n, classes, size, fold=f, **changes) for n, f in specs], key, "fold")))
+    members = {n: _grown(grown[n, None]) for n in trees if full}
+    number = {n: i for i, n in enumerate(names)}
+    scores = fold_scores(rows, key, "fold", [(number[n], m) for (n, f), m in grown.items() if f is not None])
+    for n in names:
+        if n in trees:
+            continue
+        for f in range(folds):
+            part = MODELS[n](rows.where(F.col("fold") != f), classes=classes, key=key).predict(rows.where(F.col("fold") == f))
+            scores = scores.unionByName(part.select(F.lit(number[n]).alias("cell"), key, "fold", F.col("label").cast("double").alias("label"), "prob"))
+        if full:
+            members[n] = MODELS[n](rows, classes=classes, key=key)
+    name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("cell") + 1)
+    return stage(scores.withColumn("name", name).drop("cell"), "out-of-fold"), members
+
+
+def kfold_accuracy(df: DataFrame, key: str, name: str, classes: int = 2, folds: int = 5, **changes) -> DataFrame:
+    """Mean accuracy of a model over the folds and two population deviations."""
+    scores, _ = out_of_fold(with_folds(df, key, folds), key, [name], classes, folds, full=False, **changes)
+    each = scores.groupBy("fold").agg(F.avg((called_class(classes) == F.col("label")).cast("int")).alias("accuracy"))
+    return each.agg(F.avg("accuracy").alias("accuracy"), (2 * F.stddev_pop("accuracy")).alias("two_sd"))
 
 
 def importance_table(spark: SparkSession, importances, names: Sequence[str]) -> DataFrame:
@@ -63,69 +82,82 @@ def lasso_cv(df: DataFrame, names: Sequence[str], alphas: Sequence[float] = (1,
     return df.sparkSession.createDataFrame(rows, "feature string, coefficient double, alpha double")
 
 
-def grid_search(df: DataFrame, depths: Sequence[int] = (3, 5, 7, 9), leaves: Sequence[int] = (1, 3, 5), rounds: int = 140, folds: int = 5) -> DataFrame:
-    """Mean area under the ROC curve per (depth, leaf size) of boosted trees."""
-    model = GBTClassifier(maxIter=rounds, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=SEED)
-    grid = ParamGridBuilder().addGrid(model.maxDepth, list(depths)).addGrid(model.minInstancesPerNode, list(leaves)).build()
-    found = CrossValidator(
-        estimator=model, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(), numFolds=folds, seed=SEED, parallelism=4
-    ).fit(df)
-    rows = [(p[model.maxDepth], p[model.minInstancesPerNode], float(m)) for p, m in zip(grid, found.avgMetrics)]
-    return df.sparkSession.createDataFrame(rows, "max_depth int, min_leaf int, auc double")
+def grid_scores(df: DataFrame, key: str, cells: Sequence[Ensemble], folds: int) -> DataFrame:
+    """(cell, key, fold, label, score): all rows scored under all grid cells, each by the model that didn't learn from its fold."""
+    rows = with_folds(df, key, folds)
+    specs = [(i, Ensemble(**{**c.__dict__, "fold": f})) for i, c in enumerate(cells) for f in range(folds)]
+    models = grow(rows, [s for _, s in specs], key, "fold")
+    held = fold_scores(rows, key, "fold", [(i, m) for (i, _), m in zip(specs, models)])
+    return stage(held.withColumn("score", F.element_at("prob", -1)).drop("prob"), "grid")
+
+
+def grid_search(
+    df: DataFrame, key: str, depths: Sequence[int] = (3, 5, 7, 9), leaves: Sequence[int] = (1, 3, 5), rounds: int = 140, folds: int = 5,
+) -> DataFrame:
+    """Mean area under the ROC curve over the folds per (depth, smallest leaf weight) of regularised boosting."""
+    grid = list(product(depths, leaves))
+    cells = [grid_cell(depth=d, least=float(l), rounds=rounds) for d, l in grid]
+    areas = metrics.roc_auc_by(grid_scores(df, key, cells, folds), ["cell", "fold"], "label", "score")
+    return _named(areas.groupBy("cell").agg(F.avg("auc").alias("auc")), grid, "max_depth int, min_leaf int")
+
+
+def grid_cell(**changes) -> Ensemble:
+    return ensemble("boosting_regularized", 2, 0, **changes)
+
+
+def grid_cell_r2(**changes) -> Ensemble:
+    return Ensemble(**{**dict(rounds=90, least=4.0, l2=1.0, rows=0.7, columns=0.7, loss="squared", seed=0), **changes})
+
+
+def _named(found: DataFrame, grid: Sequence[tuple], fields: str) -> DataFrame:
+    cells = found.sparkSession.createDataFrame([(i, *g) for i, g in enumerate(grid)], f"cell int, {fields}")
+    return cells.join(found, "cell", "left").drop("cell")
 
 
 def grid_search_r2(
-    df: DataFrame, rates: Sequence[float] = (0.03, 0.05, 0.07), depths: Sequence[int] = (5, 6, 7), rounds: int = 90, folds: int = 5,
+    df: DataFrame, key: str, rates: Sequence[float] = (0.03, 0.05, 0.07), depths: Sequence[int] = (5, 6, 7), rounds: int = 90, folds: int = 5,
 ) -> DataFrame:
-    """Mean r2 of the called class per (learning rate, depth) of trees boosted on the squared error of a 0/1 label."""
-    trees = GBTRegressor(
-        maxIter=rounds, subsamplingRate=0.7, featureSubsetStrategy="0.7", minInstancesPerNode=4, predictionCol="_raw", seed=SEED)
-    called = SQLTransformer(statement="SELECT *, CAST(_raw > 0.5 AS DOUBLE) AS prediction FROM __THIS__")
-    grid = ParamGridBuilder().addGrid(trees.stepSize, [float(r) for r in rates]).addGrid(trees.maxDepth, list(depths)).build()
-    found = CrossValidator(
-        estimator=Pipeline(stages=[trees, called]), estimatorParamMaps=grid, evaluator=RegressionEvaluator(metricName="r2"), numFolds=folds,
-        seed=SEED, parallelism=4,
-    ).fit(df.withColumn("label", F.col("label").cast("double")))
-    rows = [(float(p[trees.stepSize]), p[trees.maxDepth], float(m)) for p, m in zip(grid, found.avgMetrics)]
-    return df.sparkSession.createDataFrame(rows, "learning_rate double, max_depth int, r2 double")
+    """Mean r2 of the called class over the folds per (learning rate, depth) of trees boosted on the squared error of a 0/1 label."""
+    grid = list(product(map(float, rates), depths))
+    scores = grid_scores(df, key, [grid_cell_r2(rate=r, depth=d, rounds=rounds) for r, d in grid], folds)
+    miss = F.col("label") - (F.col("score") > 0.5).cast("int")
+    each = scores.groupBy("cell", "fold").agg((1 - F.try_divide(F.sum(miss * miss), F.var_pop("label") * F.count("label"))).alias("r2"))
+    return _named(each.groupBy("cell").agg(F.avg("r2").alias("r2")), grid, "learning_rate double, max_depth int")
 
 
-BASES = ("random_forest", "gradient_boosting", "boosting_regularized", "logistic_regression")
+def gain_table(spark: SparkSession, model: Model, names: Sequence[str], top: int = 10) -> DataFrame:
+    """Mean gain of the splits at each feature that has any, the ``top`` largest."""
+    total, n = model.gains()
+    rows = [(name, float(t / k)) for name, t, k in zip(names, total, n) if k]
+    return spark.createDataFrame(rows, "feature string, gain double").orderBy(F.desc("gain"), "feature").limit(top)
 
 
-def base_models(classes: int, boosting: int | None = None) -> dict[str, Fit]:
-    """The four bases of the stack; ``boosting`` replaces the rounds of the boosted ones."""
-    short = {"rounds": boosting} if boosting else {}
-    return {name: lambda df, name=name: MODELS[name](df, classes=classes, **short) for name in BASES}
+BASES = ("random_forest", "gradient_boosting", "boosting_regularized", "logistic_regression")
 
 
-def stack(
-    train: DataFrame, key: str, bases: dict[str, Fit], classes: int, propagate: Sequence[int] = (), folds: int = 5, trees: int = 50,
-) -> Fitted:
-    """Stacked ensemble: out-of-fold probabilities of the bases feed a forest.
+class Stack:
+    """A stacked ensemble: its bases' out-of-fold probabilities, the bases on all rows, and the trees above them."""
 
-    ``propagate`` lists positions of raw features the forest sees as well. The out-of-fold table is
-    written once to the shared folder, so the meta fit does not run the base models again.
-    """
-    def features(df, members):
-        for name, member in members.items():
-            df = member.predict(df).withColumnRenamed("prob", f"_{name}")
-        parts = [f"_{name}" for name in members]
-        raw = [vector_to_array("features")[i] for i in propagate]
+    def __init__(self, train: DataFrame, key: str, classes: int, bases: Sequence[str] = BASES, propagate: Sequence[int] = (), folds: int = 5, trees: int = 50, **changes):
+        """``propagate`` lists positions of raw features that the last step sees as well; ``changes`` are settings of the tree bases."""
+        self.bases, self.classes, self.propagate = list(bases), classes, list(propagate)
+        rows = with_folds(train, key, folds)
+        self.scores, self.members = out_of_fold(rows, key, self.bases, classes, folds, **changes)
+        wide = self.scores.groupBy(key).agg(*[F.max(F.when(F.col("name") == n, F.col("prob"))).alias(f"_{n}") for n in self.bases])
+        held = self.features(rows.join(wide, key))
+        self.meta = _grown(grow(held.select(key, "features", "label"), [ensemble("extra_trees", classes, 0, rounds=trees)], key)[0])
+        self.importances = self.meta.importances
+
+    def features(self, df: DataFrame) -> DataFrame:
+        raw = [vector_to_array("features")[i] for i in self.propagate]
+        parts = [f"_{n}" for n in self.bases]
         joined = F.concat(*parts, F.array(*raw)) if raw else F.concat(*parts)
         return df.withColumn("_raw", F.col("features")).withColumn("features", array_to_vector(joined)).drop(*parts)
 
-    rows = with_folds(train, key, folds)
-    oof = None
-    for i in range(folds):
-        rest = rows.filter(F.col("fold") != i)
-        part = features(rows.filter(F.col("fold") == i), {n: fit(rest) for n, fit in bases.items()})
-        oof = part if oof is None else oof.unionByName(part)
-    held = stage(oof.select("features", "label"), "stack")
-    meta = _native(RandomForestClassifier(numTrees=trees, featureSubsetStrategy="0.7", seed=SEED), held)
-    full = {n: fit(train) for n, fit in bases.items()}
-    return Fitted(
-        lambda df: meta.predict(features(df, full)).withColumn("features", F.col("_raw")).drop("_raw"), meta.importances
-    )
-
+    def predict(self, df: DataFrame) -> DataFrame:
+        for n, member in self.members.items():
+            df = member.predict(df).withColumnRenamed("prob", f"_{n}")
+        return self.meta.predict(self.features(df)).withColumn("features", F.col("_raw")).drop("_raw")
 
+    def fitted(self) -> Fitted:
+        return Fitted(self.predict, self.importances, self)

@@ -54,6 +54,17 @@ def roc_auc(counts: DataFrame) -> DataFrame:
     return counts.agg(F.try_divide(F.sum(neg * (2 * tp - pos) / 2), F.max("tp").cast("double") * F.max("fp")).alias("auc"))
 
 
+def roc_auc_by(df: DataFrame, keys: Sequence[str], truth: str, score: str) -> DataFrame:
+    """(keys, auc) of scores from 0 to 1: pairs of both classes in the right order, equal scores half; null without both classes.
+
+    Rows are counted by score first; running counts are cut into chunks of scores, so no key is sorted in one task.
+    """
+    counts = df.groupBy(*keys, score).agg(F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) == 0).alias("neg"))
+    run = running_totals(counts.withColumn(CHUNK, F.floor(F.col(score) * 1024)), keys, [score], CHUNK, {"_upto": F.col("neg")})
+    pos, neg, upto = (F.col(c).cast("double") for c in ("pos", "neg", "_upto"))  # products of counts outgrow a long
+    return run.groupBy(*keys).agg(F.try_divide(F.sum(pos * (2 * upto - neg) / 2), F.sum(pos) * F.sum(neg)).alias("auc"))
+
+
 def pr_points(counts: DataFrame, score: str) -> DataFrame:
     p = _totals(counts)
     tp, fp = F.col("tp"), F.col("fp")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from icuflow.functions.values import argmax_class, cautious_class, flag, reweight, reweight_classes
-from icuflow.learn.evaluate import base_models, stack
+from icuflow.learn.evaluate import Stack
 from icuflow.learn.impute import fit_imputer
 from icuflow.learn.models import MODELS, assemble
 from icuflow.operators import metrics, prepare
@@ -35,7 +35,7 @@ def mortality_model(
 ) -> DataFrame:
     """Binary mortality model; one row of test metrics with the probabilities moved to the population."""
     train, test = prepared(rows, key, label, columns, scaled, 0.25, rounds)
-    fitted = MODELS[model](train, classes=2, **settings)
+    fitted = MODELS[model](train, classes=2, key=key, **settings)
     scored = stage(
         fitted.predict(test).select("label", reweight(F.col("prob")[1], POPULATION_DEATHS, 0.5).alias("score")), "scored"
     )
@@ -55,20 +55,21 @@ LINE_UP = ("random_forest", "gradient_boosting", "boosting_regularized", "rbf_sv
 
 def outcome_model(
     rows: DataFrame, key: str, label: str, columns: Sequence[str], scaled: Sequence[str], models: Sequence[str] = LINE_UP,
-    rounds: int = 3, boosting: int | None = None,
+    rounds: int = 3,
 ) -> DataFrame:
     """Three-class models (0 stays, 1 dies, 2 leaves); weighted average precision per model.
 
     The class is called in three ways: from the reweighted probabilities, from the plain ones, and by the rule that calls class 2
     over class 1 only when it is ten times as likely. The class shares that move the probabilities come from the test labels, as
-    defined. ``rounds`` are those of the imputation; ``boosting`` replaces the boosting rounds of every model.
+    defined. ``rounds`` are those of the imputation. The stack's bases on all rows are the line-up's own models, fitted once.
     """
     train, test = prepared(rows, key, label, columns, scaled, 0.1, rounds)
     shares = test.agg(F.struct(*[F.avg(flag(F.col("label") == c)).alias(f"q{c}") for c in range(3)]).alias("q")).scalar()
-    short = {"rounds": boosting} if boosting else {}
+    stacked = Stack(train, key, 3, propagate=[0, 1, 2]) if "stacking" in models else None
     out = None
     for name in models:
-        fitted = stack(train, key, base_models(3, boosting), 3, propagate=[0, 1, 2]) if name == "stacking" else MODELS[name](train, classes=3, **short)
+        ready = {"stacking": stacked.fitted(), **stacked.members} if stacked else {}
+        fitted = ready.get(name) or MODELS[name](train, classes=3, key=key)
         rows_ = fitted.predict(test).withColumn("_q", shares)
         probs = [F.col("prob")[c] for c in range(3)]
         moved = reweight_classes(probs, [F.col(f"_q.q{c}") for c in range(3)], [1 / 3] * 3)
