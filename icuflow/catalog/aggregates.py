@@ -9,10 +9,11 @@ from icuflow.catalog.clinical_sql import with_views
 from icuflow.catalog.registry import query
 from icuflow.functions import values as val
 from icuflow.operators.concepts import concept_columns
+from icuflow.operators.ordered import exact_quantiles
 from icuflow.operators.tables import occupancy_share, group_rate
 from icuflow.plans.run_logs import agent_stay, demand_by_run
 from icuflow.sources.clinical import clinical_views
-from icuflow.sources.tables import scan
+from icuflow.sources.tables import scan, stage
 
 TYPES = ["click", "error", "purchase", "signup", "view"]
 
@@ -137,10 +138,11 @@ def _(spark, folder):
     f"round(quantile_cont({t}, 0.75), 6) AS q3, max({t}) AS high FROM occ" for t in TYPES))
 def _(spark, folder):
     long = occupancy(spark, folder).unpivot(["run", "step"], TYPES, "unit", "share").filter(F.col("share").isNotNull())
-    # a share is a whole number of beds over the capacity, so few distinct values reach the aggregate
-    counts = long.groupBy("unit", "share").agg(F.count(F.lit(1)).alias("n"))
-    quartile = [F.round(F.percentile("share", p, F.col("n")), 6).alias(f"q{i}") for i, p in enumerate((0.25, 0.5, 0.75), 1)]
-    return counts.groupBy("unit").agg(F.min("share").alias("low"), *quartile, F.max("share").alias("high"))
+    # a share is a whole number of beds over the capacity, so few distinct values are ranked
+    counts = stage(long.groupBy("unit", "share").agg(F.count(F.lit(1)).alias("n")), "shares")
+    quartiles = exact_quantiles(counts, "share", ["unit"], {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+    ends = counts.groupBy("unit").agg(F.min("share").alias("low"), F.max("share").alias("high"))
+    return ends.join(quartiles, "unit").select("unit", "low", *[F.round(q, 6).alias(q) for q in ("q1", "q2", "q3")], "high")
 
 
 @query("cohort_mean_std", """

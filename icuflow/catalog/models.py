@@ -20,7 +20,7 @@ from icuflow.catalog.sampling import sql_draw
 from icuflow.catalog.tree_sql import boosted_sql, forest_sql, table_sql
 from icuflow.functions.values import flag, one_hot
 from icuflow.learn import evaluate
-from icuflow.learn.impute import fit_imputer
+from icuflow.learn.impute import RIDGE, fit_imputer
 from icuflow.learn.models import MODELS, TREES, drawn_waves, ensemble, waves
 from icuflow.learn.trees import Ensemble
 from icuflow.operators import prepare
@@ -140,18 +140,32 @@ def logistic(z):
     return 1 / (1 + F.exp(-z))
 
 
-@query("iterative_impute", "SELECT vec_id, " + ", ".join(
-    f"CASE WHEN vec_id % {5 + i} != 0 THEN round(CAST(embedding[{i + 1}] AS DOUBLE), 4) END AS x{i}" for i in range(SIZE)) + ", " + ", ".join(
-    f"CAST(vec_id % {5 + i} = 0 AS INTEGER) AS filled{i}" for i in range(SIZE)) + " FROM embeddings")
+def sql_pair():
+    """Three rounds of two columns that are filled from each other, the one with fewer gaps (x1) first."""
+    steps = ["""p0 AS (SELECT vec_id, vec_id % 5 = 0 AS g0, vec_id % 6 = 0 AS g1, CASE WHEN vec_id % 5 = 0 THEN m0 ELSE x0 END AS x0, CASE WHEN vec_id % 6 = 0 THEN m1 ELSE x1 END AS x1
+      FROM raw, (SELECT avg(x0) FILTER (vec_id % 5 != 0) AS m0, avg(x1) FILTER (vec_id % 6 != 0) AS m1 FROM raw))"""]
+    for i in range(6):
+        mine, other = ("x1", "x0") if i % 2 == 0 else ("x0", "x1")
+        gap = f"g{mine[1]}"
+        steps.append(f"""p{i + 1} AS (SELECT vec_id, g0, g1, {other}, CASE WHEN {gap} THEN mean + slope * ({other} - around) ELSE {mine} END AS {mine}
+      FROM p{i}, (SELECT regr_slope({mine}, {other}) / (1 + {RIDGE}) AS slope, avg({mine}) AS mean, avg({other}) AS around FROM p{i} WHERE NOT {gap}))""")
+    return "raw AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x0, CAST(embedding[2] AS DOUBLE) AS x1 FROM embeddings), " + ", ".join(steps)
+
+
+@query("iterative_impute", f"WITH {sql_pair()} SELECT e.vec_id, " + ", ".join(
+    f"CASE WHEN e.vec_id % {5 + i} != 0 THEN round(CAST(embedding[{i + 1}] AS DOUBLE), 4) END AS x{i}" for i in range(SIZE)) + ", " + ", ".join(
+    f"CAST(e.vec_id % {5 + i} = 0 AS INTEGER) AS filled{i}" for i in range(SIZE)) + ", round(p6.x0, 6) AS pair0, round(p6.x1, 6) AS pair1 FROM embeddings e JOIN p6 USING (vec_id)")
 def _(spark, folder):
-    """All 64 columns have gaps, at different rows, and each is filled from the other 63."""
+    """All 64 columns have gaps, at different rows, and each is filled from the other 63; ``pair`` are the first two filled from each other alone."""
     gap = [F.col("vec_id") % (5 + i) == 0 for i in range(SIZE)]
-    rows = scan(spark, folder, "embeddings", "vec_id", "embedding").select(
-        "vec_id", *[F.when(~gap[i], F.col("embedding")[i].cast("double")).alias(n) for i, n in enumerate(NAMES)])
+    rows = stage(scan(spark, folder, "embeddings", "vec_id", "embedding").select(
+        "vec_id", *[F.when(~gap[i], F.col("embedding")[i].cast("double")).alias(n) for i, n in enumerate(NAMES)]), "gaps")
     _, full = fit_imputer(rows, NAMES)
+    _, two = fit_imputer(rows.select("vec_id", "x0", "x1"), ["x0", "x1"])
     known = [F.when(~gap[i], F.round(n, 4)).alias(n) for i, n in enumerate(NAMES)]
     near = [flag(gap[i] & F.col(NAMES[i]).between(-5, 5)).alias(f"filled{i}") for i in range(SIZE)]
-    return full.select("vec_id", *known, *near)
+    pair = two.select("vec_id", F.round("x0", 6).alias("pair0"), F.round("x1", 6).alias("pair1"))
+    return full.select("vec_id", *known, *near).join(pair, "vec_id")
 
 
 for _model in TREES:
@@ -242,7 +256,7 @@ def forward(x, layers, weights):
 def _(spark, folder):
     """Whether each coefficient is at its optimum: the residual's mean product with a feature is the penalty, or below it where the coefficient is 0."""
     train = sides(table(spark, folder, 2))[0]
-    found = evaluate.lasso_cv(train, NAMES).collect()
+    found = evaluate.lasso_cv(train, "vec_id", NAMES).collect()
     weights, alpha = {r.feature: r.coefficient for r in found}, found[0].alpha
     x = train.select(vector_to_array("features").alias("x"), F.col("label").cast("double").alias("y"))
     means = x.agg(F.avg("y"), *[F.avg(F.get("x", F.lit(i))) for i in range(SIZE)]).first()
@@ -251,7 +265,7 @@ def _(spark, folder):
     for n, c in zip(NAMES, centred):
         rest = rest - c * weights[n]
     slopes = x.agg(*[F.avg(rest * c) for c in centred]).first()
-    good = [(n, int(abs(g - alpha * (1 if weights[n] > 0 else -1)) < 1e-3 if weights[n] else abs(g) <= alpha + 1e-3)) for n, g in zip(NAMES, slopes)]
+    good = [(n, int(abs(g - alpha * (1 if weights[n] > 0 else -1)) < 1e-7 if weights[n] else abs(g) <= alpha + 1e-7)) for n, g in zip(NAMES, slopes)]
     return spark.createDataFrame(good, "feature string, optimal int")
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from icuflow.functions.values import hashed_uniform
-from icuflow.learn.trees import Ensemble, Model, grow, predictor
+from icuflow.learn.trees import PART_ROWS, Ensemble, Model, grow, predictor
 from icuflow.sources.tables import stage
 
 SEED = 42
@@ -104,7 +104,9 @@ def logistic_regression(train: DataFrame, classes: int = 2, c: float = 100.0, **
 
 
 def _svm(train: DataFrame, c: float):
-    return LinearSVC(regParam=1.0 / (c * max(train.count(), 1)), maxIter=100, tol=1e-4).fit(train)
+    """Each step of the solver is a job, so the table is read in parts of PART_ROWS rows or more."""
+    n = train.count()
+    return LinearSVC(regParam=1.0 / (c * max(n, 1)), maxIter=100, tol=1e-4).fit(train.coalesce(-(-n // PART_ROWS) or 1))
 
 
 def _margin(svm, df: DataFrame) -> DataFrame:
@@ -112,7 +114,7 @@ def _margin(svm, df: DataFrame) -> DataFrame:
     return rows.drop("rawPrediction", "prediction")
 
 
-def linear_svm(train: DataFrame, classes: int = 2, c: float = 10.0, folds: int = 5, key: str | None = None, **_) -> Fitted:
+def linear_svm(train: DataFrame, classes: int = 2, c: float = 10.0, folds: int = 3, key: str | None = None, **_) -> Fitted:
     """Linear SVM; a logistic curve over the margin gives the probability.
 
     The curve is fitted on margins that come from machines which didn't see the row: one per fold, the folds drawn by hash.

@@ -168,22 +168,23 @@ class Model:
     trees: list[Tree] = field(default_factory=list)
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        """Probabilities, a row for each row of ``x``."""
-        packed = Packed.of(self.trees, self.cuts)
-        value = np.array([v for t in self.trees for v in t.value], float)
+        """Probabilities, a row for each row of ``x``. Trees of a forest that drew no row don't count; without any, classes are alike."""
+        trees = [t for t in self.trees if t.weight[0] > 0]
+        packed = Packed.of(trees, self.cuts)
+        value = np.array([v for t in trees for v in t.value], float)
         out = []
         for i in range(0, len(x), CHUNK_ROWS):
             node = packed.leaves(x[i : i + CHUNK_ROWS])
             if self.spec.kind == "boost":
                 total = np.tile(np.array(self.start), (node.shape[1], 1))
-                for t, leaf in zip(self.trees, node):
+                for t, leaf in zip(trees, node):
                     total[:, t.output] += value[leaf, 0]
                 out.append(probabilities(self.spec, total))
             else:
                 total = np.zeros((node.shape[1], self.spec.classes))
                 for leaf in node:
                     total += value[leaf]
-                out.append(total / len(self.trees))
+                out.append(total / len(trees) if trees else total + 1 / self.spec.classes)
         return np.concatenate(out) if out else np.zeros((0, self.spec.classes))
 
     def gains(self) -> tuple[np.ndarray, np.ndarray]:

@@ -41,23 +41,40 @@ def interval_join(
 ) -> DataFrame:
     """Points with the spells that contain them, both ends closed.
 
-    A spell is listed once per time bucket it touches and a point looks only into its own bucket,
-    which turns the range test into an equi join on (key, bucket) with a small residual.
+    Time is cut into buckets of ``bucket_seconds``, and these are paired level by level into buckets twice as wide. A spell is listed at
+    the first level whose buckets are no shorter than it, where it touches two at most, and a point asks one bucket of each level
+    that any spell has. So the range test becomes an equi join on (key, level, bucket) with a small residual, a spell of
+    any length costs two rows, and a candidate is never further off than a few lengths of the spell.
     """
-    def bucket(col):
-        return F.floor(epoch(F.col(col)) / bucket_seconds)
-
+    unit = F.lit(bucket_seconds).cast("double")
     # a spell that ends before it starts holds no point
-    listed = spells.filter(F.col(end) >= F.col(start)).withColumn(
-        "_bucket", F.explode(F.sequence(bucket(start), bucket(end)))
-    )
-    left = points.withColumn("_bucket", bucket(time)).alias("p")
-    right = listed.alias("s")
+    sound = spells.filter(F.col(end) >= F.col(start))
+    buckets = F.greatest(F.ceil((epoch(F.col(end)) - epoch(F.col(start))) / unit), F.lit(1))
+    levelled = sound.withColumn("_level", F.ceil(F.log2(buckets)).cast("int"))
+
+    def bucket(col, level):
+        return F.floor(epoch(F.col(col)) / (unit * F.pow(F.lit(2.0), level)))
+
+    listed = levelled.withColumn("_bucket", F.explode(F.sequence(bucket(start, F.col("_level")), bucket(end, F.col("_level")))))
+    levels = levelled.agg(F.coalesce(F.array_sort(F.collect_set("_level")), F.array().cast("array<int>"))).scalar()  # a few dozen at most
+    asked = points.select("*", F.posexplode_outer(levels).alias("_place", "_level"))
+    left = asked.withColumn("_bucket", bucket(time, F.col("_level"))).alias("p")
+    right = listed.withColumn("_hit", F.lit(True)).alias("s")
     test = (F.col(f"p.{time}") >= F.col(f"s.{start}")) & (F.col(f"p.{time}") <= F.col(f"s.{end}"))
-    for key in [*on, "_bucket"]:
+    for key in [*on, "_level", "_bucket"]:
         test = test & (F.col(f"p.{key}") == F.col(f"s.{key}"))
     kept = [F.col(f"s.{c}") for c in spells.columns if c not in on]
-    return left.join(right, test, how).select("p.*", *kept).drop("_bucket")
+    joined = left.join(right, test, how).select("p.*", *kept, "s._hit")
+    if how == "inner":
+        return joined.drop("_bucket", "_level", "_place", "_hit")
+    # a point without any spell keeps one of its copies; rows that can't match, for a null, don't meet in one group
+    unknown = F.col(time).isNull()
+    for key in on:
+        unknown = unknown | F.col(key).isNull()
+    apart = F.when(unknown, F.xxhash64(*points.columns)).otherwise(F.lit(0))
+    found = F.max(F.col("_hit")).over(W.partitionBy(*on, time, apart))
+    seen = joined.withColumn("_found", found).where("_hit or (_found is null and coalesce(_place, 0) = 0)")
+    return seen.drop("_bucket", "_level", "_place", "_hit", "_found")
 
 
 def asof_lookback(

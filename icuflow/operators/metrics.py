@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from icuflow.operators.ordered import CHUNK, Hold, keep, running_totals, with_value_chunks
+from icuflow.operators.ordered import CHUNK, CHUNK_ROWS, Hold, keep, running_totals, with_value_chunks
 
 
 def confusion(df: DataFrame, truth: Column, called: Column) -> DataFrame:
@@ -25,7 +25,7 @@ def confusion(df: DataFrame, truth: Column, called: Column) -> DataFrame:
     )
 
 
-def threshold_counts(df: DataFrame, truth: str, score: str, hold: Hold = keep) -> DataFrame:
+def threshold_counts(df: DataFrame, truth: str, score: str, hold: Hold = keep, rows: int = CHUNK_ROWS) -> DataFrame:
     """(score, pos, neg, tp, fp): cumulative counts from the highest score down, ties in one row.
 
     The area and point functions below take this table; stage it (``hold``) to read the rows once.
@@ -33,7 +33,7 @@ def threshold_counts(df: DataFrame, truth: str, score: str, hold: Hold = keep) -
     counts = df.groupBy((-F.col(score)).alias("_down")).agg(
         F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) == 0).alias("neg")
     ).withColumn("_all", F.lit(0))
-    counts = with_value_chunks(hold(counts, "thresholds"), "_down")
+    counts = with_value_chunks(hold(counts, "thresholds"), "_down", rows=rows)
     run = running_totals(counts, ["_all"], ["_down"], CHUNK, {"tp": F.col("pos"), "fp": F.col("neg")})
     return hold(run.select((-F.col("_down")).alias(score), "pos", "neg", "tp", "fp"), "thresholds")
 

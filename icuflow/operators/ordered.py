@@ -15,8 +15,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from icuflow.functions.values import epoch
+from icuflow.sources.tables import stage
 
 CHUNK = "_chunk"
+CHUNK_ROWS = 1_000_000
 Hold = Callable[[DataFrame, str], DataFrame]
 
 
@@ -30,17 +32,16 @@ def time_chunk(time: str | Column, seconds: int = 3600) -> Column:
     return F.floor(epoch(F.col(time) if isinstance(time, str) else time) / seconds)
 
 
-def with_value_chunks(df: DataFrame, value: str, chunks: int = 128) -> DataFrame:
-    """Add a chunk number that grows with ``value``, cut at approximate quantiles.
+def with_value_chunks(df: DataFrame, value: str, keys: Sequence[str] = (), rows: int = CHUNK_ROWS) -> DataFrame:
+    """Add a chunk number that grows with (keys, value): ranges of about ``rows`` rows each, as many as that takes.
 
-    The cuts are one array from a scalar subquery, so no row leaves the executors; they only
-    balance the work, the results do not depend on them.
+    Spark cuts the ranges from a sample. They are written once, so that all later reads see the same chunks; equal values share one.
+    Up to ``rows`` rows are one chunk.
     """
-    fractions = F.array(*[F.lit(i / chunks) for i in range(1, chunks)])
-    cuts = df.agg(F.percentile_approx(value, fractions, F.lit(10000)).alias("cuts")).scalar()
-    return df.withColumn("_cuts", cuts).withColumn(
-        CHUNK, F.size(F.filter("_cuts", lambda cut: cut < F.col(value)))
-    ).drop("_cuts")
+    chunks = -(-df.count() // rows)
+    if chunks < 2:
+        return df.withColumn(CHUNK, F.lit(0))
+    return stage(df.repartitionByRange(chunks, *keys, value).withColumn(CHUNK, F.spark_partition_id()), "chunks")
 
 
 def previous_values(
@@ -115,14 +116,21 @@ def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | st
     ).select(*keys, "_row.*")
 
 
-def ecdf(df: DataFrame, value: str, keys: Sequence[str] = (), chunk: Column | None = None, hold: Hold = keep) -> DataFrame:
+def ecdf(
+    df: DataFrame, value: str, keys: Sequence[str] = (), chunk: Column | None = None, hold: Hold = keep, rows: int = CHUNK_ROWS,
+) -> DataFrame:
     """(keys, value, n, below, total, ecdf): distinct values with their cumulative share.
 
     Equal values are counted before anything is ordered, so a frequent value costs one row. The
     counts are read several times; ``hold`` lets the caller stage them so that ``df`` is read once.
     """
     counts = hold(df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n")), "counts")
-    counts = with_value_chunks(counts, value) if chunk is None else counts.withColumn(CHUNK, chunk)
+    return counted_ecdf(counts, value, keys, chunk, rows)
+
+
+def counted_ecdf(counts: DataFrame, value: str, keys: Sequence[str] = (), chunk: Column | None = None, rows: int = CHUNK_ROWS) -> DataFrame:
+    """:func:`ecdf` of values that are counted already, in the column ``n``."""
+    counts = with_value_chunks(counts, value, keys, rows) if chunk is None else counts.withColumn(CHUNK, chunk)
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
     group = [*keys] or ["_all"]
     if not keys:
@@ -135,15 +143,32 @@ def ecdf(df: DataFrame, value: str, keys: Sequence[str] = (), chunk: Column | No
     )
 
 
+def exact_quantiles(counts: DataFrame, value: str, keys: Sequence[str], shares: dict[str, float], rows: int = CHUNK_ROWS) -> DataFrame:
+    """(keys, a column per share): quantiles of counted values (``n`` each), interpolated between neighbours.
+
+    The two values around a quantile are those whose ranks hold its place, found by running totals over chunks of values, so no key is in one task.
+    Null values don't count; a key without any has no row.
+    """
+    table = counted_ecdf(counts.where(F.col(value).isNotNull()), value, keys, None, rows)
+    place = {name: (F.col("total") - 1) * F.lit(float(share)) for name, share in shares.items()}
+
+    def at(rank):
+        return F.max(F.when((F.col("below") <= rank) & (rank < F.col("below") + F.col("n")), F.col(value)))
+    found = table.groupBy(*keys).agg(
+        F.max("total").alias("total"), *[at(F.floor(p)).alias(f"_low_{n}") for n, p in place.items()], *[at(F.ceil(p)).alias(f"_high_{n}") for n, p in place.items()])
+    low, high = (lambda n: F.col(f"_low_{n}")), (lambda n: F.col(f"_high_{n}"))
+    return found.select(*keys, *[(low(n) + (high(n) - low(n)) * (p - F.floor(p))).alias(n) for n, p in place.items()])
+
+
 def quantile_curve(
     df: DataFrame, value: str, keys: Sequence[str] = (), chunk: Column | None = None, block: int = 65536,
-    hold: Hold = keep,
+    hold: Hold = keep, rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Sorted curve: one row per input row, x = i / n and y = the i-th smallest value.
 
     The rows of a frequent value are written in blocks that are spread over the tasks first.
     """
-    table = ecdf(df, value, keys, chunk, hold)
+    table = ecdf(df, value, keys, chunk, hold, rows)
     blocks = table.select(
         *keys, "total", value, (F.col("below") + F.col("n")).alias("stop"),
         F.explode(F.sequence(F.col("below"), F.col("below") + F.col("n") - 1, F.lit(block).cast("long"))).alias("at"),

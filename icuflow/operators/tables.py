@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from icuflow.operators.ordered import CHUNK, number_rows
+from icuflow.operators.ordered import CHUNK, CHUNK_ROWS, number_rows, with_value_chunks
+from icuflow.sources.tables import stage
+
+MOST_CATEGORIES = 1_000
 
 
 def repair_suffixes(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", suffix: str = "_right") -> DataFrame:
@@ -23,15 +26,21 @@ def group_rate(df: DataFrame, keys: Sequence[str], event: str, least: int = 10)
     ).withColumn("rate", F.col("event_count") / F.col("row_count"))
 
 
-def category_codes(df: DataFrame, column: str) -> DataFrame:
-    """(value, ordinal from 1) of the distinct values of a column in order: the fit of an encoder, a table of any length."""
+def category_codes(df: DataFrame, column: str, rows: int = CHUNK_ROWS) -> DataFrame:
+    """(value, ordinal from 1) of the distinct values of a column in order: the fit of an encoder, a table of any length.
+
+    Values are numbered inside ranges of ``rows`` values, and the ranges before are added.
+    """
     found = df.select(F.col(column).alias("value")).where(F.col(column).isNotNull()).distinct()
-    return number_rows(found.withColumn(CHUNK, F.lit(0)), [], ["value"], CHUNK, "ordinal").select("value", "ordinal")
+    return number_rows(with_value_chunks(stage(found, "categories"), "value", rows=rows), [], ["value"], CHUNK, "ordinal").select("value", "ordinal")
 
 
-def fit_categories(df: DataFrame, column: str) -> list:
-    """Sorted distinct values of a column that becomes one column per value, so few by nature."""
-    return sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().collect())
+def fit_categories(df: DataFrame, column: str, most: int = MOST_CATEGORIES) -> list:
+    """Sorted distinct values of a column that becomes one column per value; an error beyond ``most`` of them."""
+    found = df.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"column {column} has more than {most} values; use category_codes with binary_encode, or pass the values to encode")
+    return sorted(r[0] for r in found)
 
 
 def binary_codes(categories: Sequence, column, prefix: str):

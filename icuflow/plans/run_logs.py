@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from icuflow.operators.ordered import quantile_curve
 from icuflow.operators.tables import occupancy_share
 
+CURVES = {"los": ("los", "all"), "fatal_los": ("los", "fatal"), "doctors": ("care_time", "doctors"), "nurses": ("care_time", "nurses")}  # measure: section, name
 CARE_UNITS = ["CSRU", "MICU", "SICU", "TSICU", "Other"]
 
 
@@ -43,23 +44,17 @@ def run_log_report(model: DataFrame, agents: DataFrame, hold=lambda df, name: df
         ["run_number", "demand"], ["doctors", "nurses", "capacity"], "name", "x"
     ).select(F.lit("demand").alias("section"), "run_number", "name", F.col("x").cast("double").alias("x"), F.col("demand").alias("value"))
 
-    def curve(df, column, section, name):
-        return quantile_curve(df, column, ["run_number"]).select(
-            F.lit(section).alias("section"), "run_number", F.lit(name).alias("name"), "x", F.col("y").cast("double").alias("value")
-        )
-    each = hold(agent_totals(agents), "agents")  # one row per agent, read for four curves
-    return (
-        occupancy.unionByName(demand)
-        .unionByName(curve(each, "los", "los", "all"))
-        .unionByName(curve(each.where("fatal_los is not null"), "fatal_los", "los", "fatal"))
-        .unionByName(curve(each, "doctors", "care_time", "doctors"))
-        .unionByName(curve(each, "nurses", "care_time", "nurses"))
-    )
+    each = agent_totals(agents).unpivot(["run_number", "agent_id"], list(CURVES), "measure", "y").where("measure != 'fatal_los' or y is not null")
+    curves = quantile_curve(each, "y", ["run_number", "measure"], hold=hold)
+    names = {part: F.create_map(*[F.lit(x) for m, pair in CURVES.items() for x in (m, pair[i])])[F.col("measure")] for i, part in enumerate(("section", "name"))}
+    return occupancy.unionByName(demand).unionByName(curves.select(
+        names["section"].alias("section"), "run_number", names["name"].alias("name"), "x", F.col("y").alias("value")))
 
 
 def agent_totals(agents: DataFrame) -> DataFrame:
     """Longest day, longest day of fatal rows and care time received, per run and agent in one aggregation."""
     return agents.groupBy("run_number", "agent_id").agg(
-        F.max("days_in_hospital").alias("los"), F.max(F.when(F.col("out_flag") == 1, F.col("days_in_hospital"))).alias("fatal_los"),
-        F.max("cum_caretime_doctors").alias("doctors"), F.max("cum_caretime_nurses").alias("nurses"),
+        F.max("days_in_hospital").cast("double").alias("los"),
+        F.max(F.when(F.col("out_flag") == 1, F.col("days_in_hospital"))).cast("double").alias("fatal_los"),
+        F.max("cum_caretime_doctors").cast("double").alias("doctors"), F.max("cum_caretime_nurses").cast("double").alias("nurses"),
     )

@@ -76,3 +76,24 @@ def test_asof_strategies_agree_with_brute_force(spark):
     for strategy in ("window", "join"):
         got = asof_lookback(p, m, ["k"], "t", ["v"], 3600, strategy=strategy).collect()
         assert sorted((r["k"], int((r["t"] - T0).total_seconds()), r["v"]) for r in got) == sorted(expected)
+
+
+def test_long_spells_cost_two_rows_and_all_lengths_join(spark):
+    rng = random.Random(5)
+    spells = [(rng.randrange(3), s, s + rng.choice([0, 1, 29, 30, 31, 1000, 40_000, 3_155_760_000])) for s in (rng.randrange(-50_000, 50_000) for _ in range(80))]
+    points = [(rng.choice([0, 1, 2, None]), rng.choice([rng.randrange(-60_000, 60_000), spells[i % 80][1], spells[i % 80][2], None])) for i in range(200)] * 2
+    when = lambda x: None if x is None else at(x)
+    p = ntz(spark.createDataFrame([(k, when(t), i) for i, (k, t) in enumerate(points)], "k int, t timestamp, i int"), "t")
+    s = ntz(spark.createDataFrame([(k, at(a), at(b), n) for n, (k, a, b) in enumerate(spells)], "k int, s timestamp, e timestamp, n int"), "s", "e")
+    want = []
+    for i, (k, t) in enumerate(points):
+        hits = [n for n, (j, a, b) in enumerate(spells) if k is not None and t is not None and j == k and a <= t <= b]
+        want += [(i, n) for n in hits] or [(i, -1)]
+    got = interval_join(p, s, ["k"], "t", "s", "e", bucket_seconds=30)
+    assert sorted((r.i, -1 if r.n is None else r.n) for r in got.collect()) == sorted(want)
+    inner = interval_join(p, s, ["k"], "t", "s", "e", bucket_seconds=30, how="inner")
+    assert sorted((r.i, r.n) for r in inner.collect()) == sorted(w for w in want if w[1] >= 0) and inner.columns == got.columns
+    assert interval_join(p, s.where("n = 999"), ["k"], "t", "s", "e").count() == len(points)
+    century = s.where(F.col("e") > F.col("s") + F.expr("INTERVAL 100 DAYS"))
+    text = interval_join(p, century, ["k"], "t", "s", "e")._jdf.queryExecution().toString()
+    assert "Generate explode(sequence" in text

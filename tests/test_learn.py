@@ -1,10 +1,10 @@
 import random
 
 import numpy as np
-from pyspark.sql import functions as F
+from pyspark.ml.functions import array_to_vector
 
-from icuflow.learn.evaluate import BASES, base_models, grid_search_r2, importance_table, stack
-from icuflow.learn.impute import fit_imputer
+from icuflow.learn.evaluate import importance_table, lasso_cv
+from icuflow.learn.impute import fit_imputer, shrunk, unpacked
 from icuflow.learn.models import MODELS, assemble
 
 
@@ -39,11 +39,7 @@ def test_models_separate_blobs(spark):
         assert right / len(out) > 0.9, name
 
 
-def test_stack_and_importances(spark):
-    df = blobs(spark, 2)
-    fitted = stack(df, "id", {"f": lambda d: MODELS["random_forest"](d, trees=3)}, 2, propagate=[0], folds=2, trees=5)
-    out = fitted.predict(df).select("label", F.col("prob")[1].alias("p")).collect()
-    assert sum((r["p"] > 0.5) == (r["label"] == 1) for r in out) > 130
+def test_importances_are_scaled_by_the_largest(spark):
     table = importance_table(spark, [0.2, 0.8], ["a", "b"]).collect()
     assert [(r["feature"], r["importance"]) for r in table] == [("b", 1.0), ("a", 0.25)]
 
@@ -68,10 +64,55 @@ def test_imputer_equals_chained_regressions(spark):
     assert np.allclose(got, want, rtol=0, atol=2e-3 * np.std(x)) and np.array_equal(got[~gap], x[~gap])
 
 
-def test_second_grid_and_line_up(spark):
-    df = blobs(spark, 2)
-    found = grid_search_r2(df, (0.1, 0.5), (2,), rounds=4, folds=2).collect()
-    assert [(r.learning_rate, r.max_depth) for r in found] == [(0.1, 2), (0.5, 2)] and all(0.5 < r.r2 <= 1 for r in found)
-    assert tuple(base_models(2)) == BASES
-    out = base_models(2, 2)["boosting_regularized"](df).predict(df).select("prob").first()
-    assert abs(sum(out.prob) - 1) < 1e-9
+def test_imputer_jobs_do_not_follow_columns_and_spread_solving_agrees(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (150, 6)) @ rng.normal(0, 1, (6, 6))
+    gap = rng.random((150, 6)) < 0.2
+    names = [f"c{i}" for i in range(6)]
+    df = spark.createDataFrame([[i, *[None if g else float(v) for v, g in zip(*r)]] for i, r in enumerate(zip(x, gap))], "id int, " + ", ".join(f"{n} double" for n in names))
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(columns, rounds, **more):
+        group = f"impute-{len(columns)}-{rounds}-{len(more)}"
+        spark.sparkContext.setJobGroup(group, group)
+        found = fit_imputer(df.repartition(3), columns, rounds, **more)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return found, len(tracker.getJobIdsForGroup(group))
+    few, n = jobs(names[:2], 1)
+    (imputer, full), m = jobs(names, 4)
+    assert m == n and len(imputer.steps) == 24
+    (spread, again), k = jobs(names, 4, held_cells=1)
+    assert k > m and all(np.allclose(a.weights, b.weights, atol=1e-9) and a.column == b.column for a, b in zip(imputer.steps, spread.steps))
+    a, b = ([[r[c] for c in names] for r in d.orderBy("id").collect()] for d in (full, again))
+    assert np.allclose(a, b) and len(few[0].steps) == 2
+
+
+def test_shrunk_rows_keep_products(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(3, 1, (400, 3))
+    x[::2, 1] = np.nan
+    df = spark.createDataFrame([[float(v) if v == v else None for v in r] for r in x.tolist()], "a double, b double, c double")
+    rows = shrunk(df.repartition(5), ["a", "b", "c"], np.array([3.0, 3.0, 3.0])).toArrow()
+    z, gap = unpacked(rows["pattern"].to_pylist(), rows["z"].to_pylist(), 4)
+    assert len(z) <= 8 and sorted(map(tuple, {tuple(g) for g in gap.tolist()})) == [(False, False, False), (False, True, False)]
+    for miss in (False, True):
+        part = x[np.isnan(x[:, 1]) == miss]
+        full = np.column_stack([np.ones(len(part)), np.where(np.isnan(part), 0, part - 3)])
+        mine = z[gap[:, 1] == miss]
+        assert np.allclose(mine.T @ mine, full.T @ full)
+
+
+def test_lasso_from_moments_is_at_its_optimum(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(0, 1, (200, 4)) * [1, 2, 1, 1]
+    y = x @ [1.0, -0.5, 0, 0] + rng.normal(0, 0.1, 200)
+    df = spark.createDataFrame([(i, r.tolist(), float(v)) for i, (r, v) in enumerate(zip(x, y))], "id int, x array<double>, label double")
+    df = df.withColumn("features", array_to_vector("x"))
+    found = lasso_cv(df.repartition(3), "id", list("abcd"), alphas=(1, 0.1, 0.01))
+    w = np.array([r.coefficient for r in found.collect()])
+    alpha = found.first().alpha
+    assert alpha == 0.01
+    xc, yc = x - x.mean(0), y - y.mean()
+    slope = xc.T @ (yc - xc @ w) / len(y)
+    assert all(abs(g - alpha * np.sign(v)) < 1e-9 if v else abs(g) <= alpha + 1e-9 for g, v in zip(slope, w))
+    assert lasso_cv(df.where("id < 0"), "id", list("abcd")).select("coefficient").distinct().collect()[0][0] == 0.0
