@@ -13,7 +13,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from icuflow.catalog.clinical_sql import with_views
-from icuflow.catalog.extracts import CATEGORIES, DUMMIES, MIN_DEATHS, MIN_PAIRS, TOP, day_table
+from icuflow.catalog.extracts import CATEGORIES, DUMMIES, KNOWN, MIN_DEATHS, MIN_PAIRS, TOP, day_table
 from icuflow.catalog.features import VITAL
 from icuflow.catalog.registry import query
 from icuflow.catalog.sampling import sql_draw
@@ -24,6 +24,7 @@ from icuflow.learn.impute import RIDGE, fit_imputer
 from icuflow.learn.models import MODELS, TREES, drawn_waves, ensemble, waves
 from icuflow.learn.trees import Ensemble
 from icuflow.operators import prepare
+from icuflow.operators.metrics import roc_auc_by
 from icuflow.plans import extracts, outcomes, scores
 from icuflow.plans.diagnoses import diagnosis_features
 from icuflow.plans.stay_days import SCORE_FEATURES
@@ -368,8 +369,9 @@ SHARES = ("accuracy", "recall", "precision", "auc", "pr_auc", "best_threshold",
 
 
 @query("mortality_model", with_views(f"""
-    SELECT 'random_forest' AS model, count(*) AS n_test, {', '.join(f'1 AS {c}_in_range' for c in SHARES)} FROM icustays
-    WHERE {sql_draw('split', 'icustay_id')} < 0.25""", "icustays"))
+    SELECT 'random_forest' AS model, count(*) AS n_test, count(*) FILTER (died = 1) AS n_deaths, {', '.join(f'1 AS {c}_in_range' for c in SHARES)},
+      1 AS follows_from_cells, 1 AS auc_by_pairs, 1 AS learns
+    FROM (SELECT o.icustay_id, o.icustay_expire_flag AS died FROM oasis o) WHERE {sql_draw('split', 'icustay_id')} < 0.25""", "oasis", extra=KNOWN))
 def _(spark, folder):
     """Diagnosis flags, both scores' inputs, vital signs and one-hot categories of every stay."""
     v = clinical_views(spark, folder, stage)
@@ -381,16 +383,25 @@ def _(spark, folder):
     kept = main.select("icustay_id", *DIAGNOSIS, *dummies)
     rows = stage(kept.join(graded, "icustay_id").join(f["vitals"].drop("subject_id", "hadm_id"), "icustay_id"), "stays")
     scaled = [*DIAGNOSIS, *SCORE_FEATURES, *VITAL]
-    found = outcomes.mortality_model(
+    learnt, scored = outcomes.mortality_scores(
         rows, "icustay_id", "icustay_expire_flag", [*scaled, *[c for c in kept.columns if c.startswith("dummy_")]], scaled)
-    return found.select("model", (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("n_test"), *[
-        flag(F.col(c).between(0, 1)).alias(f"{c}_in_range") for c in SHARES])
+    found = outcomes.mortality_metrics(scored, "random_forest")
+    n, right = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp"), F.col("tp") + F.col("tn")
+    share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    follows = (F.abs(F.col("accuracy") - share(right, n)) < 1e-9) & (F.abs(F.col("recall") - share(F.col("tp"), F.col("tp") + F.col("fn"))) < 1e-9) & (
+        F.abs(F.col("precision") - share(F.col("tp"), F.col("tp") + F.col("fp"))) < 1e-9) & (
+        F.col("best_f1") >= share(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")) - 1e-9)
+    again = roc_auc_by(scored.withColumn("all", F.lit(0)), ["all"], "label", "score").select("auc").scalar()
+    train_auc = roc_auc_by(learnt.withColumn("all", F.lit(0)), ["all"], "label", "score").select("auc").scalar()
+    return found.select(
+        "model", n.alias("n_test"), (F.col("fn") + F.col("tp")).alias("n_deaths"), *[flag(F.col(c).between(0, 1)).alias(f"{c}_in_range") for c in SHARES],
+        flag(follows).alias("follows_from_cells"), flag(F.abs(F.col("auc") - again) < 1e-9).alias("auc_by_pairs"), flag(train_auc > 0.8).alias("learns"))
 
 
 @query("outcome_model", " UNION ALL ".join(
-    f"SELECT '{m}' AS model, 1 AS reweighted_in_range, 1 AS plain_in_range, 1 AS cautious_in_range" for m in outcomes.LINE_UP))
+    f"SELECT '{m}' AS model, 1 AS reweighted_in_range, 1 AS plain_in_range, 1 AS cautious_in_range, {1 if m in TREES else 'NULL'} AS learns" for m in outcomes.LINE_UP))
 def _(spark, folder):
-    """All five models on every feature of the day table, called in three ways."""
+    """All five models on every feature of the day table, called in three ways; ``learns`` where the called class comes straight from what was fitted."""
     out = F.col("out_flag")
     rows = day_table(spark, folder).withColumn("label", F.when(out == -1, 2).otherwise(out)).withColumn(
         "row_id", F.concat_ws("|", "icustay_id", "day_of_stay")
@@ -401,4 +412,4 @@ def _(spark, folder):
     rows = stage(rows.select("row_id", "label", *scaled, *flags, *dummies), "days")
     columns = [*scaled, *flags, *[f"dummy_{i}" for i in range(len(DUMMIES))]]
     found = outcomes.outcome_model(rows, "row_id", "label", columns, scaled)
-    return found.select("model", *[flag(F.col(c).between(0, 1)).alias(f"{c}_in_range") for c in ("reweighted", "plain", "cautious")])
+    return found.select("model", *[flag(F.col(c).between(0, 1)).alias(f"{c}_in_range") for c in ("reweighted", "plain", "cautious")], F.when(F.col("model").isin(*TREES), flag(F.col("fitted") > 0.4)).alias("learns"))
