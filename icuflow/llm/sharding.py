@@ -1,6 +1,6 @@
 """Sharding: a uniform shuffle with exact shard sizes by a hypergeometric communication matrix.
 
-Rows fall into source parts by a hash. How many rows go from each part to each block of the target order is drawn from
+Rows fall into source parts by a hash of their place. How many rows go from each part to each block of the target order is drawn from
 the multivariate hypergeometric law, so blocks get exact sizes and every assignment is equally likely. Each part permutes its rows
 and deals them out by its row of the matrix; each block permutes what it got. Shards are runs of blocks.
 """
@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from icuflow.sources.tables import stage
+
 ROWS = 1_000
 MOST_PARTS = 1_000
 
@@ -38,38 +40,38 @@ def block_sizes(rows: int, shards: int, parts: int) -> list[tuple[int, int, int]
     return out
 
 
-def shard_rows(docs: DataFrame, shards: int = 40, seed: int = 7, key: list[Column] | None = None) -> DataFrame:
+def shard_rows(docs: DataFrame, shards: int = 40, seed: int = 7) -> DataFrame:
     """``docs`` with shard (0 to ``shards`` - 1) and slot (gapless from 0 in each shard), in uniformly random order.
 
-    Shards hold the same number of rows, or one row less. ``key``, all columns by default, decides a row's part and its place in the random
-    orders: equal keys are interchangeable. Nulls hash like values; empty and long texts count as one row each; repeated rows get slots of
-    their own; an empty table gives no rows; input columns named shard or slot are replaced, others stay. Parts and blocks have about
-    ``ROWS`` rows until there are ``MOST_PARTS`` of them, so the matrix on the driver has at most MOST_PARTS * (MOST_PARTS + shards)
-    counts; beyond it parts grow and Spark's sorts spill.
+    Shards hold the same number of rows, or one row less. Rows are written once with their place (partition and number in it), which decides
+    a row's part and its place in the random orders, so equal rows spread like any others. Only places are dealt and permuted; whole rows move once, to
+    join what became of their place. Nulls, empty and long texts count as one row each; repeated rows get slots of their own; an empty table gives no
+    rows; input columns named shard or slot are replaced, others stay. Parts and blocks have about ``ROWS`` rows until there are
+    ``MOST_PARTS`` of them, so the matrix on the driver has at most MOST_PARTS * (MOST_PARTS + shards) counts; beyond it parts of places grow
+    and Spark's sorts spill.
     """
-    docs = docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in ("shard", "slot")])
-    key = key or [F.col(f"`{c}`") for c in docs.columns]
-    hashed = lambda n: F.xxhash64(F.lit(seed), F.lit(n), *key)
-    total = docs.count()
+    names = [f"`{c}`" for c in docs.columns if c.lower() not in ("shard", "slot")]
+    full = stage(docs.select(*names, F.monotonically_increasing_id().alias("_shard_place")), "places")
+    hashed = lambda n: F.xxhash64(F.lit(seed), F.lit(n), "_shard_place")
+    total = full.count()
     parts = min(MOST_PARTS, -(-total // ROWS)) or 1
-    part = F.pmod(hashed(0), F.lit(parts)).cast("int")
-    counts = dict(docs.groupBy(part.alias("p")).count().collect())
+    rows = full.select("_shard_place", F.pmod(hashed(0), F.lit(parts)).cast("int").alias("_shard_part"))
+    counts = dict(rows.groupBy("_shard_part").count().collect())
     blocks = block_sizes(total, shards, parts)
     drawn = matrix([counts.get(p, 0) for p in range(parts)], [n for _, _, n in blocks], seed)
     upto = docs.sparkSession.createDataFrame(
         [(p, np.cumsum(drawn[p]).tolist()) for p in range(parts)], "_shard_part int, _shard_upto array<bigint>",
     )
-    rows = docs.withColumn("_shard_part", part)
-    rows = rows.withColumn("_shard_at", F.row_number().over(Window.partitionBy("_shard_part").orderBy(hashed(1))))
+    rows = rows.withColumn("_shard_at", F.row_number().over(Window.partitionBy("_shard_part").orderBy(hashed(1), "_shard_place")))
     rows = rows.join(F.broadcast(upto), "_shard_part")  # at most MOST_PARTS * (MOST_PARTS + shards) counts
     rows = rows.withColumn("_shard_block", F.size(F.filter("_shard_upto", lambda x: x < F.col("_shard_at")))).drop("_shard_upto")
-    again = F.xxhash64(F.lit(seed), F.lit(2), F.col("_shard_part"), F.col("_shard_at"))
-    rows = rows.withColumn("_shard_at", F.row_number().over(Window.partitionBy("_shard_block").orderBy(again, "_shard_part")))
+    rows = rows.withColumn("_shard_at", F.row_number().over(Window.partitionBy("_shard_block").orderBy(hashed(2), "_shard_place")))
     each = len(blocks) // shards
     shard = F.floor(F.col("_shard_block") / each).cast("int")
     size = F.floor((F.lit(total + shards - 1) - shard) / shards)
     first = sum_before(size, F.col("_shard_block") % each, each)
-    return rows.withColumn("shard", shard).withColumn("slot", (first + F.col("_shard_at") - 1).cast("bigint")).select(*[f"`{c}`" for c in docs.columns], "shard", "slot")
+    placed = rows.select("_shard_place", shard.alias("shard"), (first + F.col("_shard_at") - 1).cast("bigint").alias("slot"))
+    return full.join(placed, "_shard_place").select(*names, "shard", "slot")
 
 
 def sum_before(size: Column, block: Column, each: int) -> Column:
