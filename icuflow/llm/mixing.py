@@ -58,10 +58,11 @@ def mix_sources(
 
     ``docs`` has doc_id and source; columns of the result's names are replaced. Null sources are a source, which comes last; a null
     text has no words; rows without words have no copies needed and take nothing from the target; repeated rows count as
-    often as they stand; rows that tie in size and doc_id share their copies in any order; an empty table gives no rows. A source of a
+    often as they stand; rows that tie in size and doc_id stand in the order of a hash of the whole row, so the same rows are taken however the
+    input is dealt; an empty table gives no rows. A source of a
     third of all rows is spread over many tasks. The rows are shuffled once and written once.
     """
-    new = ("size", "source_size", "target", "copies", "_expected", "_order", "_before")
+    new = ("size", "source_size", "target", "copies", "_expected", "_order", "_content", "_before")
     sized = docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in new]).withColumn("size", n_words(F.col(text)))
     return _mixed(sized, weights, most, seed)
 
@@ -70,13 +71,14 @@ def _mixed(sized: DataFrame, weights: tuple[int, ...], most: int, seed: str) ->
     sizes = stage(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "source-sizes")
     targets = source_targets(sizes, weights, most).select(F.col("source").alias("_source"), "source_size", "target")
     targets = stage(targets, "targets")
-    rows = sized.join(targets, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+    rows = sized.withColumn("_content", F.xxhash64(*[f"`{c}`" for c in sized.columns]))
+    rows = rows.join(targets, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
     rows = rows.withColumn("_expected", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * UNIT)).otherwise(0).cast("bigint"))
     rows = rows.withColumn("_order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-    rows = prefix_sums(rows, [F.col("size"), F.col("_order")], "_expected", group="source", name="_before")
+    rows = prefix_sums(rows, [F.col("size"), F.col("_order"), F.col("_content")], "_expected", group="source", name="_before")
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce("source", F.lit(""))).cast("binary")), 1, 5), 16, 10).cast("bigint")
     crossed = F.shiftright(F.col("_before") + F.col("_expected") + offset, 20) - F.shiftright(F.col("_before") + offset, 20)
-    return rows.withColumn("copies", crossed).drop("_expected", "_order", "_before")
+    return rows.withColumn("copies", crossed).drop("_expected", "_order", "_content", "_before")
 
 
 def taken(docs: DataFrame, text: str = "text", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = "mix") -> DataFrame:
