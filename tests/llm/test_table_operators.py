@@ -90,6 +90,33 @@ def test_matrix_and_shards(spark):
     assert sharding.shard_rows(df.where("false")).count() == 0 and sharding.shard_rows(df.limit(3), 40).count() == 3
 
 
+def test_equal_rows_spread_over_parts(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "ROWS", 500)
+    df = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, F.lit(None)).otherwise(F.col("id")).alias("doc_id"), F.lit("same").alias("text")).repartition(3)
+    parts = []
+    real = sharding.matrix
+    monkeypatch.setattr(sharding, "matrix", lambda counts, blocks, seed: parts.append(counts) or real(counts, blocks, seed))
+    placed = sharding.shard_rows(df, 10).groupBy("shard").agg(F.count("*").alias("n"), F.count("doc_id").alias("own")).collect()
+    assert len(parts[0]) == 40 and max(parts[0]) < 700  # ten thousand rows are equal
+    assert {r.n for r in placed} == {2000} and all(850 < r.own < 1150 for r in placed)
+
+
+def test_mix_takes_the_same_rows_whatever_their_order(spark):
+    rows = [(None if i % 2 else 7, f"{'w ' * (i % 5)}{i // 40}", f"s{i % 2}") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    first, again = (Counter((r.doc_id, r.text, r.source) for r in mixing.taken(d).collect()) for d in (df, df.orderBy(F.desc("text")).repartition(4)))
+    assert first == again and sum(first.values()) > 300
+
+
+def test_a_repeated_id_learns_one_text_whatever_the_order(spark):
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2]
+    docs = spark.createDataFrame([(i, f"word{i % 7} " + ("vile " * 3 if i % 2 else "kind "), "en") for i in ids], "doc_id bigint, text string, lang string")
+    docs = docs.unionByName(docs.withColumn("text", F.lit("other text")).withColumn("lang", F.lit("de")))
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id bigint, toxic int")
+    a, b = toxicity.fit(docs, labels), toxicity.fit(docs.orderBy(F.desc("text")).repartition(5), labels)
+    assert np.array_equal(a.tables, b.tables) and np.array_equal(a.cuts, b.cuts)
+
+
 def test_shard_query(spark, sf):
     docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = QUERIES["op5_sharding"](spark, sf).collect()
