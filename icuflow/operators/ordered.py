@@ -40,7 +40,7 @@ def with_value_chunks(df: DataFrame, value: str, keys: Sequence[str] = (), rows:
     """
     chunks = -(-df.count() // rows)
     if chunks < 2:
-        return df.withColumn(CHUNK, F.lit(0))
+        return df.withColumn(CHUNK, F.pmod(F.hash(value), F.lit(1)))  # zero, but no constant: joins on it stay equi joins
     return stage(df.repartitionByRange(chunks, *keys, value).withColumn(CHUNK, F.spark_partition_id()), "chunks")
 
 
