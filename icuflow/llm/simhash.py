@@ -1,10 +1,12 @@
 """SimHash near-duplicates by a Gray-order hierarchical index.
 
-Fingerprints of 64 bits link when at most three bits differ. Two such fingerprints agree on one of four bands of bits, so distinct
-fingerprints are grouped by (band, its bits); groups that are too large are divided in the same way by the bits that are left, which
-after five divisions leaves at most 2**15 fingerprints. Inside a group, fingerprints are sorted by Gray rank, so
-neighbours share bits; nodes over runs of neighbours hold the bits all below agree on, upper nodes the bits shared widely. A search
-adds up differing bits from node to node and drops a whole node once there are more than three.
+Fingerprints of 64 bits link when at most three bits differ. Two such fingerprints agree on one of four bands of bits, so there are four
+orders, each of the fingerprints turned until one band leads. An order is cut into ranges of Gray rank that share their first bits, few
+enough that a range holds thousands of fingerprints; it is the top of a tree. Sorted by Gray rank, neighbours share bits; nodes over
+runs of neighbours hold the bits all below agree on, upper nodes the bits shared widely. A search goes down from the top,
+adds up differing bits from node to node and drops a whole node once there are more than three, or one in the band that leads:
+such a link is found in another order. Ranges that are too large are cut by the whole band, then by quarters of the bits left,
+which after five divisions leaves at most 2**15 fingerprints.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ WORDS = 3
 SEED = 42
 FAN = 8
 GROUP_ROWS = 20_000
+RANGE_ROWS = 4_096  # fingerprints in a range of Gray rank, about
+BAND = 64 // (BITS + 1)
 BLOCK = 256
 CHUNK_ROWS = 200_000
 
@@ -63,6 +67,7 @@ class GrayIndex:
     def __init__(self, codes: np.ndarray):
         self.codes, ones, every = codes, codes, codes
         self.patterns, self.masks, self.added = [codes], [np.full(len(codes), ~np.uint64(0))], []
+        self.nodes_tested = self.codes_tested = 0
         while len(ones) > 1:
             at = np.arange(0, len(ones), FAN)
             ones, every = np.bitwise_or.reduceat(ones, at), np.bitwise_and.reduceat(every, at)
@@ -71,11 +76,16 @@ class GrayIndex:
             self.masks.append(mask)
             self.patterns.append(every & mask)
 
-    def pairs(self, first: int, last: int, ends: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(self, first: int, last: int, ends: np.ndarray, bits: int = BITS, lead: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """(i, j), i < j, of the codes i in first..last and later codes j of i's group that differ in ``bits`` bits at most.
 
-        ``ends``: where the group of each code ends.
+        ``ends``: where the group of each code ends. In the ``lead`` highest bits they must agree.
         """
+        leading = ~np.uint64((1 << 64 - lead) - 1)
+
+        def differing(apart: np.ndarray) -> np.ndarray:
+            return np.where(apart & leading, bits + 1, np.bitwise_count(apart))
+
         query = np.arange(first, last)
         width = ends[first:last] - query
         level = np.minimum(np.log2(np.maximum(width, 1)).astype(np.int64) // int(np.log2(FAN)), len(self.patterns) - 1)
@@ -83,13 +93,17 @@ class GrayIndex:
         for at in range(int(level.max(initial=0)), -1, -1):
             span = FAN**at
             if len(q):
-                acc = acc + np.bitwise_count((self.codes[q] ^ self.patterns[at][node]) & self.added[at][node])
+                acc = acc + differing((self.codes[q] ^ self.patterns[at][node]) & self.added[at][node])
             new = query[(level == at) & (width > 1)]
             if len(new):
                 low, high = (new + 1) // span, (ends[new] - 1) // span + 1
                 nq, nn = np.repeat(new, high - low), _ranges(low, high)
-                na = np.bitwise_count((self.codes[nq] ^ self.patterns[at][nn]) & self.masks[at][nn]).astype(np.int64)
+                na = differing((self.codes[nq] ^ self.patterns[at][nn]) & self.masks[at][nn])
                 q, node, acc = np.concatenate([q, nq]), np.concatenate([node, nn]), np.concatenate([acc, na])
+            if at:
+                self.nodes_tested += len(q)
+            else:
+                self.codes_tested += len(q)
             near = acc <= bits
             q, node, acc = q[near], node[near], acc[near]
             if at:
@@ -106,15 +120,16 @@ def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
 
 
-def forest(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def forest(index: GrayIndex, starts: np.ndarray) -> np.ndarray:
     """For each code of a chunk of whole groups the place of a linked code that stands for its tree; itself if it has no link.
 
-    ``codes`` are sorted by group and Gray rank; ``starts``: where groups start. The trees join whatever links join.
+    The index's codes are sorted by group and Gray rank; ``starts``: where groups start. The trees join whatever links join.
     """
-    index, parent = GrayIndex(codes), np.arange(len(codes))
+    codes = index.codes
+    parent = np.arange(len(codes))
     ends = np.repeat(np.append(starts[1:], len(codes)), np.diff(np.append(starts, len(codes))))
     for first in range(0, len(codes), BLOCK):
-        a, b = index.pairs(first, min(first + BLOCK, len(codes)), ends)
+        a, b = index.pairs(first, min(first + BLOCK, len(codes)), ends, lead=BAND)
         while len(a):
             a, b = _roots(parent, a), _roots(parent, b)
             apart = a != b
@@ -129,7 +144,7 @@ def _roots(parent: np.ndarray, at: np.ndarray) -> np.ndarray:
     return at
 
 
-def _bands(mask: int) -> list[int]:
+def _parts(mask: int) -> list[int]:
     """``mask`` with each quarter of the other bits added in turn."""
     left = [i for i in range(64) if not mask >> i & 1]
     return [mask | sum(1 << int(i) for i in quarter) for quarter in np.array_split(left, BITS + 1)]
@@ -139,34 +154,57 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def grouped(codes: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(mask, value, code): each code in one group per band; groups above ``group_rows`` are divided again by the bits left."""
-    masks, done = _bands(0), []
-    rows = codes.select("code", F.explode(F.array(*[F.lit(_signed(m)).cast("bigint") for m in masks])).alias("mask"))
-    for depth in range(5):
+def range_bits(codes: int, range_rows: int = RANGE_ROWS) -> int:
+    """First bits that the codes of a range share: ranges hold ``range_rows`` codes or more if the codes spread evenly, never parts of a band."""
+    return min(max(codes // range_rows, 1).bit_length() - 1, BAND)
+
+
+def grouped(codes: DataFrame, group_rows: int = GROUP_ROWS, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """(turn, mask, value, code): each code in one range per order, turned left by ``turn`` bits.
+
+    Ranges above ``group_rows`` are divided by the rest of the band, then by the bits left.
+    """
+    top = range_bits(codes.count(), range_rows)
+    turned = [F.struct(F.lit(t).alias("turn"), F.shiftleft("code", t).bitwiseOR(F.shiftrightunsigned("code", 64 - t) if t else F.lit(0)).alias("code")) for t in range(0, 64, BAND)]
+    rows = codes.select(F.explode(F.array(*turned)).alias("t")).select("t.*", F.lit(_signed((1 << 64) - (1 << 64 - top))).cast("bigint").alias("mask"))
+    children = {(1 << 64) - (1 << 64 - top): [(1 << 64) - (1 << 64 - BAND)]}
+    done = []
+    while True:
         rows = rows.withColumn("value", F.col("code").bitwiseAND(F.col("mask")))
-        hot = stage(rows.groupBy("mask", "value").count().where(F.col("count") > group_rows).drop("count"), "hot-groups")
-        if depth == 4 or hot.isEmpty():
+        if children is None:
+            break
+        hot = stage(rows.groupBy("turn", "mask", "value").count().where(F.col("count") > group_rows).drop("count"), "hot-groups")
+        if hot.isEmpty():
             break
-        done.append(rows.join(hot, ["mask", "value"], "left_anti"))
-        children = codes.sparkSession.createDataFrame([(_signed(m), _signed(c)) for m in masks for c in _bands(m)], "mask bigint, child bigint")
-        rows = rows.join(hot, ["mask", "value"], "left_semi").join(F.broadcast(children), "mask").select("code", F.col("child").alias("mask"))  # 4**5 rows at most
-        masks = [c for m in masks for c in _bands(m)]
+        done.append(rows.join(hot, ["turn", "mask", "value"], "left_anti"))
+        below = codes.sparkSession.createDataFrame([(_signed(m), _signed(c)) for m, cs in children.items() for c in cs], "mask bigint, child bigint")
+        rows = rows.join(hot, ["turn", "mask", "value"], "left_semi").join(F.broadcast(below), "mask")  # 4**4 rows at most
+        rows = rows.select("turn", "code", F.col("child").alias("mask"))
+        masks = {c for cs in children.values() for c in cs}
+        children = {m: _parts(m) for m in masks} if len(done) < 5 else None
     for part in done:
         rows = rows.unionByName(part)
-    return rows.select("mask", "value", "code")
+    return rows.select("turn", "mask", "value", "code")
+
 
+def gray_sorted(groups: np.ndarray, codes: np.ndarray) -> tuple[GrayIndex, np.ndarray, np.ndarray]:
+    """The index over codes whose rows of ``groups`` are sorted, the codes' order in it, and where its groups start."""
+    new = np.append(True, (groups[1:] != groups[:-1]).any(1))
+    order = np.lexsort((gray_rank(codes), np.cumsum(new)))
+    return GrayIndex(codes[order]), order, np.flatnonzero(new)
 
-def links(codes: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(a, b): links of distinct codes that join all that links of at most BITS differing bits join, one per code and group at most."""
-    rows = grouped(codes, group_rows).repartition("mask", "value").sortWithinPartitions("mask", "value")
+
+def links(codes: DataFrame, group_rows: int = GROUP_ROWS, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """(a, b): links of distinct codes that join all that links of at most BITS differing bits join, one per code and range at most."""
+    keys = ["turn", "mask", "value"]
+    rows = grouped(codes, group_rows, range_rows).repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 3), np.int64)
+        held = np.zeros((0, 4), np.int64)
         for batch in batches:
-            held = np.concatenate([held, np.stack([batch.column(i).to_numpy() for i in range(3)], 1)])
+            held = np.concatenate([held, np.stack([batch.column(i).to_numpy() for i in range(4)], 1)])
             if len(held) >= CHUNK_ROWS:
-                change = np.flatnonzero((held[1:, :2] != held[:-1, :2]).any(1))
+                change = np.flatnonzero((held[1:, :3] != held[:-1, :3]).any(1))
                 if len(change):
                     cut = change[-1] + 1
                     yield edges(held[:cut])
@@ -175,16 +213,19 @@ def links(codes: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
             yield edges(held)
 
     def edges(held: np.ndarray) -> pa.RecordBatch:
-        new = np.append(True, (held[1:, :2] != held[:-1, :2]).any(1))
-        codes = held[:, 2].view(np.uint64) if held[:, 2].flags.c_contiguous else np.ascontiguousarray(held[:, 2]).view(np.uint64)
-        codes = codes[np.lexsort((gray_rank(codes), np.cumsum(new)))]
-        root = forest(codes, np.flatnonzero(new))
+        index, order, starts = gray_sorted(held[:, :3], np.ascontiguousarray(held[:, 3]).view(np.uint64))
+        root, turn = forest(index, starts), held[order, 0].astype(np.uint64)
         tied = np.flatnonzero(root != np.arange(len(root)))
-        return pa.RecordBatch.from_arrays([pa.array(codes[tied].view(np.int64)), pa.array(codes[root[tied]].view(np.int64))], names=["a", "b"])
+        ends = [_turned_back(index.codes[at], turn[at]) for at in (tied, root[tied])]
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in ends], names=["a", "b"])
 
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
+def _turned_back(codes: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    return (codes >> turn) | (codes << (np.uint64(64) - turn) % np.uint64(64))
+
+
 def fingerprint_classes(printed: DataFrame) -> DataFrame:
     """(fingerprint, root) for every distinct fingerprint; classes are what links of three bits or fewer connect."""
     codes = stage(printed.select(F.col("fingerprint").alias("code")).distinct(), "codes")

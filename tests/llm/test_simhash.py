@@ -1,5 +1,6 @@
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from icuflow.llm import simhash
 from icuflow.llm.components import components
@@ -76,8 +77,8 @@ def test_links_with_divided_groups_join_what_brute_force_joins(spark):
     codes |= {0b111 << i for i in range(0, 60, 2)} | {1 << i for i in range(64)}
     codes = sorted(codes)
     df = spark.createDataFrame([(simhash._signed(c),) for c in codes], "code bigint")
-    for group_rows in (1, 5, 10_000):
-        roots = {r.node: r.root for r in components(simhash.links(df, group_rows)).collect()}
+    for group_rows, range_rows in ((1, 1), (5, 8), (5, 1000), (10_000, 1), (10_000, 10_000)):
+        roots = {r.node: r.root for r in components(simhash.links(df, group_rows, range_rows)).collect()}
         found = {}
         for c in codes:
             found.setdefault(roots.get(simhash._signed(c), simhash._signed(c)), []).append(c)
@@ -87,6 +88,28 @@ def test_links_with_divided_groups_join_what_brute_force_joins(spark):
         assert sorted((str(i), c, str(first[c])) for i, c in rows) == want
 
 
+def test_gray_index_decides_the_search(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    codes = simhash.with_fingerprints(docs).select(F.col("fingerprint").alias("code")).distinct()
+    rows = simhash.grouped(codes).toPandas().sort_values(["turn", "mask", "value"])
+    assert len(rows) == 4 * codes.count()  # one range per order
+    index, _, starts = simhash.gray_sorted(rows[["turn", "mask", "value"]].to_numpy(), rows.code.to_numpy().view(np.uint64))
+    sizes = np.diff(np.append(starts, len(rows)))
+    assert np.median(sizes) > 2_000  # ranges hold thousands of codes
+    simhash.forest(index, starts)
+    pairs = int((sizes * (sizes - 1) // 2).sum())
+    assert index.nodes_tested > 0 and index.codes_tested < 0.01 * pairs and index.nodes_tested + index.codes_tested < 0.05 * pairs
+
+
+def test_a_difference_in_the_leading_bits_is_left_to_another_order():
+    codes = np.array([0, 1, 7, 1 << 63, 15], np.uint64)
+    codes = codes[np.argsort(simhash.gray_rank(codes))]
+    index, ends = simhash.GrayIndex(codes), np.full(len(codes), len(codes))
+    for lead, want in ((0, {(0, 1), (0, 7), (0, 1 << 63), (1, 7), (1, 15), (7, 15), (1, 1 << 63)}), (16, {(0, 1), (0, 7), (1, 7), (1, 15), (7, 15)})):
+        a, b = index.pairs(0, len(codes), ends, lead=lead)
+        assert {tuple(sorted((int(codes[i]), int(codes[j])))) for i, j in zip(a, b)} == want
+
+
 def test_components_of_chains_loops_and_hot_nodes(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100), (101, 102), (102, 101), (None, 7)] + [(500, 500 + i) for i in range(1, 60)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
