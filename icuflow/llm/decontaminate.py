@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from icuflow.llm.batches import keep_rows, small_batches, words_of
+from icuflow.llm.batches import keep_rows, mixed, small_batches, words_of
 
 WORDS = 5
 COVERED = 0.8
@@ -73,30 +73,74 @@ def blocks(benchmark: DataFrame, k: int, block_words: int) -> Iterator[Block]:
         yield block_of(held, k)
 
 
+def _places(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    n = np.maximum(high - low, 0)
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+
+
+def match_starts(item: np.ndarray, doc: np.ndarray, i: np.ndarray, i_seed: np.ndarray, j: np.ndarray, j_seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of places i and j of equal seeds that no match to the left reaches: the words before them differ, or there is none.
+
+    Only such pairs are made, so a seed that repeats in both texts costs its longest matches, not all pairs of its places.
+    """
+    before = np.unique(np.concatenate([item, doc]), return_inverse=True)[1]
+    n = int(before.max()) + 3  # two values more: nothing before the item, nothing before the document
+    i_key = i_seed * n + np.where(i > 0, before[i - 1], n - 2)
+    j_key = j_seed * n + np.where(j > 0, before[len(item) + j - 1], n - 1)
+    order = np.argsort(j_key, kind="stable")
+    j, j_key = j[order], j_key[order]
+    low, high = np.searchsorted(j_key, i_seed * n), np.searchsorted(j_key, (i_seed + 1) * n)
+    same, after = np.searchsorted(j_key, i_key), np.searchsorted(j_key, i_key, "right")
+    starts = np.concatenate([np.repeat(i, same - low), np.repeat(i, high - after)])
+    return starts, j[np.concatenate([_places(low, same), _places(after, high)])]
+
+
+def match_lengths(item: np.ndarray, doc: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Words that agree from item place i and document place j on, by running hashes of 1, 2, 4 ... words, the longest first."""
+    words = mixed(np.unique(np.concatenate([item, doc]), return_inverse=True)[1].astype(np.uint64) + BASE)
+    levels, size = [(words[: len(item)], words[len(item) :])], 1
+    while 2 * size <= min(len(item), len(doc)):
+        levels.append(tuple(mixed(h[:-size] * BASE + h[size:]) for h in levels[-1]))
+        size *= 2
+    n = np.zeros(len(i), np.int64)
+    for a, b in reversed(levels):
+        x, y = i + n, j + n
+        agree = (x < len(a)) & (y < len(b))
+        agree[agree] = a[x[agree]] == b[y[agree]]
+        n[agree] += size
+        size //= 2
+    return n
+
+
 def tile(item: np.ndarray, doc: np.ndarray, i: np.ndarray, j: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles (item start, doc start, words) from the places i, j where runs of ``k`` words match.
+    """Greedy tiles (item start, doc start, words) from the places i, j where matches of ``k`` words or more start.
 
     The longest match goes first, then the earliest in the item, then in the document. A match that is partly marked comes again
-    as what is left of it, as long as that has ``k`` words.
+    as what is left of it, as long as that has ``k`` words. Places inside a match that starts further left may be given too.
     """
-    order = np.lexsort((i, j - i))
-    i, j = i[order], j[order]
-    new = np.flatnonzero(np.append(True, (i[1:] - i[:-1] != 1) | (j[1:] - j[:-1] != 1)))
-    heap = [(-(int(n) + k - 1), int(a), int(b)) for n, a, b in zip(np.diff(np.append(new, len(i))), i[new], j[new])]
-    heapq.heapify(heap)
-    low = int(j.min())
-    marked_item, marked_doc, out = np.zeros(len(item), bool), np.zeros(int(j.max()) + k - low, bool), []
-    while heap:
-        n, a, b = heapq.heappop(heap)
+    size = match_lengths(item, doc, i, j)
+    order = np.lexsort((j, i, -size))
+    i, j, size = i[order], j[order], size[order]
+    rest: list[tuple[int, int, int]] = []  # what is left of matches, the longest first
+    low, at, unmarked = int(j.min()), 0, len(item)
+    marked_item, marked_doc, out = np.zeros(len(item), bool), np.zeros(int((j + size).max()) - low, bool), []
+    while unmarked >= k and (at < len(i) or rest):
+        following = (-int(size[at]), int(i[at]), int(j[at])) if at < len(i) else None
+        if following and (not rest or following <= rest[0]):
+            at += 1
+        else:
+            following = heapq.heappop(rest)
+        n, a, b = following
         free = ~(marked_item[a : a - n] | marked_doc[b - low : b - n - low])
         if free.all():
             out.append((a, b, -n))
             marked_item[a : a - n] = marked_doc[b - low : b - n - low] = True
+            unmarked += n
             continue
         edge = np.flatnonzero(np.diff(np.concatenate([[0], free.view(np.int8), [0]])))
         for s, e in edge.reshape(-1, 2).tolist():
             if e - s >= k:
-                heapq.heappush(heap, (s - e, a + s, b + s))
+                heapq.heappush(rest, (s - e, a + s, b + s))
     return out
 
 
@@ -125,6 +169,8 @@ def _row(block, k, item_of, place_of, words, start, hit, low, high, covered, row
     order = np.argsort(item_of[entries], kind="stable")
     entries, of_seed = entries[order], of_seed[order]
     items = item_of[entries]
+    hit = hit[np.argsort(back, kind="stable")] - start
+    hits_from = np.append(0, np.cumsum(np.bincount(back)))
     cuts = np.flatnonzero(np.append(True, items[1:] != items[:-1]))
     for a, b in zip(cuts, np.append(cuts[1:], len(entries))):
         item = block.words[items[a]]
@@ -133,22 +179,21 @@ def _row(block, k, item_of, place_of, words, start, hit, low, high, covered, row
         np.add.at(reach, place_of[entries[a:b]] + k, -1)
         if (np.cumsum(reach)[:-1] > 0).sum() < covered * len(item):  # no tiling can cover more
             continue
-        i, j = [], []
-        for e, s in zip(entries[a:b], of_seed[a:b]):
-            places = hit[back == s] - start
-            i.append(np.full(len(places), place_of[e]))
-            j.append(places)
-        doc = words[start : start + int(max(x.max() for x in j)) + k]
-        tiles = tile(item, doc, np.concatenate(i), np.concatenate(j), k)
+        shared = np.unique(of_seed[a:b])
+        j = hit[_places(hits_from[shared], hits_from[shared + 1])]
+        skipped = max(int(j.min()) - 1, 0)  # one word before the first match is compared
+        doc = words[start + skipped : start + int(j.max()) + k]
+        j_seed = np.repeat(shared, hits_from[shared + 1] - hits_from[shared])
+        tiles = tile(item, doc, *match_starts(item, doc, place_of[entries[a:b]], of_seed[a:b], j - skipped, j_seed), k)
         if sum(t[2] for t in tiles) >= covered * len(item):
-            yield row, int(items[a]), tiles
+            yield row, int(items[a]), [(x, y + skipped, n) for x, y, n in tiles]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, covered: float = COVERED, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id, item_words, covered, coverage, tiles): items of which a document covers ``covered`` or more of the words.
 
     Matches have ``words`` words or more; shorter items must stand as a whole. Null and empty texts match nothing; texts are read whole;
-    repeated documents or items give repeated rows; null ids are carried; an empty table gives no rows; further columns are not read. The benchmark
+    repeated documents or items give repeated rows, and items that share words are each found; null ids are carried; an empty table gives no rows; further columns are not read. The benchmark
     is a stated query set: it is matched in blocks of ``block_words`` words, which bounds what a task is sent; documents aren't shuffled.
     """
     out = None
@@ -180,7 +225,11 @@ NAMES = ["doc_id", "item_id", "item_words", "covered", "coverage", "tiles"]
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, covered: float = COVERED, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` without the rows that cover an item; all columns stay, rows are judged where they stand and not shuffled."""
+    """``docs`` without the rows that cover an item; all columns stay, rows are judged where they stand and not shuffled.
+
+    Null and empty texts stay; texts are read whole, whatever their length; repeated rows stay or go together, as ids aren't looked at; an empty
+    table of documents or items drops nothing; columns named like those of :func:`contaminated` are kept as they are.
+    """
     for block in blocks(benchmark, words, block_words):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 

@@ -1,5 +1,7 @@
 import random
+import tracemalloc
 
+import numpy as np
 import pyarrow as pa
 
 from icuflow.llm import decontaminate as d
@@ -47,11 +49,38 @@ def test_tiles_match_the_definition():
         if i[0] is None:
             assert brute_tiles(item, doc, k) == []
             continue
-        import numpy as np
-
         assert sorted(d.tile(np.array(item), np.array(doc), np.array(i), np.array(j), k)) == brute_tiles(item, doc, k)
 
 
+def test_rows_with_repeated_words_match_the_definition():
+    rng = random.Random(9)
+    found = 0
+    for _ in range(150):
+        letters = "ab" if rng.random() < 0.6 else "abc"
+        item = [rng.choice(letters) for _ in range(rng.randint(3, 14))]
+        if rng.random() < 0.3:
+            item = item[:2] * rng.randint(2, 6)
+        doc = [rng.choice(letters) for _ in range(rng.randint(0, 12))] + item[len(item) // 2 :] * rng.randint(1, 3) + ["x"] + item[: len(item) // 2 + 1]
+        block = d.block_of([(1, hashed(" ".join(item)))], 3)
+        words = hashed(" ".join(["lead", *doc, "tail"]))
+        rows = list(d.found_in(block, words, np.array([0, 1, len(words)]), 0.5))
+        want = brute_tiles(item, doc + ["tail"], 3)
+        assert [(r, sorted(t)) for r, _, t in rows] == [(1, want)] * (2 * sum(t[2] for t in want) >= len(item))
+        found += len(want)
+    assert found > 200
+
+
+def test_long_repeated_words_take_bounded_memory():
+    word, other = hashed("same"), hashed("other")
+    for item, doc in ((np.repeat(word, 5_000), np.repeat(word, 100_000)), (np.tile(np.concatenate([word, other]), 2_500), np.tile(np.concatenate([word, other]), 50_000))):
+        block = d.block_of([(1, item)], 5)
+        tracemalloc.start()
+        ((row, _, tiles),) = d.found_in(block, doc, np.array([0, len(doc)]), 0.8)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert tiles == [(0, 0, 5_000)] and peak < 200e6
+
+
 def test_reordered_short_missing_and_clean(spark):
     item = " ".join(f"w{i}" for i in range(30))
     parts = item.split()
