@@ -1,8 +1,11 @@
 """I-Match document fingerprints.
 
 Terms are distinct words, known by a hash of 63 bits (``CLASSES``); their document frequency is counted over all documents. Terms whose
-inverse document frequency lies in a band make the lexicon, a sorted table of hashes. As each of its terms is in ``e**-BAND[1]`` of the
-documents, it holds at most ``e**BAND[1]`` times as many terms as a document does on average, at any size. A document's lexicon terms are sorted and hashed, once as a whole and once for each of several random subsets of the lexicon, at rates that fall by 4.
+normalised inverse document frequency ln(N / n) / ln(N) lies in a band make the lexicon, a sorted table of hashes: of N documents
+from N**(1 - BAND[1]) to N**(1 - BAND[0]) hold each of its terms, so terms of one or a few documents (typing errors, ids) and terms of most
+documents are out at any size. At least a share of RAREST holds each, so the lexicon has at most 1 / RAREST (22,026) times as many terms
+as a document does on average. A document's lexicon terms are sorted and hashed, once as a whole and once for each of several random
+subsets of the lexicon, at rates that fall by 4.
 """
 
 from __future__ import annotations
@@ -22,7 +25,9 @@ from icuflow.llm.ranks import prefix_sums
 
 CLASSES = 1 << 63
 HELD_TERMS = 1 << 20  # that a task adds up before it hands them on
-BAND = (1.5, 12.0)
+BAND = (0.16, 0.55)
+LEAST = 2  # documents that hold a term of the lexicon, in small tables too
+RAREST = math.exp(-10)
 SUBSETS = 12
 RATES = (4, 16, 64, 256, 1024, 4096)
 BUCKET_ROWS = 1_000
@@ -74,9 +79,9 @@ def _counted(terms: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def lexicon(docs: DataFrame, text: str = "text", band: tuple[float, float] = BAND, classes: int = CLASSES) -> np.ndarray:
-    """The classes in the band of inverse document frequency ln(documents / n), in order."""
+    """The classes in the band of normalised inverse document frequency ln(documents / n) / ln(documents), in order."""
     total = docs.count()
-    low, high = total / math.exp(band[1]), total / math.exp(band[0])
+    low, high = max(LEAST, total ** (1 - band[1]), total * RAREST), total ** (1 - band[0])
     return np.sort(term_counts(docs, text, classes).where(F.col("n").between(low, high)).select("class").toArrow()["class"].to_numpy())
 
 
@@ -87,11 +92,12 @@ def fingerprint(words: np.ndarray, inside: np.ndarray, classes: int = CLASSES) -
     within = inside.take(np.searchsorted(inside, wanted), mode="clip") == wanted if len(inside) else np.zeros(len(terms), bool)
     terms = terms[within] if within.any() else terms
     out = [f"{xxhash.xxh64_intdigest(terms.tobytes()):016x}"]
-    for salt in SALTS:
-        rest, draw = terms, mixed(terms ^ salt)
+    for draw in mixed(terms ^ SALTS[:, None]):
+        rest = terms
         for rate in RATES:
-            member = draw < np.uint64((1 << 64) // rate)
-            rest, draw = rest[member], draw[member]
+            if len(rest):
+                member = draw < np.uint64((1 << 64) // rate)
+                rest, draw = rest[member], draw[member]
             out.append(f"{xxhash.xxh64_intdigest(rest.tobytes(), rate) % 65535 + 1:04x}" if len(rest) else NONE)
     return "".join(out)
 

@@ -223,6 +223,41 @@ def test_imatch(spark, sf):
     assert np.mean([r.near_edited for r in got]) > np.mean([r.near_next for r in got]) + 0.1
 
 
+def plain_fingerprint(terms, inside):
+    """(all terms, [subset by salt and rate]) that count, by the definition."""
+    kept = {t for t in terms if t % imatch.CLASSES in inside} or set(terms)
+    draws = [{t: int(imatch.mixed(np.array([t], np.uint64) ^ salt)[0]) for t in kept} for salt in imatch.SALTS]
+    return kept, [{t for t in kept if draw[t] < 2**64 // rate} for draw in draws for rate in imatch.RATES]
+
+
+def test_band_bites_and_prints_match_the_definition(spark):
+    shares = []
+    for scale in ("0.001", "0.01", "0.1"):
+        docs = spark.read.parquet(f"/root/testdata/sf{scale}/documents.parquet")
+        counts = imatch.term_counts(docs).toPandas()
+        inside = imatch.lexicon(docs)
+        total, n = docs.count(), counts.set_index("class").n
+        held = n.loc[inside]
+        assert held.min() >= max(2, total**0.45) and held.max() <= total**0.84 and len(inside)
+        shares.append((len(inside) / len(n), held.sum() / n.sum()))
+    assert all(terms < 0.1 and places < 0.6 for terms, places in shares)
+    texts = [r.text for r in docs.where("length(text) between 20 and 3000").orderBy("doc_id").limit(60).collect()]
+    texts += [t[: len(t) // 2] + u[: len(t) // 2] for t, u in zip(texts, texts[1:])]
+    known = set(inside.tolist())
+    prints = imatch.fingerprints(texts, inside)
+    plain = [plain_fingerprint([int(w) for _, words, _ in imatch.words_of(pa.array([t])) for w in words], known) for t in texts]
+    for a, (kept, subsets) in zip(prints, plain):
+        assert [a[i : i + 4] == imatch.NONE for i in range(16, len(a), 4)] == [not s for s in subsets]
+        b, (others, more) = prints[0], plain[0]
+        assert (a[:16] == b[:16]) == (kept == others)
+        for level in reversed(range(len(imatch.RATES))):
+            pairs = [(x, y) for x, y in list(zip(subsets, more))[level :: len(imatch.RATES)] if x or y]
+            if 2 * len(pairs) >= imatch.SUBSETS or not level:
+                want = 1.0 if a == b else sum(x == y for x, y in pairs) / len(pairs) if pairs else 0.0
+                assert imatch.likeness(a, b) == want
+                break
+
+
 def test_imatch_keeps_every_repeated_row(spark):
     rows = [(5, "é b c d e f"), (3, None), (9, "x y " * 9), (1, "a b")] + [(1, "a b")] * 40 + [(5, "é b c d e f")] * 7 + [(None, "")] * 30 + [(None, None)] * 5
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
@@ -254,10 +289,11 @@ def test_lexicon_by_term(spark, monkeypatch):
     term = {w: int(next(imatch.words_of(pa.array([w])))[1][0]) for w in {w for t in texts for w in t.split()}}
     n = {w: sum(w in t for t in map(set, map(str.split, texts))) for w in term}
     assert len(term) == 12_061
-    for band in ((1.5, 12.0), (0.5, 4.0), (0.0, 0.1)):
-        low, high = (302 / np.exp(b) for b in reversed(band))
+    for band in (imatch.BAND, (0.1, 0.7), (0.05, 1.0), (0.0, 0.02)):
+        low, high = (302 ** (1 - b) for b in reversed(band))
         inside = imatch.lexicon(df, band=band)
+        low = max(low, 2)
         assert inside.tolist() == sorted(h % imatch.CLASSES for w, h in term.items() if low <= n[w] <= high)
-    inside = imatch.lexicon(df, band=(0.5, 4.0))
+    inside = imatch.lexicon(df, band=(0.1, 0.7))
     plain, typed, common = imatch.fingerprints(["w1 w2 w3", "w1 w2 only5x6 w3 unseen", "all w1 w2 w3"], inside)
     assert plain == typed == common != imatch.fingerprints(["w1 w2"], inside)[0]
