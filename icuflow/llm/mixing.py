@@ -32,7 +32,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     the driver.
     """
     ordered = prefix_sums(sizes.withColumn("_one", F.lit(1).cast("bigint")), [F.col("source").asc_nulls_last()], "_one", name="_at")
-    table = stage(ordered.select("source", "source_size", F.element_at(F.array(*map(F.lit, weights)), (F.col("_at") % len(weights) + 1).cast("int")).alias("_w")), "sources")
+    table = stage(ordered.select("source", "source_size", F.element_at(F.array(*map(F.lit, weights)), (F.col("_at") % len(weights) + 1).cast("int")).cast("bigint").alias("_w")), "sources")
     total = table.agg(F.sum("source_size")).first()[0] or 0
     stopped, state = F.lit(False), None
     while True:

@@ -68,6 +68,15 @@ def test_targets_and_mix(spark):
     assert mixing.mix_sources(df.where("false")).count() == 0 and mixing.mix_sources(df.where("source = 'empty'")).agg(F.sum("copies")).first()[0] == 0
 
 
+@pytest.mark.parametrize("size", [1000, 10**9])
+def test_targets_of_many_words(spark, size):
+    """From 430 million words on five times as many are beyond an int, while they are within."""
+    sizes = {"a": 400_000 * size, "b": 30_000 * size, "c": 9_000 * size, None: 20_000 * size}
+    rows = mixing.source_targets(spark.createDataFrame([*sizes.items()], "source string, source_size bigint")).collect()
+    want = brute_targets(sizes)
+    assert {r.source: r.source_size for r in rows} == sizes and all(abs(r.target - want[r.source]) < 1e-9 * want[r.source] for r in rows)
+
+
 def test_matrix_and_shards(spark):
     drawn = sharding.matrix([5, 0, 7, 9], [10, 1, 10], 3)
     assert drawn.sum(1).tolist() == [5, 0, 7, 9] and drawn.sum(0).tolist() == [10, 1, 10]
