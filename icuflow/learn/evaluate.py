@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from icuflow.functions.values import argmax_class, hashed_uniform
 from icuflow.learn.models import MODELS, TREES, Fitted, _grown, ensemble, feature_count
-from icuflow.learn.trees import Ensemble, Model, fold_scores, grow, matrix
+from icuflow.learn.trees import Ensemble, Model, grow, held_out_scores, matrix
 from icuflow.operators import metrics
 from icuflow.sources.tables import stage
 
@@ -37,11 +37,9 @@ def out_of_fold(rows: DataFrame, key: str, names: Sequence[str], classes: int, f
     """
     size = feature_count(rows)
     trees = [n for n in names if n in TREES or n == "extra_trees"]
-    specs = [(n, f) for n in trees for f in [*range(folds), *([None] if full else [])]]
-    grown = dict(zip(specs, grow(rows, [ensemble(n, classes, size, fold=f, **changes) for n, f in specs], key, "fold")))
-    members = {n: _grown(grown[n, None]) for n in trees if full}
+    members = {n: _grown(m) for n, m in zip(trees, grow(rows, [ensemble(n, classes, size, **changes) for n in trees], key, "fold"))} if full else {}
     number = {n: i for i, n in enumerate(names)}
-    scores = fold_scores(rows, key, "fold", [(number[n], m) for (n, f), m in grown.items() if f is not None])
+    scores = held_out_scores(rows, [(number[n], ensemble(n, classes, size, fold=f, **changes)) for n in trees for f in range(folds)], key, "fold")
     for n in names:
         if n in trees:
             continue
@@ -141,9 +139,7 @@ def lasso_cv(df: DataFrame, key: str, names: Sequence[str], alphas: Sequence[flo
 def grid_scores(df: DataFrame, key: str, cells: Sequence[Ensemble], folds: int) -> DataFrame:
     """(cell, key, fold, label, score): all rows scored under all grid cells, each by the model that didn't learn from its fold."""
     rows = with_folds(df, key, folds)
-    specs = [(i, Ensemble(**{**c.__dict__, "fold": f})) for i, c in enumerate(cells) for f in range(folds)]
-    models = grow(rows, [s for _, s in specs], key, "fold")
-    held = fold_scores(rows, key, "fold", [(i, m) for (i, _), m in zip(specs, models)])
+    held = held_out_scores(rows, [(i, Ensemble(**{**c.__dict__, "fold": f})) for i, c in enumerate(cells) for f in range(folds)], key, "fold")
     return stage(held.withColumn("score", F.element_at("prob", -1)).drop("prob"), "grid")
 
 

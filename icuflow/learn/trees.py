@@ -5,6 +5,9 @@ growing gets sums of gradients and hessians per feature and bin, and its best sp
 however many grid cells, folds and classes are trained. Ensembles don't wait for each other: one may be at another level or round than the
 next. Tasks add up their own rows; the cells of a node meet in one task, which picks the split, and only splits reach the driver.
 
+A table that a task can hold (``HELD_BINS``) has more use for tasks that grow whole ensembles: each gets the rows once, and no pass is a job
+(:func:`whole_ensembles`). Both ways grow the same trees.
+
 Gradients are whole multiples of 2^-24, so their sums don't depend on how rows are dealt. Rows, features and cut points that are
 drawn follow from hashes of the row's id, the tree and the node (:func:`scramble`): reruns agree on any cluster.
 """
@@ -17,6 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +33,8 @@ SCALE = float(1 << 24)
 PRIME = 2_147_483_647
 PART_ROWS = 65_536  # rows of a part of the binned table
 CELLS = 1 << 24  # sums that a task holds; more open nodes take a further pass
+HELD_BINS = 1 << 26  # bins (rows times features) up to which a task may hold the whole table
+AT_ONCE = 1 << 16  # cells of rows that are added up in one call
 HELD_ROUNDS = 10  # finished trees of an ensemble until the margins are written anew
 CHUNK_ROWS = 4_096
 LEAST_GAIN = 1e-6
@@ -266,22 +272,6 @@ class Job:
                 out[:, k] += value[leaf]
         return out
 
-    def gradients(self, spec: Ensemble, first: int, number: int, output: int, y: np.ndarray, fold: np.ndarray, base: np.ndarray, margins: np.ndarray):
-        """(channels, rows) gradients and hessians in units of 1 / SCALE, and the rows that are learnt from."""
-        learnt = fold != spec.fold if spec.fold is not None else np.ones(len(y), bool)
-        draw = scramble(base, scramble(spec.seed, number))
-        if spec.kind != "boost":
-            times = np.searchsorted(POISSON, draw / PRIME, "right").astype(float)
-            return np.stack([times * (y == c) for c in range(spec.classes)]), times, learnt & (times > 0)
-        if spec.rows < 1:
-            learnt &= draw < spec.rows * PRIME
-        m = margins[:, first : first + spec.outputs]
-        if spec.loss == "squared":
-            return np.rint((m[:, 0] - y) * SCALE)[None], np.full(len(y), SCALE), learnt
-        p = probabilities(spec, m)[:, output if spec.outputs > 1 else 1]
-        target = (y == output) if spec.outputs > 1 else (y == 1)
-        return np.rint((p - target) * SCALE)[None], np.rint(p * (1 - p) * SCALE), learnt
-
     def add(self, sums: np.ndarray, x: np.ndarray, y: np.ndarray, fold: np.ndarray, base: np.ndarray, margins: np.ndarray) -> None:
         """Add rows to the (slot, feature, bin, channel) sums; the last channel is the hessian."""
         margins = self.margins(x, margins)
@@ -290,7 +280,7 @@ class Job:
         for mine, (spec, first, number), output in zip(slot, self.specs, self.outputs):
             if not (mine >= 0).any():
                 continue
-            g, h, learnt = self.gradients(spec, first, number, output, y, fold, base, margins)
+            g, h, learnt = gradients(spec, margins[:, first : first + spec.outputs], number, output, y, fold, base)
             at = np.flatnonzero(learnt & (mine >= 0))
             full = np.zeros((self.channels + 1, len(at)))
             full[: len(g)], full[-1] = g[:, at], h[at]
@@ -315,44 +305,76 @@ class Job:
     def choose(self, slots: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, ...]:
         """(feature, cut, gain, sums of the left child, sums) of some slots."""
         of = [(*self.specs[tree], heap) for tree, heap in (self.slots[s] for s in slots.tolist())]
-        scale = np.array([SCALE if spec.kind == "boost" else 1.0 for spec, *_ in of])
-        l2, least = (np.array([getattr(spec, name) for spec, *_ in of])[:, None, None] for name in ("l2", "least"))
-        left = np.cumsum(cells / scale[:, None, None, None], 2)
-        total = left[:, 0, -1, :]
-        h, whole = left[..., -1], total[:, None, None, :]
-        right_h = whole[..., -1] - h
-        valid = (h >= least) & (right_h >= least) & np.stack([self.tried(*one) for one in of])[:, :, None]
+        sums = np.moveaxis(cells, -1, 0)
+        valid = np.stack([tried(spec, number, heap, self.size) for spec, _, number, heap in of])[:, :, None] & np.ones(BINS, bool)
         for i, (spec, _, number, heap) in enumerate(of):
             if spec.kind == "extra":
-                some = cells[i, :, :, -1] > 0
-                low, high = some.argmax(1), BINS - 1 - some[:, ::-1].argmax(1)
-                u = scramble(scramble(scramble(spec.seed + 1, number), heap), np.arange(self.size))
-                valid[i] &= np.arange(BINS) == (low + u * (high - low) // PRIME)[:, None]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain = np.zeros(h.shape)
-            for c in range(self.channels):
-                g = left[..., c]
-                other = whole[..., c] - g
-                gain = gain + g * g / (h + l2) + other * other / (right_h + l2)
-            for c in range(self.channels):
-                gain = gain - whole[..., c] * whole[..., c] / (whole[..., -1] + l2)
-        gain = np.where(valid, gain, -np.inf).reshape(len(of), -1)
-        at = gain.argmax(1)
-        most = gain[np.arange(len(of)), at]
-        some = most > LEAST_GAIN
-        feature, cut = np.divmod(at, BINS)
-        return np.where(some, feature, -1), np.where(some, cut, 0), np.where(some, most, 0.0), left[np.arange(len(of)), feature, cut], total
-
-    def tried(self, spec: Ensemble, first: int, number: int, heap: int) -> np.ndarray:
-        """Which features a node may be split at."""
-        keep = max(1, int(spec.columns * self.size))
-        if heap.bit_length() > spec.depth or keep == self.size:
-            return np.full(self.size, heap.bit_length() <= spec.depth)
-        start = scramble(spec.seed, number)
-        draws = scramble(start if spec.kind == "boost" else scramble(start, heap), np.arange(self.size))
-        out = np.zeros(self.size, bool)
-        out[np.argsort(draws, kind="stable")[:keep]] = True
-        return out
+                valid[i] &= random_cut(spec, number, heap, sums[-1, i])
+        feature, cut, gain, part, total = best_cuts([spec for spec, *_ in of], sums, valid)
+        return feature, cut, gain, part.T, total.T
+
+
+def gradients(spec: Ensemble, margins: np.ndarray, number: int, output: int, y: np.ndarray, fold: np.ndarray, base: np.ndarray):
+    """(channels, rows) gradients and hessians in units of 1 / SCALE, and the rows that are learnt from; ``margins`` are the ensemble's own."""
+    learnt = fold != spec.fold if spec.fold is not None else np.ones(len(y), bool)
+    draw = scramble(base, scramble(spec.seed, number))
+    if spec.kind != "boost":
+        times = np.searchsorted(POISSON, draw / PRIME, "right").astype(float)
+        return np.stack([times * (y == c) for c in range(spec.classes)]), times, learnt & (times > 0)
+    if spec.rows < 1:
+        learnt &= draw < spec.rows * PRIME
+    if spec.loss == "squared":
+        return np.rint((margins[:, 0] - y) * SCALE)[None], np.full(len(y), SCALE), learnt
+    p = probabilities(spec, margins)[:, output if spec.outputs > 1 else 1]
+    target = (y == output) if spec.outputs > 1 else (y == 1)
+    return np.rint((p - target) * SCALE)[None], np.rint(p * (1 - p) * SCALE), learnt
+
+
+def best_cuts(specs: Sequence[Ensemble], sums: np.ndarray, valid: np.ndarray, whole: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(feature, cut, gain, (channel, node) sums of the left child and of all) from (channel, node, feature, bin) sums, a setting for each node.
+
+    ``whole`` are the sums of each node; the first feature has them if it isn't given.
+    """
+    scale = np.array([SCALE if spec.kind == "boost" else 1.0 for spec in specs])
+    l2, least = (np.array([getattr(spec, name) for spec in specs])[:, None, None] for name in ("l2", "least"))
+    left = np.cumsum(sums / scale[:, None, None], 3)
+    total = left[:, :, 0, -1] if whole is None else whole / scale
+    h, whole = left[-1], total[:, :, None, None]
+    right_h = whole[-1] - h
+    valid = valid & (h >= least) & (right_h >= least)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = np.zeros(h.shape)
+        for c in range(len(sums) - 1):
+            other = whole[c] - left[c]
+            gain = gain + left[c] * left[c] / (h + l2) + other * other / (right_h + l2)
+        for c in range(len(sums) - 1):
+            gain = gain - whole[c] * whole[c] / (whole[-1] + l2)
+    gain = np.where(valid, gain, -np.inf).reshape(len(specs), -1)
+    at = gain.argmax(1)
+    most = gain[np.arange(len(specs)), at]
+    some = most > LEAST_GAIN
+    feature, cut = np.divmod(at, BINS)
+    return np.where(some, feature, -1), np.where(some, cut, 0), np.where(some, most, 0.0), left[:, np.arange(len(specs)), feature, cut], total
+
+
+def random_cut(spec: Ensemble, number: int, heap: int, weight: np.ndarray) -> np.ndarray:
+    """The one cut of each feature that a node of an extremely randomised tree tries, from its (feature, bin) weights."""
+    some = weight > 0
+    low, high = some.argmax(1), BINS - 1 - some[:, ::-1].argmax(1)
+    u = scramble(scramble(scramble(spec.seed + 1, number), heap), np.arange(len(weight)))
+    return np.arange(BINS) == (low + u * (high - low) // PRIME)[:, None]
+
+
+def tried(spec: Ensemble, number: int, heap: int, size: int) -> np.ndarray:
+    """Which features a node may be split at."""
+    keep = max(1, int(spec.columns * size))
+    if heap.bit_length() > spec.depth or keep == size:
+        return np.full(size, heap.bit_length() <= spec.depth)
+    start = scramble(spec.seed, number)
+    draws = scramble(start if spec.kind == "boost" else scramble(start, heap), np.arange(size))
+    out = np.zeros(size, bool)
+    out[np.argsort(draws, kind="stable")[:keep]] = True
+    return out
 
 
 SPLIT = {"slot": pa.int32(), "feature": pa.int32(), "cut": pa.int32(), "gain": pa.float64(), "part": pa.list_(pa.float64()), "total": pa.list_(pa.float64())}
@@ -394,13 +416,16 @@ def cut_points(rows: DataFrame, size: int) -> list[np.ndarray]:
     return [np.unique(np.array(c or [], float)) for c in found]
 
 
+def bins_of(x: np.ndarray, cuts: Sequence[np.ndarray]) -> np.ndarray:
+    return np.stack([np.where(np.isnan(x[:, f]), 0, np.searchsorted(c, x[:, f])) for f, c in enumerate(cuts)], 1).astype(np.uint8)
+
+
 def binned(rows: DataFrame, cuts: list[np.ndarray], start: list[float], parts: int) -> DataFrame:
     size = len(cuts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = matrix(batch.column(3), size)
-            bins = np.stack([np.where(np.isnan(x[:, f]), 0, np.searchsorted(cuts[f], x[:, f])) for f in range(size)], 1).astype(np.uint8)
+            bins = bins_of(matrix(batch.column(3), size), cuts)
             m = np.tile(np.array(start, float), (batch.num_rows, 1))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], fixed_binary(bins), fixed_binary(m)], names=["base", "y", "fold", "x", "m"])
 
@@ -487,30 +512,233 @@ def job_of(growths: list[Growth], size: int, limit: int) -> Job:
     return Job([(g.spec, g.first, t.number) for g, t in units], [t.output for _, t in units], held, packed, slot_of, slots, size, channels)
 
 
-def grow(rows: DataFrame, ensembles: Sequence[Ensemble], key: str | None = None, fold: str | None = None, limit: int = CELLS,
-         part_rows: int = PART_ROWS) -> list[Model]:
-    """The ensembles fitted on vector ``features`` and ``label``, all in shared passes.
+def cell_sums(x: np.ndarray, features: np.ndarray, rows: np.ndarray, slot: np.ndarray, values: np.ndarray, slots: int, asked: np.ndarray | None) -> np.ndarray:
+    """(channel, slot, feature, bin) sums of the ``values`` of ``rows``; ``asked`` has the features that each slot needs, or all do."""
+    out = np.zeros((len(values), len(features), slots, BINS))
+    base, step = slot * BINS, max(1, AT_ONCE // max(len(rows), 1)) if asked is None else 1
+    for i in range(0, len(features), step):
+        some = features[i : i + step]
+        if asked is not None:
+            at = np.flatnonzero(asked[slot, some[0]])
+            cell, mine = base[at] + x[some[0]].take(rows[at]), values[:, at]
+        else:
+            cell = (x[some].take(rows, 1) + (base + (np.arange(len(some)) * slots * BINS)[:, None])).ravel()
+            mine = values if len(some) == 1 else np.tile(values, len(some))
+        for c, v in enumerate(mine):
+            out[c, i : i + step] = np.bincount(cell, v, len(some) * slots * BINS).reshape(len(some), slots, BINS)
+    return out.swapaxes(1, 2)
 
-    ``key`` names a unique id for the draws (equal rows draw alike without it), ``fold`` a column of fold numbers. Rows without a label
-    are left out; nulls among the features go with the smallest values. Without any rows models have no trees.
+
+def fill(tree: Tree, spec: Ensemble, x: np.ndarray, values: np.ndarray, learnt: np.ndarray, limit: int) -> np.ndarray:
+    """Grow one tree on (feature, row) bins and (channel, row) gradients in memory; the node of every row, learnt from or not.
+
+    A node that is too light to be split isn't added up, and of two neighbours only the one with fewer rows if their parent's sums are at
+    hand: sums are of whole numbers, so the other's are the difference.
+    """
+    size, n = x.shape
+    boost = spec.kind == "boost"
+    first = tried(spec, tree.number, 1, size)
+    features = np.flatnonzero(first) if boost and first.any() else np.arange(size)
+    most = max(1, limit // (size * BINS * len(values)))
+    rows = np.flatnonzero(learnt)
+    node = np.zeros(n, np.int32)
+    above: dict[int, np.ndarray] = {}  # sums of the parent by its first child
+    while tree.open:
+        now = tree.open[:most]
+        place = {k: i for i, k in enumerate(now)}
+        here = node[rows]
+        count = np.bincount(here, minlength=len(tree.left))
+        pairs = [(k, k + 1) if count[k] <= count[k + 1] else (k + 1, k) for k in now if k in above and k + 1 in place]
+        rest = {other for _, other in pairs}
+        slot_of = np.full(len(tree.left), -1)
+        added = [k for k in now if k not in rest]
+        slot_of[added] = np.arange(len(added))
+        slot = slot_of[here]
+        at = np.flatnonzero(slot >= 0)
+        asked = None if boost else np.stack([tried(spec, tree.number, tree.heap[k], size) for k in added])
+        found = cell_sums(x, features, rows[at], slot[at], values[:, rows[at]], len(added), None if asked is None or asked.all() else asked)
+        sums = np.zeros((len(values), len(now), len(features), BINS))
+        sums[:, [place[k] for k in added]] = found
+        for few, many in pairs:
+            sums[:, place[many]] = above[min(few, many)] - sums[:, place[few]]
+        fresh: dict[int, np.ndarray] = {}
+        whole = None if boost else np.stack([np.bincount(slot[at], v, len(now)) for v in values[:, rows[at]]])
+        for i in range(0, len(now), 64):
+            some, cells = now[i : i + 64], sums[:, i : i + 64]
+            valid = np.full((len(some), len(features), BINS), first.any())
+            if not boost:
+                valid &= asked[i : i + 64, :, None]
+            if spec.kind == "extra":
+                for j, k in enumerate(some):
+                    valid[j] &= random_cut(spec, tree.number, tree.heap[k], cells[-1, j])
+            feature, cut, gain, part, total = best_cuts([spec] * len(some), cells, valid, None if boost else whole[:, i : i + 64])
+            for j, k in enumerate(some):
+                left = len(tree.left)
+                learn(spec, tree, k, {"feature": int(features[feature[j]]) if feature[j] >= 0 else -1, "cut": int(cut[j]), "gain": float(gain[j]),
+                                      "part": part[:, j].tolist(), "total": total[:, j].tolist()})
+                if feature[j] >= 0 and left in tree.open:
+                    for child in (left, left + 1):
+                        if tree.weight[child] < 2 * spec.least:
+                            tree.open.remove(child)
+                    if boost and left in tree.open and left + 1 in tree.open:
+                        fresh[left] = cells[:, j]
+        above = fresh if 2 * len(fresh) <= most else {}
+        down = np.zeros(len(tree.left), np.int32)
+        down[now] = [tree.left[k] for k in now]
+        moved = np.flatnonzero(down[node])
+        was = node[moved]
+        node[moved] = down[was] + (x[np.array(tree.feature)[was], moved] > np.array(tree.cut)[was])
+    return node
+
+
+def grow_alone(spec: Ensemble, start: Sequence[float], x: np.ndarray, y: np.ndarray, fold: np.ndarray, base: np.ndarray, limit: int) -> tuple[list[Tree], np.ndarray]:
+    """The trees of one ensemble on (feature, row) bins in memory, and the probabilities of all rows, as :meth:`Model.predict` gives them."""
+    boost = spec.kind == "boost"
+    total = np.tile(np.array(start, float), (len(y), 1)) if boost else np.zeros((len(y), spec.classes))
+    known, trees = ~np.isnan(y), []
+    for number in range(spec.rounds):
+        grown = []
+        for output in range(spec.outputs):
+            g, h, learnt = gradients(spec, total, number, output, y, fold, base)
+            tree = Tree(number, output)
+            grown.append((tree, fill(tree, spec, x, np.concatenate([g, h[None]]), learnt & known, limit)))
+        for tree, node in grown:
+            if boost:
+                total[:, tree.output] += np.array([v[0] for v in tree.value])[node]
+            elif tree.weight[0] > 0:
+                total += np.array(tree.value)[node]
+            trees.append(tree)
+    if boost:
+        return trees, probabilities(spec, total)
+    drew = sum(t.weight[0] > 0 for t in trees)
+    return trees, total / drew if drew else total + 1 / spec.classes
+
+
+GROWN = "ensemble int, number int, output int, feature binary, cut binary, left binary, heap binary, value binary, gain binary, weight binary"
+
+
+def packed_tree(at: int, t: Tree) -> dict:
+    """A row of GROWN."""
+    kinds = {"feature": np.int32, "cut": np.int32, "left": np.int32, "heap": np.int64, "value": float, "gain": float, "weight": float}
+    return {"ensemble": at, "number": t.number, "output": t.output, **{k: np.array(getattr(t, k), kind).tobytes() for k, kind in kinds.items()}}
+
+
+def unpacked_tree(r: dict) -> Tree:
+    ints = {k: np.frombuffer(r[k], np.int32).tolist() for k in ("feature", "cut", "left")}
+    heap = np.frombuffer(r["heap"], np.int64).tolist()
+    return Tree(r["number"], r["output"], **ints, heap=heap, value=np.frombuffer(r["value"]).reshape(len(heap), -1).tolist(),
+                gain=np.frombuffer(r["gain"]).tolist(), weight=np.frombuffer(r["weight"]).tolist(), open=[])
+
+
+def hands(ensembles: Sequence[Ensemble], tasks: int) -> list[list[int]]:
+    """The ensembles of each task, the costly ones dealt first, each to the task with the least to do."""
+    cost = [s.rounds * s.outputs * s.depth for s in ensembles]
+    out, load = [[] for _ in range(tasks)], [0] * tasks
+    for i in sorted(range(len(ensembles)), key=lambda i: -cost[i]):
+        t = load.index(min(load))
+        out[t].append(i)
+        load[t] += cost[i]
+    return out
+
+
+def whole_ensembles(plain: DataFrame, models: Sequence[Model], limit: int, key: str | None = None, numbers: Sequence[int] = ()) -> DataFrame:
+    """Ensembles grown whole inside tasks: each task gets all rows and some of the ensembles, so no level is a job.
+
+    The result has their trees (GROWN), or with ``key`` the rows (cell, key, fold, label, prob) of each ensemble's own fold, scored; ``numbers`` are the cells.
     """
+    spark, cuts, size = plain.sparkSession, models[0].cuts, len(models[0].cuts)
+    tasks = max(1, min(len(models), spark.sparkContext.defaultParallelism))
+    dealt = hands([m.spec for m in models], tasks)
+    columns = ["base", "y", "fold", "x", *([key] if key else [])]
+    kind = plain.schema[key].dataType.simpleString() if key else ""
+
+    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rest = [*batch.columns[:3], fixed_binary(bins_of(matrix(batch.column(3), size), cuts)), *batch.columns[4:]]
+            yield pa.RecordBatch.from_arrays(rest, names=columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[pa.RecordBatch]] = {}
+        for batch in batches:
+            if batch.num_rows:
+                for copy in pc.unique(batch.column(0)).to_pylist():
+                    held.setdefault(copy, []).append(batch.filter(pc.equal(batch.column(0), copy)))
+        for copy, some in held.items():
+            table = pa.Table.from_batches(some).combine_chunks()
+            base, y, fold = (table[c].to_numpy() for c in ("base", "y", "fold"))
+            x = np.ascontiguousarray(np.concatenate([flat_binary(c).reshape(len(c), size) for c in table["x"].chunks]).T)
+            for i in dealt[copy]:
+                spec = models[i].spec
+                trees, prob = grow_alone(spec, models[i].start, x, y.astype(float), fold, base, limit)
+                if not key:
+                    yield pa.RecordBatch.from_pylist([packed_tree(i, t) for t in trees], to_arrow(GROWN))
+                    continue
+                at = np.flatnonzero(fold == spec.fold)
+                mine = table.take(pa.array(at))
+                one = [mine[c].combine_chunks() for c in (key, "fold", "y")]
+                one = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in one]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), numbers[i], np.int32)), *one, pa.array(list(prob[at]), pa.list_(pa.float64()))],
+                                                 names=["cell", "key", "fold", "label", "prob"])
+
+    binned = plain.select(*columns).mapInArrow(bins, "base long, y double, fold int, x binary" + (f", `{key}` {kind}" if key else ""))
+    copies = binned.select(F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("_copy"), "*").repartitionById(tasks, "_copy")
+    if not key:
+        return copies.mapInArrow(run, GROWN)
+    return copies.mapInArrow(run, f"cell int, key {kind}, fold int, label double, prob array<double>").withColumnRenamed("key", key)
+
+
+def to_arrow(ddl: str) -> pa.Schema:
+    kinds = {"int": pa.int32(), "binary": pa.binary()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in ddl.split(", "))])
+
+
+def prepared(rows: DataFrame, ensembles: Sequence[Ensemble], key: str | None, fold: str | None, unlabelled: bool = False) -> tuple[DataFrame, list[Model], int]:
+    """The staged rows (base, y, fold, x; with ``unlabelled`` the key, and rows without a label), empty models, and the number of labelled rows."""
     base = hashed_uniform(F.col(key), "trees") if key else F.pmod(F.xxhash64("features", "label"), F.lit(PRIME)) / PRIME
-    plain = rows.where("label is not null").select(
+    plain = (rows if unlabelled else rows.where("label is not null")).select(
         F.floor(F.coalesce(base, F.lit(0.0)) * PRIME).cast("long").alias("base"), F.col("label").cast("double").alias("y"),
-        (F.coalesce(F.col(fold), F.lit(-1)) if fold else F.lit(-1)).cast("int").alias("fold"), vector_to_array("features").alias("x"))
+        (F.coalesce(F.col(fold), F.lit(-1)) if fold else F.lit(-1)).cast("int").alias("fold"), vector_to_array("features").alias("x"),
+        *([key] if unlabelled else []))
     plain = stage(plain, "features")
-    sizes = plain.groupBy("fold", "y").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("size")).collect()
+    known = plain.where("y is not null")
+    sizes = known.groupBy("fold", "y").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("size")).collect()
     n, size = sum(r.n for r in sizes), max((r["size"] for r in sizes), default=0)
-    models, start = [], []
-    cuts = cut_points(plain, size) if size else []
+    cuts = cut_points(known, size) if size else []
+    models = []
     for spec in ensembles:
         counts = [sum(r.n for r in sizes if r.y == c and (spec.fold is None or r.fold != spec.fold)) for c in range(spec.classes)]
-        mine = beginning(spec, counts)
-        models.append(Model(spec, mine, cuts))
-        start += mine if spec.kind == "boost" else []
+        models.append(Model(spec, beginning(spec, counts), cuts))
+    return plain, models, n
+
+
+def fits_tasks(n: int, models: Sequence[Model], part_rows: int = PART_ROWS) -> bool:
+    """Whether a task may hold the table, and as many tasks find work on ensembles as would on parts of the rows."""
+    return 0 < n * len(models[0].cuts) <= HELD_BINS and -(-n // part_rows) <= len(models)
+
+
+def grow(rows: DataFrame, ensembles: Sequence[Ensemble], key: str | None = None, fold: str | None = None, limit: int = CELLS,
+         part_rows: int = PART_ROWS) -> list[Model]:
+    """The ensembles fitted on vector ``features`` and ``label``, all in shared passes, or whole inside tasks where the table is small enough.
+
+    ``key`` names a unique id for the draws (equal rows draw alike without it), ``fold`` a column of fold numbers. Rows without a label
+    are left out; nulls among the features go with the smallest values. Without any rows models have no trees.
+    """
+    if not ensembles:
+        return []
+    plain, models, n = prepared(rows, ensembles, key, fold)
     if not n:
         return models
-    parts = -(-n // part_rows)
+    if fits_tasks(n, models, part_rows):
+        for r in sorted(whole_ensembles(plain, models, limit).toArrow().to_pylist(), key=lambda r: (r["ensemble"], r["number"], r["output"])):
+            models[r["ensemble"]].trees.append(unpacked_tree(r))
+        return models
+    return grow_by_passes(plain, models, n, limit, part_rows)
+
+
+def grow_by_passes(plain: DataFrame, models: list[Model], n: int, limit: int, part_rows: int) -> list[Model]:
+    ensembles, cuts = [m.spec for m in models], models[0].cuts
+    size, parts = len(cuts), -(-n // part_rows)
+    start = [v for m in models if m.spec.kind == "boost" for v in m.start]
     table = binned(plain, cuts, start or [0.0], parts)
     firsts = np.cumsum([0, *[s.outputs if s.kind == "boost" else 0 for s in ensembles]])
     growths = [Growth(s, m, int(at)) for s, m, at in zip(ensembles, models, firsts)]
@@ -593,3 +821,14 @@ def fold_scores(rows: DataFrame, key: str, fold: str, models: Sequence[tuple[int
                                                      names=["cell", "key", "fold", "label", "prob"])
 
     return plain.mapInArrow(run, f"cell int, key {spec}, fold int, label double, prob array<double>").withColumnRenamed("key", key)
+
+
+def held_out_scores(rows: DataFrame, cells: Sequence[tuple[int, Ensemble]], key: str, fold: str) -> DataFrame:
+    """:func:`fold_scores` of ensembles that are grown for it; where tasks grow whole ensembles they score the rows too, and no tree leaves them."""
+    if not cells:
+        return fold_scores(rows, key, fold, [])
+    plain, models, n = prepared(rows, [s for _, s in cells], key, fold, True)
+    if n and fits_tasks(max(n, plain.count()), models):
+        return whole_ensembles(plain, models, CELLS, key, [i for i, _ in cells])
+    grown = grow_by_passes(plain.where("y is not null"), models, n, CELLS, PART_ROWS) if n else models
+    return fold_scores(rows, key, fold, [(i, m) for (i, _), m in zip(cells, grown)])

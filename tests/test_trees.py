@@ -1,5 +1,6 @@
 import math
 import random
+from dataclasses import replace
 
 import duckdb
 import numpy as np
@@ -135,6 +136,25 @@ def test_draws_are_even_and_independent():
     assert scramble(5, 7) == int(scramble(np.array([5]), 7)[0]) and SCALE == 2**24
 
 
+def test_whole_ensembles_take_few_jobs_and_grow_the_same_trees(spark):
+    """A small table: levels and rounds are no jobs; trees and held-out scores are those of the passes, also for unlabelled rows."""
+    tracker = spark.sparkContext.statusTracker()
+    for classes in (2, 3):
+        df = frame(spark, rows_of(classes=classes)).withColumn("label", F.when(F.col("id") % 11 > 0, F.col("label")))
+        specs = [s for s in SPECS if s.classes == classes]
+        spark.sparkContext.setJobGroup(f"whole-{classes}", "whole")
+        whole = grow(df, specs, "id", "fold")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert len(tracker.getJobIdsForGroup(f"whole-{classes}")) <= 15
+        passes = grow(df, specs, "id", "fold", part_rows=25)
+        held = lambda models: [[(t.number, t.output, t.heap, t.feature, t.cut, t.left, t.value, t.gain, t.weight) for t in m.trees] for m in models]
+        assert held(whole) == held(passes)
+        cells = [(i, replace(s, fold=f)) for i, s in enumerate(specs) for f in range(3)]
+        scored, again = (sorted((r.cell, r.id, r.fold, r.label, r.prob) for r in d.where("label is not null").collect()) for d in (
+            trees.held_out_scores(df, cells, "id", "fold"), fold_scores(df, "id", "fold", [(i, m) for (i, _), m in zip(cells, grow(df, [s for _, s in cells], "id", "fold"))])))
+        assert scored == again and trees.held_out_scores(df, cells, "id", "fold").count() == len(specs) * df.count()
+
+
 def test_out_of_fold_rows_were_never_learnt(spark):
     """Turning the labels of one fold doesn't move that fold's scores."""
     rows = rows_of()
