@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from icuflow.functions.values import argmax_class, hashed_uniform
-from icuflow.learn.models import MODELS, TREES, Fitted, _grown, ensemble, feature_count
+from icuflow.learn.models import MODELS, TREES, Fitted, _grown, ensemble, feature_count, side_by_side
 from icuflow.learn.trees import Ensemble, Model, grow, held_out_scores, matrix
 from icuflow.operators import metrics
 from icuflow.sources.tables import stage
@@ -43,11 +43,13 @@ def out_of_fold(rows: DataFrame, key: str, names: Sequence[str], classes: int, f
     for n in names:
         if n in trees:
             continue
+        parts = [rows.where(F.col("fold") != f) for f in range(folds)]
+        fitted = side_by_side(rows, [lambda part=part: MODELS[n](part, classes=classes, key=key) for part in [*parts, *([rows] if full else [])]])
         for f in range(folds):
-            part = MODELS[n](rows.where(F.col("fold") != f), classes=classes, key=key).predict(rows.where(F.col("fold") == f))
+            part = fitted[f].predict(rows.where(F.col("fold") == f))
             scores = scores.unionByName(part.select(F.lit(number[n]).alias("cell"), key, "fold", F.col("label").cast("double").alias("label"), "prob"))
         if full:
-            members[n] = MODELS[n](rows, classes=classes, key=key)
+            members[n] = fitted[folds]
     name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("cell") + 1)
     return stage(scores.withColumn("name", name).drop("cell"), "out-of-fold"), members
 

@@ -9,10 +9,12 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 from typing import NamedTuple
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -24,6 +26,7 @@ from icuflow.learn.trees import PART_ROWS, Ensemble, Model, grow, predictor
 from icuflow.sources.tables import stage
 
 SEED = 42
+MOST_FITS = 6  # side by side
 
 
 class Fitted(NamedTuple):
@@ -54,9 +57,17 @@ def _grown(model: Model) -> Fitted:
     return Fitted(predictor(model), model.gains()[0].tolist(), model)
 
 
+def side_by_side(df: DataFrame, calls: Sequence[Callable]) -> list:
+    """What the calls return, in their order. Their fits are independent chains of small jobs, which only together fill a cluster."""
+    if not calls:
+        return []
+    with ThreadPoolExecutor(min(len(calls), MOST_FITS)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(df.sparkSession)(call)) for call in calls]]
+
+
 def one_vs_rest(train: DataFrame, classes: int, fit: Callable[[DataFrame], Fitted]) -> Fitted:
     """One binary model per class; their probabilities are scaled to sum to one."""
-    members = [fit(train.withColumn("label", (F.col("label") == c).cast("int"))) for c in range(classes)]
+    members = side_by_side(train, [lambda c=c: fit(train.withColumn("label", (F.col("label") == c).cast("int"))) for c in range(classes)])
 
     def predict(df):
         for c, member in enumerate(members):
@@ -121,14 +132,16 @@ def linear_svm(train: DataFrame, classes: int = 2, c: float = 10.0, folds: int =
     """
     draw = hashed_uniform(F.col(key), "calibration") if key else F.pmod(F.xxhash64("features", "label"), F.lit(1 << 20)) / (1 << 20)
     rows = train.withColumn("_fold", F.floor(F.coalesce(draw, F.lit(0.0)) * folds).cast("int"))
-    margins = None
-    for i in range(folds):
+
+    def part(i):
         rest, held = rows.where(F.col("_fold") != i), rows.where(F.col("_fold") == i)
-        if rest.select("label").distinct().count() < 2:
-            continue
-        part = _margin(_svm(rest, c), held).select("_svm", "label")
-        margins = part if margins is None else margins.unionByName(part)
-    svm = _svm(train, c)
+        return _margin(_svm(rest, c), held).select("_svm", "label") if rest.select("label").distinct().count() > 1 else None
+
+    *parts, svm = side_by_side(train, [*[lambda i=i: part(i) for i in range(folds)], lambda: _svm(train, c)])
+    margins = None
+    for found in parts:
+        if found is not None:
+            margins = found if margins is None else margins.unionByName(found)
     curve = LogisticRegression(featuresCol="_svm").fit(stage(margins if margins is not None else _margin(svm, train).select("_svm", "label"), "margins"))
     return Fitted(lambda df: _probability(curve)(_margin(svm, df)).drop("_svm"), None, (svm, curve))
 

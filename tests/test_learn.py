@@ -1,8 +1,10 @@
 import random
+import threading
 
 import numpy as np
 from pyspark.ml.functions import array_to_vector
 
+from icuflow.learn import models
 from icuflow.learn.evaluate import importance_table, lasso_cv
 from icuflow.learn.impute import fit_imputer, shrunk, unpacked
 from icuflow.learn.models import MODELS, assemble
@@ -116,3 +118,19 @@ def test_lasso_from_moments_is_at_its_optimum(spark):
     slope = xc.T @ (yc - xc @ w) / len(y)
     assert all(abs(g - alpha * np.sign(v)) < 1e-9 if v else abs(g) <= alpha + 1e-9 for g, v in zip(slope, w))
     assert lasso_cv(df.where("id < 0"), "id", list("abcd")).select("coefficient").distinct().collect()[0][0] == 0.0
+
+
+def test_independent_fits_run_side_by_side(spark, monkeypatch):
+    """The folds' machines and the one on all rows wait for each other, which they can't one after the other; results come in order."""
+    wait, fit = threading.Barrier(4), models._svm
+
+    def together(train, c):
+        wait.wait(120)
+        return fit(train, c)
+
+    monkeypatch.setattr(models, "_svm", together)
+    rows = spark.createDataFrame([(i, i / 60 + (i % 7) / 50, int(i > 30)) for i in range(60)], "id long, x double, label int")
+    fitted = models.linear_svm(models.assemble(rows, ["x"], "label", "id"), key="id")
+    got = fitted.predict(models.assemble(rows, ["x"], "label", "id")).orderBy("id").collect()
+    assert sum(int(r.prob[1] > 0.5) == r.label for r in got) >= 50
+    assert models.side_by_side(rows, [lambda i=i: i * i for i in range(20)]) == [i * i for i in range(20)] and models.side_by_side(rows, []) == []
