@@ -17,18 +17,27 @@ from icuflow.functions.values import epoch, micros
 SALTS = 16
 
 
+def may_be_broadcast(df: DataFrame) -> bool:
+    """Whether Spark's own size estimate is under its threshold for broadcasts."""
+    most = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most
+
+
 def join_stays(
     events: DataFrame, stays: DataFrame, on: Sequence[str], spread_by: Sequence[str],
     within: Column | None = None, salts: int = SALTS, how: str = "inner",
 ) -> DataFrame:
     """Join of events with the one row of their stay, then a time-window test on both.
 
-    Spark broadcasts the stays when their size is under its threshold. Beyond it both sides are
+    Spark broadcasts the stays, once each, when their size is under its threshold. Beyond it both sides are
     shuffled on (key, salt): the rows of one hot stay are spread over ``salts`` tasks by a hash of
     ``spread_by`` and the small stay row is repeated once per salt, so the join stays exact. Nothing
     above needs the (key, salt) layout, so adaptive execution can split a partition that is still
     too large without another shuffle.
     """
+    if may_be_broadcast(stays):  # Spark's estimate doesn't see the salts: it would broadcast the repeated rows
+        joined = events.join(stays, [*on], how)
+        return joined if within is None else joined.filter(within)
     salted = events.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     repeated = stays.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     joined = salted.join(repeated, [*on, "_salt"], how).drop("_salt")

@@ -97,3 +97,21 @@ def test_long_spells_cost_two_rows_and_all_lengths_join(spark):
     century = s.where(F.col("e") > F.col("s") + F.expr("INTERVAL 100 DAYS"))
     text = interval_join(p, century, ["k"], "t", "s", "e")._jdf.queryExecution().toString()
     assert "Generate explode(sequence" in text
+
+
+def test_salted_stays_are_never_broadcast(spark, tmp_path):
+    """Spark's estimate leaves out the sixteen copies, so stays below its threshold are joined once each, and salted ones are shuffled."""
+    spark.range(4000).selectExpr("id % 1000 as stay", "id").write.parquet(f"{tmp_path}/events")
+    spark.range(1000).selectExpr("id as stay", "id * 7 as v").write.parquet(f"{tmp_path}/stays")
+    e, s = (spark.read.parquet(f"{tmp_path}/{n}") for n in ("events", "stays"))
+    seen = {}
+    for limit in ("1m", "1k"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            joined = join_stays(e, s, ["stay"], ["id"])
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            seen[limit] = ("BroadcastExchange" in plan, "Generate" in plan, sorted(map(tuple, joined.collect())), joined.columns)
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert seen["1m"][:2] == (True, False) and seen["1k"][:2] == (False, True)
+    assert seen["1m"][2:] == seen["1k"][2:] and len(seen["1m"][2]) == 4000
